@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, oracles, sharding
+from . import chat, exact_dedup, language, mixing, oracles, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_fuse_exact_dedup": exact_dedup.op1_fuse_exact_dedup,
+        "op5_byte_cnn_language": language.op5_byte_cnn_language,
         "op6_reply_tree_chat": chat.op6_reply_tree_chat,
         "op7_weighted_mix": mixing.op7_weighted_mix,
         "op8_feistel_sharding": sharding.op8_feistel_sharding,
+        "op10_nnpu_toxicity": toxicity.op10_nnpu_toxicity,
     }
 
 
