@@ -31,11 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def durable(df: DataFrame, tag: str) -> DataFrame:
+def durable(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """df, written once as Parquet to the shared folder and read back: its lineage ends here, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
