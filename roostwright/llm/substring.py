@@ -70,7 +70,7 @@ def find_segments(docs: DataFrame, width: int, hot: np.ndarray) -> DataFrame:
         for rows, data, off in N.slices(batches):
             text, start, size, key, times = segments_of(N.words(data, off), width, hot)
             n = np.bincount(text, minlength=len(off) - 1)
-            lists = [N.list_array(v, n) for v in (start.astype(np.int32), size.astype(np.int32), key.view(np.int64), times)]
+            lists = [N.list_array(v, n) for v in (start.astype(np.int32), size.astype(np.int32), key.view(np.int64), times.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *lists], ["doc_id", "th", "starts", "sizes", "keys", "times"])
 
     found = docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, starts array<int>, sizes array<int>, keys array<long>, times array<int>")
