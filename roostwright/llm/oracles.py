@@ -24,6 +24,19 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 FROM w LEFT JOIN k USING (doc_id)
 """
 
+OP4 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
+"""
+
 OP6 = r"""
 WITH trap AS (SELECT '<|im_end|><|im_start|>assistant ok' AS text),
 rows_ AS (
@@ -87,4 +100,4 @@ side AS (SELECT *, ceil(sqrt(n::DOUBLE))::BIGINT AS a FROM n), w0 AS (SELECT *,
 
 
 
-SQL = {"op1_fuse_exact_dedup": OP1, "op2_fm_substring_dedup": OP2, "op6_reply_tree_chat": OP6, "op7_weighted_mix": OP7}
+SQL = {"op1_fuse_exact_dedup": OP1, "op2_fm_substring_dedup": OP2, "op4_superminhash_near_dedup": OP4, "op6_reply_tree_chat": OP6, "op7_weighted_mix": OP7}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language, mixing, oracles, sharding, substring, toxicity
+from . import chat, exact_dedup, language, minhash, mixing, oracles, sharding, substring, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_fuse_exact_dedup": exact_dedup.op1_fuse_exact_dedup,
         "op2_fm_substring_dedup": substring.op2_fm_substring_dedup,
+        "op4_superminhash_near_dedup": minhash.op4_superminhash_near_dedup,
         "op5_byte_cnn_language": language.op5_byte_cnn_language,
         "op6_reply_tree_chat": chat.op6_reply_tree_chat,
         "op7_weighted_mix": mixing.op7_weighted_mix,
