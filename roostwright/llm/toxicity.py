@@ -113,19 +113,22 @@ def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate:
     return w.astype(float), float(b)
 
 
-def train(labelled: DataFrame, unlabelled: DataFrame, prior: float | None = None, most_positive: int = 2000, most_unlabelled: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learns from at most most_positive and most_unlabelled distinct texts, those with the least id hashes.
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = 2000, most_unlabelled: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learns from at most most_positive and most_unlabelled distinct texts of docs, those with the least id hashes.
 
-    labelled has text and toxic; rows with toxic = 1 are the positives, and the share of them is the class prior
-    unless one is given. Without positives or unlabelled text the model gives every text its prior.
+    Texts whose id has toxic = 1 in labels are the positives, all texts of docs are the unlabelled ones, and the share of ones in
+    labels is the class prior unless one is given. Without positives or unlabelled text the model gives every text its
+    prior. The sample is drawn by id, so only its own texts leave the scan.
     """
-    n, ones = labelled.agg(F.count("toxic"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).collect()[0]
+    n, ones = labels.agg(F.count("toxic"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).collect()[0]
     prior = min(0.9, max(0.001, prior if prior is not None else (ones / n if n else 0.001)))
+    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct()
+    toxic = labels.filter("toxic = 1").select(F.col(id_col).alias("id")).distinct()
 
-    def sample(df: DataFrame, most: int) -> list[np.ndarray]:
-        h = F.xxhash64(F.col(id_col).cast("string"))
-        rows = df.select(h.alias("h"), C.text_or_empty(text_col).alias("text")).orderBy("h", "text").limit(most)
-        texts = rows.select("text").distinct().orderBy("text").toArrow().column("text").combine_chunks()
+    def sample(of: DataFrame, most: int) -> list[np.ndarray]:
+        picked = of.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(most)
+        rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("id"), "left_semi")  # `most` ids
+        texts = rows.select(C.text_or_empty(text_col).alias("text")).distinct().orderBy("text").toArrow().column("text").combine_chunks()
         out = []
         for _, data, off in N.slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])] if len(texts) else [])):
             v, text = runs(data, off)
@@ -133,7 +136,7 @@ def train(labelled: DataFrame, unlabelled: DataFrame, prior: float | None = None
             out += [np.unique(v[a:b], return_counts=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
-    pos, unl = sample(labelled.filter("toxic = 1"), most_positive), sample(unlabelled, most_unlabelled)
+    pos, unl = sample(ids.join(toxic, "id", "left_semi"), most_positive), sample(ids, most_unlabelled)
     none = Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     if not pos or not unl:
         return none
@@ -175,9 +178,7 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 def fitted(spark, docs: DataFrame, labels: DataFrame) -> Model:
     """From rows whose crc32(doc_id) mod 3 is not 1, labels joined by doc_id."""
-    learn = docs.filter(~held_out("doc_id", 3, 1)).select("doc_id", "text")
-    known = labels.filter(~held_out("doc_id", 3, 1)).select("doc_id", "toxic").filter("toxic is not null")
-    return train(learn.join(known, "doc_id"), learn)
+    return train(docs.filter(~held_out("doc_id", 3, 1)), labels.filter(~held_out("doc_id", 3, 1)).filter("toxic is not null"))
 
 
 def op10_nnpu_toxicity(spark, sf_dir: str) -> DataFrame:
