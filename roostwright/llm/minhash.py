@@ -3,9 +3,10 @@
 Texts with equal shingle sets are one class from the start. A class's signature is made step by step: in step j every element sends j plus
 a random fraction to the j-th place of its own permutation, and a text whose places are all taken below j + 1 needs no further step.
 Bands of the signature make buckets. Within a bucket nobody is compared with everybody: all are compared with one
-pivot, found links join classes to components, and only buckets that still hold several components get further pivots,
-taken from outside the bucket's largest component, until one component or nobody is left. So a family of n near copies costs
-about n comparisons, and no pair of a bucket that could still join two components goes unchecked.
+pivot, and found links join classes to components. Members of buckets that still hold several components are dealt anew by
+their rarest shingles, of which two alike texts share one, and those buckets get further pivots, taken from outside the
+bucket's largest component, until one component or nobody is left. So a family of n near copies costs about n
+comparisons, and no pair that could still join two components goes unchecked.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 from . import textnum as N
@@ -152,6 +154,37 @@ def could_be_alike(percent: int):
     return 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
 
 
+def with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows (id, ...) with each id's component so far, itself if it has no link."""
+    c = comp.select(F.col("node").alias("id"), F.col("comp").alias("__c"))
+    rows = rows.drop("comp")
+    return rows.join(c, "id", "left").select(*rows.columns, F.coalesce("__c", "id").alias("comp"))
+
+
+def several(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of buckets (key) that hold more than one component, and each such bucket's largest one (key, main)."""
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+    main = sizes.filter("comps > 1").select("key", "main")
+    return rows.join(main.select("key"), "key", "left_semi"), main
+
+
+def rare_buckets(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, id, n, rest: the rarest shingles of docs (id, n, comp), enough of them that two sets alike by percent share one.
+
+    Of n shingles a set has to share ceil(percent * n / 100), so among its rarest n - that + 1, by one order for
+    all, is one that the other holds among its own. Shingles of a single document come first in that order and need no bucket:
+    a text with a fifth of its own is out. So texts that share only a common passage, which meet in many bands, part here.
+    """
+    each = sets.join(docs.select("id", "n"), "id").select("id", "n", F.explode("set").alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    each = each.join(often, "key")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("c", "key"))
+    each = each.withColumn("__rank", rank).withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    # rest: shingles from this one on, in that order; no more can be shared by two texts whose first common one it is
+    each = each.withColumn("rest", F.col("__all") - F.col("__rank") + 1)
+    return each.filter(F.col("rest") >= F.ceil(F.col("n") * percent / 100)).select("key", "id", "n", "rest")
+
+
 def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, th, n_shingles, component_id of docs (doc_id, th, text)."""
     sig = C.durable(signatures(docs, k), "minhash-signatures")
@@ -173,28 +206,30 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pairs = bucket.join(pivot, "key").filter((F.col("id") != F.col("pid")) & could_be_alike(percent))
     pairs = C.durable(pairs.select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct(), "minhash-pairs")
     checked, links = pairs, C.durable(verified(pairs, sets, percent), "minhash-links")
-    left = bucket.join(pivot.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti")
-    width, comp, found = 16, None, links
+    comp = components(links)
+    unsure, _ = several(with_comp(bucket.join(pivot.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti"), comp))
+    whole = with_comp(ids.join(bucket.select("id", "n").distinct(), "id"), comp).join(unsure.select("id").distinct(), "id", "left_semi")
+    left = C.durable(rare_buckets(whole, sets, percent), "minhash-rare")
+    width, found = 16, None
     while True:
-        if comp is None or not found.isEmpty():
+        if found is not None and not found.isEmpty():
             comp = components(links)
-        c = comp.select(F.col("node").alias("id"), "comp")
-        now = C.durable(left.join(c, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp")), "minhash-left")
-        sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-        now = now.join(sizes.filter("comps > 1").select("key", "main"), "key")
+        now, main = several(with_comp(left, comp))
+        now = C.durable(now.join(main, "key"), "minhash-left")
         outside = now.filter("comp <> main")
         deal = F.pmod(F.xxhash64("id"), F.lit(width))
-        pivot = outside.groupBy("key", deal.alias("deal")).agg(F.min(F.struct("id", "n", "comp")).alias("p"))
-        pivot = C.durable(pivot.select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc")), "minhash-pivots")
+        pivot = outside.groupBy("key", deal.alias("deal")).agg(F.min(F.struct("id", "n", "comp", "rest")).alias("p"))
+        pivot = C.durable(pivot.select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"), F.col("p.rest").alias("pr")), "minhash-pivots")
         if pivot.isEmpty():
             break
-        pairs = now.join(pivot, "key").filter((F.col("comp") != F.col("pc")) & could_be_alike(percent))
+        enough = (100 + percent) * F.least("rest", "pr") >= percent * (F.col("n") + F.col("pn"))
+        pairs = now.join(pivot, "key").filter((F.col("comp") != F.col("pc")) & could_be_alike(percent) & enough)
         pairs = pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
         pairs = C.durable(pairs.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "minhash-pairs")
         found = C.durable(verified(pairs, sets, percent), "minhash-links")
         checked, links = checked.unionByName(pairs), links.unionByName(found)
-        left = C.durable(now.select("key", "id", "n").join(pivot.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti"), "minhash-left")
-        width = 64
+        left = now.select("key", "id", "n", "rest").join(pivot.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti")
+        width = 512
     label = comp.select(F.col("node").alias("rep"), "comp")
     return out.join(label, "rep", "left").select("doc_id", "th", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
 
