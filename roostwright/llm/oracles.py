@@ -24,6 +24,19 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 FROM w LEFT JOIN k USING (doc_id)
 """
 
+OP3 = """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+u AS (SELECT doc_id, i, l[i] AS line, ('0x' || substr(md5(l[i]), 1, 7))::BIGINT AS h, len(l) AS n FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM l)),
+e AS (
+  SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 1000003 % 4 = 0 OR i = n AS ends FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nth FROM e),
+k AS (SELECT doc_id, nth, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n FROM c GROUP BY doc_id, nth),
+r AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY n > 1, chunk ORDER BY doc_id, nth) > 1 AS gone FROM k)
+SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed, count(*) AS n_chunks,
+  sha256(coalesce(string_agg(chunk, chr(10) ORDER BY nth) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""
+
 OP4 = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
@@ -100,4 +113,4 @@ side AS (SELECT *, ceil(sqrt(n::DOUBLE))::BIGINT AS a FROM n), w0 AS (SELECT *,
 
 
 
-SQL = {"op1_fuse_exact_dedup": OP1, "op2_fm_substring_dedup": OP2, "op4_superminhash_near_dedup": OP4, "op6_reply_tree_chat": OP6, "op7_weighted_mix": OP7}
+SQL = {"op1_fuse_exact_dedup": OP1, "op2_fm_substring_dedup": OP2, "op3_chunked_line_dedup": OP3, "op4_superminhash_near_dedup": OP4, "op6_reply_tree_chat": OP6, "op7_weighted_mix": OP7}
