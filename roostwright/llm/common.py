@@ -92,3 +92,8 @@ def unhold(df: DataFrame, drop: tuple[str, ...] = (), *more: Column) -> DataFram
     """The user's columns without `drop`, then `more`."""
     names = [f.name for f in df.schema["__row"].dataType.fields if f.name not in drop]
     return df.select(*[F.col("__row").getField(n).alias(n) for n in names], *more)
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -24,18 +24,21 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def cut_lines(docs: DataFrame, divisor: int) -> DataFrame:
-    """docs (id, th, text) with chunks: an array of arrays of lines."""
-    lines = docs.withColumn("l", F.split("text", "\n", -1)).withColumn("h", F.transform("l", line_hash))
+def cut_lines(text: Column, divisor: int) -> Column:
+    """The chunks of a text: an array of arrays of lines."""
 
-    def ends(i: Column) -> Column:
-        total = sum((F.coalesce(F.get("h", i - j), F.lit(0)) * w for j, w in enumerate(WEIGHTS)), F.lit(0))
-        return (total % MODULUS) % divisor == 0
+    def ends(h: Column, i: Column) -> Column:
+        total = sum((F.coalesce(F.get(h, i - j), F.lit(0)) * w for j, w in enumerate(WEIGHTS)), F.lit(0))
+        return ((total % MODULUS) % divisor == 0) | (i == F.size(h) - 1)
 
-    last = F.size("l") - 1
-    lines = lines.withColumn("c", F.filter(F.transform("h", lambda _, i: F.when(ends(i) | (i == last), i + 1)), lambda x: x.isNotNull()))
-    before = lambda k: F.when(k > 0, F.get("c", k - 1)).otherwise(0)
-    return lines.select("id", "th", F.transform("c", lambda e, k: F.slice("l", before(k) + 1, e - before(k))).alias("chunks"))
+    def cuts(lines: Column) -> Column:
+        return C.let(F.transform(lines, line_hash), lambda h: F.filter(F.transform(h, lambda _, i: F.when(ends(h, i), i + 1)), lambda x: x.isNotNull()))
+
+    def chunks(lines: Column, c: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.get(c, k - 1)).otherwise(0)
+        return F.transform(c, lambda e, k: F.slice(lines, before(k) + 1, e - before(k)))
+
+    return C.let(F.split(text, "\n", -1), lambda lines: C.let(cuts(lines), lambda c: chunks(lines, c)))
 
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,7 +50,7 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, id_col: str = "doc_id",
     """
     text = C.text_or_empty(text_col)
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    cut = cut_lines(slim, divisor)
+    cut = slim.select("id", "th", cut_lines(F.col("text"), divisor).alias("chunks"))
     multi = cut.select("id", "th", F.posexplode("chunks").alias("nth", "lines")).filter(F.size("lines") > 1)
     multi = multi.select(F.struct("id", "th", "nth").alias("at"), F.array_join("lines", "\n").alias("chunk")).withColumn("digest", F.sha2("chunk", 256))
     often = multi.groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
