@@ -25,6 +25,8 @@ from . import textnum as N
 U = np.uint64
 #: 128 places in 32 bands of 4: two sets of similarity 0.8 share no band once in 20 million times.
 PLACES, BANDS = 128, 32
+#: Pivots that a bucket of rare shingles gets in one round.
+PIVOTS = 1024
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +116,11 @@ def full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, k: int) -> DataFrame:
     return C.durable(few.mapInArrow(run, "id long, set array<long>"), "minhash-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of pairs whose full sets are alike by percent or more."""
+def verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct (a, b) of n_pairs pairs whose full sets are alike by percent or more."""
+    if 2 * n_pairs <= C.BROADCAST_ROWS:  # only the sets in question move
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = sets.join(F.broadcast(asked), "id", "left_semi")
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -123,30 +128,33 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (least node reachable) of edges (a, b): union-find by large and small stars, a shuffle each, until nothing moves."""
+def components(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(node, comp: the least node reachable) of edges (a, b), and the number of rows: union-find by large and small stars until nothing moves."""
 
-    def stars(e: DataFrame, small: bool) -> DataFrame:
+    def stars(e: DataFrame, n: int, small: bool) -> DataFrame:
         if small:  # each node and its lesser neighbours go to the least of them
             ends = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         else:  # a node's greater neighbours go to the least of all
-            ends = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.u", "x.v")
         least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = ends.join(least, "u")
-        moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b")) if small else joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        joined = ends.join(C.small(least, 2 * n), "u")
         if small:
-            moved = moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return moved.filter("a <> b").distinct()
+            moved = joined.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
+        else:
+            moved = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        return moved.filter("a <> b")
 
-    now, last = edges, None
+    now, last = edges, (edges.count(), None)
     while True:
-        now = C.durable(stars(stars(now, small=False), small=True), "minhash-stars")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
+        n = last[0]
+        now = C.durable(stars(stars(now, n, small=False), 2 * n, small=True).distinct(), "minhash-stars")
+        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
         if state == last:
             break
         last = state
-    low = now.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp")
-    return C.durable(low.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "minhash-comps")
+    # all is stars now: each node but a centre has one edge, to its centre
+    ends = now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")))
+    return C.durable(ends.distinct(), "minhash-comps"), 2 * last[0]
 
 
 def could_be_alike(percent: int):
@@ -154,18 +162,17 @@ def could_be_alike(percent: int):
     return 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
 
 
-def with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
+def with_comp(rows: DataFrame, comp: DataFrame, n: int) -> DataFrame:
     """rows (id, ...) with each id's component so far, itself if it has no link."""
-    c = comp.select(F.col("node").alias("id"), F.col("comp").alias("__c"))
+    c = C.small(comp.select(F.col("node").alias("id"), F.col("comp").alias("__c")), n)
     rows = rows.drop("comp")
     return rows.join(c, "id", "left").select(*rows.columns, F.coalesce("__c", "id").alias("comp"))
 
 
-def several(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of buckets (key) that hold more than one component, and each such bucket's largest one (key, main)."""
+def several(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows' buckets (key) that hold more than one component, with `main`, the largest one."""
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-    main = sizes.filter("comps > 1").select("key", "main")
-    return rows.join(main.select("key"), "key", "left_semi"), main
+    return rows.join(C.small(sizes.filter("comps > 1").select("key", "main"), n), "key")
 
 
 def rare_buckets(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -205,31 +212,30 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pivot = bucket.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p")).select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"))
     pairs = bucket.join(pivot, "key").filter((F.col("id") != F.col("pid")) & could_be_alike(percent))
     pairs = C.durable(pairs.select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct(), "minhash-pairs")
-    checked, links = pairs, C.durable(verified(pairs, sets, percent), "minhash-links")
-    comp = components(links)
-    unsure, _ = several(with_comp(bucket.join(pivot.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti"), comp))
-    whole = with_comp(ids.join(bucket.select("id", "n").distinct(), "id"), comp).join(unsure.select("id").distinct(), "id", "left_semi")
+    links = C.durable(verified(pairs, pairs.count(), sets, percent), "minhash-links")
+    comp, n_comp = components(links)
+    unsure = several(with_comp(bucket.join(pivot.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti"), comp, n_comp), bucket.count())
+    whole = C.small(unsure.select("id", "n").distinct(), n_ids)
     left = C.durable(rare_buckets(whole, sets, percent), "minhash-rare")
-    width, found = 16, None
     while True:
-        if found is not None and not found.isEmpty():
-            comp = components(links)
-        now, main = several(with_comp(left, comp))
-        now = C.durable(now.join(main, "key"), "minhash-left")
-        outside = now.filter("comp <> main")
-        deal = F.pmod(F.xxhash64("id"), F.lit(width))
-        pivot = outside.groupBy("key", deal.alias("deal")).agg(F.min(F.struct("id", "n", "comp", "rest")).alias("p"))
+        now = C.durable(several(with_comp(left, comp, n_comp), left.count()), "minhash-left")
+        deal = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
+        pivot = now.filter("comp <> main").groupBy("key", deal.alias("deal")).agg(F.min(F.struct("id", "n", "comp", "rest")).alias("p"))
         pivot = C.durable(pivot.select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"), F.col("p.rest").alias("pr")), "minhash-pivots")
-        if pivot.isEmpty():
+        n_pivots = pivot.count()
+        if not n_pivots:
             break
         enough = (100 + percent) * F.least("rest", "pr") >= percent * (F.col("n") + F.col("pn"))
-        pairs = now.join(pivot, "key").filter((F.col("comp") != F.col("pc")) & could_be_alike(percent) & enough)
-        pairs = pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
-        pairs = C.durable(pairs.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "minhash-pairs")
-        found = C.durable(verified(pairs, sets, percent), "minhash-links")
-        checked, links = checked.unionByName(pairs), links.unionByName(found)
-        left = now.select("key", "id", "n", "rest").join(pivot.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti")
-        width = 512
+        pairs = now.join(C.small(pivot, n_pivots), "key").filter((F.col("comp") != F.col("pc")) & could_be_alike(percent) & enough)
+        pairs = C.durable(pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct(), "minhash-pairs")
+        n_pairs = pairs.count()
+        if n_pairs:
+            found = C.durable(verified(pairs, n_pairs, sets, percent), "minhash-links")
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                comp, n_comp = components(links)
+        left = now.select("key", "id", "n", "rest").join(C.small(pivot.select("key", F.col("pid").alias("id")), n_pivots), ["key", "id"], "left_anti")
+        left = C.durable(left, "minhash-rest")
     label = comp.select(F.col("node").alias("rep"), "comp")
     return out.join(label, "rep", "left").select("doc_id", "th", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
 
