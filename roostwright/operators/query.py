@@ -66,9 +66,9 @@ class ListingQuery:
     def order(self, strings: frozenset[str] = frozenset({"source", "address", "url"}), ordinal: str | None = "ordinal") -> list[Column]:
         """Nulls last in both directions; strings by the Unicode collation; an unknown area counts as ''; ties by the ordinal."""
         if self.sort == "area":
-            key = F.coalesce("normalizedArea.area", F.lit("")).collate("UNICODE")
+            key = F.collate(F.coalesce("normalizedArea.area", F.lit("")), "UNICODE")
         else:
-            key = F.col(self.sort).collate("UNICODE") if self.sort in strings else F.col(self.sort)
+            key = F.collate(F.col(self.sort), "UNICODE") if self.sort in strings else F.col(self.sort)
         first = key.asc_nulls_last() if self.ascending else key.desc_nulls_last()
         return [first] + ([F.col(ordinal)] if ordinal else [])
 
