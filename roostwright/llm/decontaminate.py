@@ -2,8 +2,8 @@
 
 A window of as many words as a benchmark item is alike to it if the weighted similarity of their 5-word shingles (each
 weighing as often as it stands there: shared weight over joint weight) is 0.8 or more. Windows in which fewer than
-0.8 of the places are benchmark shingles can't be, and are passed over by one running count; the others get a 256-bit
-SimHash. Fingerprints of items within RADIUS bits share a 16-bit block up to RADIUS / 16 bits, so looking a
+0.8 of the places hold shingles of items of their size can't be, and are passed over by one running count; the others get a
+256-bit SimHash. Fingerprints of items within RADIUS bits share a 16-bit block up to RADIUS / 16 bits, so looking a
 window's blocks up among the items' blocks and all their neighbours misses none within the radius; what is
 found is verified on the words themselves.
 
@@ -73,12 +73,19 @@ class Index:
         prints = np.array([simhash(sets[i]) for i in keep], np.uint16).reshape(-1, BITS // BLOCK)
         return cls([ids[i] for i in keep], np.diff(w.first)[keep], [sets[i] for i in keep], prints, k)
 
-    def all_shingles(self) -> dict[int, np.ndarray]:
-        """Sorted shingles by their number of words (k, and fewer for items shorter than that)."""
-        out: dict[int, list[np.ndarray]] = {}
-        for n, s in zip(self.lengths, self.sets, strict=True):
-            out.setdefault(min(self.k, int(n)), []).append(s)
-        return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
+    def by_length(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By a shingle's number of words (k, and fewer for items shorter than that): sorted shingles, and for each the lengths of the items that hold it."""
+        out = {}
+        for k in {min(self.k, int(n)) for n in self.lengths}:
+            mine = [(np.unique(s), n) for s, n in zip(self.sets, self.lengths, strict=True) if min(self.k, int(n)) == k]
+            flat, size = np.concatenate([s for s, _ in mine]), np.concatenate([np.full(len(s), n) for s, n in mine])
+            order = np.lexsort((size, flat))
+            flat, size = flat[order], size[order]
+            new = np.append(True, (flat[1:] != flat[:-1]) | (size[1:] != size[:-1]))
+            flat, size = flat[new], size[new]
+            s, first = np.unique(flat, return_index=True)
+            out[k] = (s, np.append(first, len(flat)), size)
+        return out
 
     def near(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each block: (start of each 16-bit value's items, items), the values being the items' own and all within RADIUS // 16 bits of them."""
@@ -97,22 +104,26 @@ class Index:
         cand = np.unique(np.concatenate(found)).astype(np.int64)
         return cand[np.bitwise_count(self.prints[cand] ^ window).sum(axis=1, dtype=np.int64) <= RADIUS]
 
-    def leaks(self, h: np.ndarray, hit: dict[int, np.ndarray], least: float) -> list[dict]:
-        """The best window for each item in a text of word hashes h; hit[k]: which places hold a k-word shingle of the benchmark."""
+    def leaks(self, h: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray]], known: dict, least: float) -> list[dict]:
+        """The best window for each item in a text of word hashes h; hits[k]: the places that hold k-word shingles of the benchmark, and which."""
         best: dict[int, tuple[float, int, int]] = {}
-        for size in np.unique(self.lengths):
-            k, n = min(self.k, int(size)), min(int(size), len(h))
-            if n < k or k not in hit:
-                continue
-            run = np.concatenate([[0], np.cumsum(hit[k])])
-            places = n - k + 1
-            count = run[places:] - run[:-places]
-            for start in np.flatnonzero(count >= least * (size - k + 1)).tolist():
-                s = shingles(h[start : start + n], k)
-                for i in self.search(simhash(s)).tolist():
-                    sim = similarity(s, self.sets[i])
-                    if sim >= least and (sim, -start) > (best.get(i, (0.0, 0, 0))[0], -best.get(i, (0.0, 0, 0))[1]):
-                        best[i] = (sim, start, n)
+        for k, (place, which) in hits.items():
+            _, at, sizes = known[k]
+            n_sizes = at[which + 1] - at[which]
+            place = np.repeat(place, n_sizes)
+            size_of = sizes[np.repeat(at[which] - np.cumsum(n_sizes) + n_sizes, n_sizes) + np.arange(len(place))]
+            for size in np.unique(size_of).tolist():
+                n = min(size, len(h))
+                run = np.zeros(len(h) - k + 2, np.int64)
+                run[place[size_of == size] + 1] = 1
+                run = np.cumsum(run)
+                count = run[n - k + 1 :] - run[: len(run) - (n - k + 1)]
+                for start in np.flatnonzero(count >= least * (size - k + 1)).tolist():
+                    s = shingles(h[start : start + n], k)
+                    for i in self.search(simhash(s)).tolist():
+                        sim = similarity(s, self.sets[i])
+                        if sim >= least and (sim, -start) > (best.get(i, (0.0, 0, 0))[0], -best.get(i, (0.0, 0, 0))[1]):
+                            best[i] = (sim, start, n)
         return [{"item_id": self.ids[i], "start": a, "n_words": n, "similarity": s} for i, (s, a, n) in sorted(best.items())]
 
 
@@ -148,28 +159,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float =
 
 def _pass(index: Index, least: float, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = index.all_shingles()
+        known = index.by_length()
         tables = {k: np.zeros(1 << 20, bool) for k in known}
-        for k, s in known.items():
+        for k, (s, _, _) in known.items():
             tables[k][(s & U(0xFFFFF)).astype(np.int64)] = True
         for rows, data, off in N.slices(batches, "__text"):
             w = N.words(N.LOWER[data], off)
             hits, docs = {}, np.zeros(0, np.int64)
-            for k, s in known.items():
+            for k, (s, _, _) in known.items():
                 g = N.mix(N.gram_hashes(w.hash, k) + U(k))
                 maybe = np.flatnonzero(tables[k][(g & U(0xFFFFF)).astype(np.int64)])
                 at = np.searchsorted(s, g[maybe]).clip(0, len(s) - 1)
-                hit = np.zeros(len(g), bool)
-                hit[maybe[s[at] == g[maybe]]] = True
-                hits[k] = hit
-                docs = np.append(docs, np.searchsorted(w.first, np.flatnonzero(hit), "right") - 1)
+                true = s[at] == g[maybe]
+                hits[k] = (maybe[true], at[true])
+                docs = np.append(docs, np.searchsorted(w.first, hits[k][0], "right") - 1)
             found = rows.column(width + 1)
             if len(docs):
                 lists = found.to_pylist()
                 for d in np.unique(docs).tolist():
                     a, b = int(w.first[d]), int(w.first[d + 1])
-                    mine = {k: h[a : max(a, b - k + 1)] for k, h in hits.items()}
-                    lists[d] = (lists[d] or []) + index.leaks(w.hash[a:b], mine, least)
+                    mine = {}
+                    for k, (place, which) in hits.items():
+                        x, y = np.searchsorted(place, [a, max(a, b - k + 1)])
+                        if y > x:
+                            mine[k] = (place[x:y] - a, which[x:y])
+                    lists[d] = (lists[d] or []) + index.leaks(w.hash[a:b], mine, known, least)
                 found = pa.array(lists, LEAK_ARROW)
             yield pa.RecordBatch.from_arrays([*rows.columns[: width + 1], found], [*rows.schema.names[: width + 1], "leaks"])
 

@@ -78,7 +78,7 @@ def super_minhash(sets: np.ndarray, n: np.ndarray, places: int = PLACES) -> np.n
 
 
 def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    parts = sig.reshape(len(sig), bands, -1)
+    parts = sig.reshape(len(sig), bands, sig.shape[1] // bands)
     key = np.tile(np.arange(1, bands + 1, dtype=U) * U(0x9E3779B97F4A7C15), (len(sig), 1))
     for i in range(parts.shape[2]):
         key = N.mix(key ^ parts[:, :, i])
