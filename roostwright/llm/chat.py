@@ -40,14 +40,15 @@ def unescape_role(role: Column) -> Column:
     return role
 
 
-def climb(nodes: DataFrame, most: int = 40) -> tuple[DataFrame, list[DataFrame]]:
+def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(totals, jumps): conv_id, node_id, total score and depth of each node's path; jumps[k] = each node's ancestor 2^k up.
 
-    Nodes on a cycle reach no root and are in no total.
+    Nodes on a cycle reach no root and are in no total: after as many doublings as the largest conversation could need, they are left.
     """
-    now = C.durable(nodes.select("conv_id", "node_id", F.col("parent_id").alias("up"), F.col("score").alias("total"), F.lit(1).alias("depth")), "chat-up")
+    largest = nodes.groupBy("conv_id").count().agg(F.max("count")).collect()[0][0] or 0
+    now = C.durable(nodes.select("conv_id", "node_id", F.col("parent_id").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "chat-up")
     jumps, done = [], []
-    for _ in range(most):
+    for _ in range(largest.bit_length() + 2):
         done.append(now.filter("up is null").select("conv_id", "node_id", "total", "depth"))
         climbing = now.filter("up is not null")
         if climbing.isEmpty():

@@ -36,15 +36,19 @@ def _round(x: Column, key: int) -> Column:
     return (t * ROUND_MULT + x % PRIME) % PRIME
 
 
+def _step(i: int, key: int, a: Column, b: Column):
+    """Round i as a function of one (p, q); a second parameter would be taken for an array's index."""
+    if i % 2 == 0:
+        return lambda v: F.struct(((v["p"] + _round(v["q"], key)) % a).alias("p"), v["q"].alias("q"))
+    return lambda v: F.struct(v["p"].alias("p"), ((v["q"] + _round(v["p"], key)) % b).alias("q"))
+
+
 def permute_once(x: Column, a: Column, b: Column, keys: list[int]) -> Column:
     """One pass over 0 <= x < a*b: x is a pair of digits, and each round adds a function of one digit to the other."""
     s = F.struct((x - x % b).alias("p"), (x % b).alias("q"))
     cell = F.transform(F.array(s), lambda v: F.struct(F.floor(v["p"] / b).cast("long").alias("p"), v["q"].alias("q")))
-    for i, k in enumerate(keys):
-        if i % 2 == 0:
-            cell = F.transform(cell, lambda v, k=k: F.struct(((v["p"] + _round(v["q"], k)) % a).alias("p"), v["q"].alias("q")))
-        else:
-            cell = F.transform(cell, lambda v, k=k: F.struct(v["p"].alias("p"), ((v["q"] + _round(v["p"], k)) % b).alias("q")))
+    for i, key in enumerate(keys):
+        cell = F.transform(cell, _step(i, key, a, b))
     return F.get(F.transform(cell, lambda v: v["p"] * b + v["q"]), F.lit(0))
 
 
