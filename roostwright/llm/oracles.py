@@ -114,3 +114,17 @@ side AS (SELECT *, ceil(sqrt(n::DOUBLE))::BIGINT AS a FROM n), w0 AS (SELECT *,
 
 
 SQL = {"op1_fuse_exact_dedup": OP1, "op2_fm_substring_dedup": OP2, "op3_chunked_line_dedup": OP3, "op4_superminhash_near_dedup": OP4, "op6_reply_tree_chat": OP6, "op7_weighted_mix": OP7}
+
+
+def op8_full_sql() -> str:
+    """op 8's contract columns; DuckDB has no CRC-32, so it is folded over the bytes with a table made from the reversed polynomial 3988292384."""
+    return f"""SELECT doc_id, size, (xor(list_reduce(list_transform(range(strlen(text)), lambda i: ('0x' || substr(hx, (2 * i + 1)::BIGINT, 2))::BIGINT),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295))::BIGINT AS text_crc32,
+  'rows' AS law, shard, slot, NULL::INTEGER AS grown_shard
+FROM (SELECT *, hex(encode(text)) AS hx FROM ({op8_sql()})), (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) AS v FROM range(256) r(i))
+)"""
+
+
+SQL["op8_feistel_sharding"] = op8_full_sql()
