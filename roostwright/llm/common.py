@@ -32,10 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """df, written once as Parquet to the shared folder and read back: its lineage ends here, and a lost executor loses none of it."""
+    """df, written once as Parquet to the shared folder and read back: its lineage ends here, and a lost executor loses none of it. The folder goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 

@@ -128,3 +128,17 @@ FROM (SELECT *, hex(encode(text)) AS hx FROM ({op8_sql()})), (
 
 
 SQL["op8_feistel_sharding"] = op8_full_sql()
+
+#: For items of five words and more, as all of the driver's are.
+SQL["op9_simhash_decontamination"] = rf"""
+WITH low AS (SELECT 'd' AS t, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (SELECT t, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM low),
+s AS MATERIALIZED (SELECT t, id, len(w) AS n, p, array_to_string(w[p:p + 4], ' ') AS sh FROM (SELECT *, unnest(range(1, len(w) - 3)) AS p FROM w WHERE len(w) >= 5)),
+i AS MATERIALIZED (SELECT id AS item_id, n AS l, sh, count(*) AS c FROM s WHERE t = 'i' GROUP BY ALL),
+h AS (SELECT DISTINCT s.id AS doc_id, s.n, i.item_id, i.l, unnest(range(greatest(1, s.p - i.l + 5), least(s.p, greatest(1, s.n - i.l + 1)) + 1)) AS a FROM s JOIN i ON s.sh = i.sh WHERE s.t = 'd'),
+m AS (SELECT h.*, s.sh, count(*) AS c FROM h JOIN s ON s.t = 'd' AND s.id = h.doc_id AND s.p BETWEEN h.a AND h.a + least(h.l, h.n) - 5 GROUP BY ALL),
+b AS (SELECT m.doc_id, m.item_id, m.a, m.l, m.n, sum(least(m.c, i.c))::BIGINT AS shared FROM m JOIN i ON m.item_id = i.item_id AND m.sh = i.sh GROUP BY ALL),
+v AS (SELECT *, shared::DOUBLE / (least(l, n) - 4 + l - 4 - shared) AS similarity FROM b)
+SELECT doc_id, item_id, (a - 1)::INTEGER AS start, least(l, n)::INTEGER AS n_words, similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, a) AS r FROM v WHERE similarity >= 0.8) WHERE r = 1
+"""
