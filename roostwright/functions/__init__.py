@@ -1,0 +1 @@
+"""Column functions over listing texts."""

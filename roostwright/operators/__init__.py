@@ -1,0 +1 @@
+"""Listing operators, DataFrame to DataFrame."""

@@ -1,0 +1 @@
+"""Registered queries, each with the SQL that checks it."""

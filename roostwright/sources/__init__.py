@@ -1,0 +1 @@
+"""Where rows come from: stored HTML, JSON artifacts, and the dimension tables."""
