@@ -165,3 +165,27 @@ def stated_count(title: Column, heading: Column, anchored: bool) -> Column:
 
 def furnished_from_category(name: Column) -> Column:
     return F.when(name == "furnished", F.lit(True)).when(name == "unfurnished", F.lit(False))
+
+
+# Result-page addresses by source; {deal} and {buy} depend on the search type.
+PAGE_URLS = {
+    "SeLoger": "https://www.seloger.com/classified-search?distributionTypes={buy}&estateTypes=Apartment&locations={geo}&page={page}",
+    "Barnes suburbs": "https://www.barnes-international.com/en/{deal}/france/{slug}-{postal}/",
+    "Junot": "https://www.junot.fr/fr/biens-immobiliers/{deal}/ile-de-france/",
+}
+DEALS = {"Barnes suburbs": ("for-sale", "for-rent"), "Junot": ("acheter", "louer"), "SeLoger": ("", "")}
+
+
+def page_url(source: str, kind: Column, geo: Column | None = None, slug: Column | None = None, postal: Column | None = None, page: Column | None = None) -> Column:
+    """The address of a location's result page."""
+    sale, rent = DEALS[source]
+    parts = {"buy": F.when(kind == "sale", "Buy").otherwise("Rent"), "deal": F.when(kind == "sale", sale).otherwise(rent), "geo": F.upper(geo) if geo is not None else None, "slug": slug, "postal": postal, "page": page.cast("string") if page is not None else None}
+    out = F.lit(PAGE_URLS[source])
+    for name, value in parts.items():
+        if value is not None:
+            out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
+
+
+def meta_line(total: Column, generated: Column) -> Column:
+    return F.concat(total.cast("string"), F.lit(" listings · updated "), F.date_format(generated, "dd/MM/yyyy, HH:mm:ss"))

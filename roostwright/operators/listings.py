@@ -164,3 +164,19 @@ def coverage_percent(kept: Column, stated: Column) -> Column:
 def facet_options(df: DataFrame, column: str) -> DataFrame:
     """The distinct values in binary order."""
     return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def distinct_hrefs(df: DataFrame, href: str = "href") -> DataFrame:
+    """The exact number of different links."""
+    return df.agg(F.count_distinct(href).alias("n_hrefs"))
+
+
+def first_n(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    return df.orderBy(*order).limit(n)
+
+
+def has_details(df: DataFrame) -> bool:
+    """Whether any row says anything of the amenities; what a data-dependent layout asks before it is planned."""
+    if "elevator" not in df.columns:
+        return False
+    return bool(df.agg(F.bool_or(F.col("elevator").isNotNull())).collect()[0][0])

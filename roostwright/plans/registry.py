@@ -314,3 +314,35 @@ def coverage(spark, sf_dir):
 WHERE NOT share AND area IN ('Paris 16e', 'Paris 8e', 'Suresnes', 'Le Vésinet') AND price >= 1000""")
 def flagship_listings(spark, sf_dir):
     return flagship(spark, sf_dir)
+
+
+@register("""SELECT count(DISTINCT h) AS n_hrefs FROM (SELECT unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS h FROM pages)""")
+def distinct_hrefs(spark, sf_dir):
+    return L.distinct_hrefs(scan_anchors(read(spark, sf_dir, "pages")))
+
+
+@register("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200")
+def row_cap(spark, sf_dir):
+    """The hard limit of a source: its first 200 rows in order."""
+    return L.first_n(read(spark, sf_dir, "orders"), 200, [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "o_totalprice")
+
+
+@register("""SELECT page_id, page_id % 5 IN (1, 3) OR length(html) < 2000 AS blocked, length(html) < 500 AS short FROM pages""")
+def page_flags(spark, sf_dir):
+    status = F.when(F.col("page_id") % 5 == 1, 403).when(F.col("page_id") % 5 == 3, 429).otherwise(200)
+    return read(spark, sf_dir, "pages").select("page_id", L.blocked(status, F.col("html")).alias("blocked"), L.short_page(F.col("html")).alias("short"))
+
+
+@register("""SELECT d.i::INTEGER AS arrondissement, 'https://www.seloger.com/classified-search?distributionTypes=' || k.b || '&estateTypes=Apartment&locations=AD09FR' || (25 + d.i) || '&page=1' AS url
+FROM generate_series(1, 20) d(i), (VALUES ('Buy'), ('Rent')) k(b)""")
+def page_urls(spark, sf_dir):
+    rows = dims.arrondissement_dim(spark).withColumn("kind", F.explode(F.array(F.lit("sale"), F.lit("rent"))))
+    return rows.select("arrondissement", X.page_url("SeLoger", F.col("kind"), geo=F.col("geoCode"), page=F.lit(1)).alias("url"))
+
+
+@register("""SELECT n_nationkey, (n_nationkey % 7 > 0 AND n_nationkey % 7 < 4)::BOOLEAN AS furnished_known FROM nation""")
+def category_flags(spark, sf_dir):
+    """Categories that say whether their flats are furnished."""
+    n = F.col("n_nationkey") % 7
+    name = F.when(n.isin(1, 3), "furnished").when(n == 2, "unfurnished").otherwise("sale")
+    return read(spark, sf_dir, "nation").select("n_nationkey", X.furnished_from_category(name).isNotNull().alias("furnished_known"))

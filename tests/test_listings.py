@@ -131,3 +131,30 @@ def test_artifacts(spark, tmp_path):
     assert {r.artifact: r.found for r in L.source_status(every, merged).collect()} == {"output-main.json": 2, "output-seloger-suresnes-shard-0.json": 1, "output-seloger-arr-5-shard-0.json": 1, "output-junot.json": 0}
     area = L.drop_room_shares(merged).withColumn("a", X.normalize_area(F.col("address"))).select("a.area").distinct().collect()
     assert [r.area for r in area] == ["Paris 5e"]
+
+
+def test_combine_isolates_failures(spark):
+    from roostwright.operators.combine import combine, merge_folder  # noqa: F401
+
+    def broken():
+        raise RuntimeError("blocked")
+
+    rows, status = combine(spark, {"a": lambda: frame(spark, [("u",)], "url string"), "b": broken, "c": lambda: frame(spark, [("v", 1)], "url string, price int"), "d": broken}, skip=frozenset({"d"}))
+    assert {r.source: (r.found, r.error) for r in status.collect()} == {"a": (1, None), "b": (0, "blocked"), "c": (1, None)}
+    assert [(r.url, r.price, r.src_order) for r in rows.orderBy("src_order").collect()] == [("u", None, 0), ("v", 1, 2)]
+
+
+def test_merge_of_a_folder(spark, tmp_path):
+    import json
+
+    from roostwright.operators.combine import dataset_meta, merge_folder
+
+    l = lambda u, share=False: {"url": u, "price": 1000, "isRoomShare": share, "address": "Paris 5e"}  # noqa: E731, E741
+    for name, body in {"output-main.json": {"listings": [l("a")]}, "output-junot.json": {"listings": [l("a"), l("b"), l("c", True)]}}.items():
+        (tmp_path / name).write_text(json.dumps(body))
+    published, status = merge_folder(spark, str(tmp_path))
+    assert sorted((r.url, r.normalizedArea.area) for r in published.collect()) == [("a", "Paris 5e"), ("b", "Paris 5e")]
+    assert {r.artifact: (r.found, r.error) for r in status.collect()} == {
+        "output-main.json": (1, None), "output-junot.json": (2, None), "DanielFeau": (0, artifacts.MISSING), "Eiffel Housing": (0, artifacts.MISSING),
+    }
+    assert dataset_meta(published, "rent").collect()[0].totalListings == 2 and not L.has_details(frame(spark, [(None,)], "elevator boolean"))
