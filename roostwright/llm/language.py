@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 from . import textnum as N
@@ -119,17 +120,24 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, batch:
     return net
 
 
-def train(docs: DataFrame, per_lang: int = 500, per_text: int = 3, most_langs: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Net | None:
-    """Learns from at most per_lang texts (by id hash) of each of the most_langs most frequent languages, per_text windows each,
-    spread over the text. None if there is no labelled text."""
+def train(docs: DataFrame, per_lang: int = 500, per_text: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Net | None:
+    """Learns every language that labels a text, from at most per_lang different (id, text) of each, by hash, per_text windows each,
+    spread over the text. None if there is no labelled text.
+
+    About 1.2 times as many are drawn by a share of the hashes, from a count of the different ones; each language is then cut for
+    itself, so none uses up the place of another, and repeated rows or a shared id leave none without examples.
+    """
     known = docs.filter(F.col(lang_col).isNotNull() & (F.length(C.text_or_empty(text_col)) > 0))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_langs).collect()}
-    if not counts:
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
+    tally = C.durable(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "langs")
+    langs = sorted(r[0] for r in tally.select("lang").collect())
+    if not langs:
         return None
-    langs = sorted(counts)
-    of = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1_000_000, int(1.2e6 * per_lang / counts[k]) + 1))])
-    picked = known.filter(of < F.coalesce(share[F.col(lang_col)], F.lit(0))).select(of.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    share = tally.select("lang", (F.lit(1.2e6 * per_lang) / F.col("n") + 1).cast("long").alias("share"))
+    picked = known.join(C.small(share, len(langs)), "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("share"))
+    picked = picked.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000)), "h"))
+    picked = picked.withColumn("nth", nth).filter(F.col("nth") <= per_lang).select("h", "lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in N.slices(batches):
@@ -139,9 +147,10 @@ def train(docs: DataFrame, per_lang: int = 500, per_text: int = 3, most_langs: i
             keep = np.flatnonzero((nth * per_text) // n[text] != ((nth - 1) * per_text) // n[text])
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text[keep])), rows.column(1).take(pa.array(text[keep])), pa.array([w.tobytes() for w in x[keep]], pa.binary())], ["h", "lang", "w"])
 
-    sample = picked.mapInArrow(cut, "h long, lang string, w binary").orderBy("lang", "h", "w").limit(per_lang * per_text * 2 * len(langs)).toArrow()
+    sample = picked.mapInArrow(cut, "h long, lang string, w binary").orderBy("lang", "h", "w").toArrow()
     x = np.frombuffer(b"".join(sample.column("w").to_pylist()), np.uint8).reshape(-1, WINDOW)
-    y = np.array([langs.index(v) for v in sample.column("lang").to_pylist()])
+    at = {v: i for i, v in enumerate(langs)}
+    y = np.array([at[v] for v in sample.column("lang").to_pylist()])
     return fit(x, y, langs)
 
 
@@ -158,7 +167,7 @@ def predict(docs: DataFrame, net: Net | None, text_col: str = "text", carry: tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
-        for rows, data, off in N.slices(batches, "__text", 1 << 20):
+        for rows, data, off in N.slices(batches, "__text", 1 << 20, max(1, (1 << 21) // len(net.langs))):
             n = len(off) - 1
             x, text, held = windows(data, off)
             total = np.zeros((n, len(net.langs)))

@@ -52,15 +52,15 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets from 0) of about `most` bytes of text each; a longer text comes alone."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 21, most_rows: int = 1 << 31) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets from 0) of about `most` bytes of text and at most most_rows rows each; a longer text comes alone."""
     for b in batches:
         if not b.num_rows:
             continue
         data, off = column_bytes(b.column(b.schema.get_field_index(text)))
         lo = 0
         while lo < b.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
+            hi = min(lo + most_rows, max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1))
             yield b.slice(lo, hi - lo), data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
 

@@ -36,6 +36,27 @@ def test_language_is_learnt_and_odd_texts_are_defined(spark):
     assert {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    r = random.Random(8)
+    rows = [(i, words(r, chr(0x4E00 + 40 * (i % 70)) + "ab", 60), f"l{i % 70:02}", "s", 0) for i in range(70 * 40)]
+    net = language.train(spark.createDataFrame(rows[:-140], SCHEMA))
+    assert net.langs == [f"l{n:02}" for n in range(70)]
+    got = {x.doc_id: x.lang_pred for x in language.predict(spark.createDataFrame(rows[-140:], SCHEMA), net).collect()}
+    right = [got[i] == lang for i, _, lang, _, _ in rows[-140:]]
+    late = [got[i] == lang for i, _, lang, _, _ in rows[-140:] if lang >= "l64"]
+    assert np.mean(right) > 0.5 and np.mean(late) > 0.5
+
+
+@pytest.mark.parametrize("doc_id", [7, 8, None])
+def test_languages_that_share_one_id_are_all_learnt(spark, doc_id):
+    rows, _ = corpus(spark, 600)
+    docs = spark.createDataFrame([(doc_id, t, lang, "s", i) for i, t, lang, _, _ in rows], SCHEMA)
+    net = language.train(docs.unionByName(docs.filter("lang = 'zz'")), per_lang=60)
+    assert net.langs == ["xx", "yy", "zz"]
+    got = {x.n_chars: x.lang_pred for x in language.predict(docs, net).collect()}
+    assert sum(got[i] == lang for i, _, lang, _, _ in rows) / len(rows) > 0.95
+
+
 def test_tables_of_the_network_give_its_convolutions():
     r = np.random.default_rng(0)
     x = r.integers(0, 256, (50, language.WINDOW)).astype(np.uint8)
