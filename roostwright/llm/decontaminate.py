@@ -39,7 +39,16 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def simhash(s: np.ndarray) -> np.ndarray:
-    """The fingerprint, as 16 blocks of 16 bits, of shingles that count as often as they stand."""
+    """The fingerprint, as 16 blocks of 16 bits, of shingles that count as often as they stand.
+
+    The second, third, ... time a shingle stands is a vote of its own, so the angle follows from the weighted similarity for repeated ones too.
+    """
+    t = np.sort(s)
+    new = np.append(True, t[1:] != t[:-1])[: len(t)]
+    if not new.all():
+        place = np.arange(len(t))
+        nth = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(U)
+        s = np.where(nth > 0, N.mix(t ^ (nth * U(0x9E3779B97F4A7C15))), t)
     votes = np.zeros(BITS, np.int64)
     for i in range(0, BITS, 64):
         bits = np.unpackbits(N.mix(s ^ U(0x632BE59BD9B4E019 * (i // 64 + 1) & 0xFFFF_FFFF_FFFF_FFFF)).view(np.uint8).reshape(-1, 8), axis=1)
@@ -132,12 +141,12 @@ LEAK_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()),
 
 
 def benchmark_blocks(benchmark: DataFrame, k: int) -> Iterator[Index]:
-    """The benchmark's items, dealt by id to as many blocks as their counted number and words ask for."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("item_id is not null and text is not null")
+    """The benchmark's items, dealt by id and text to as many blocks as their counted number and words ask for."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null")
     n, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.regexp_count("text", F.lit(C.WORD))), F.lit(0))).collect()[0]
     blocks = max(1, -(-n * 5 // (BLOCK_ITEMS * 4)), -(-words * 5 // (BLOCK_WORDS * 4)))
     for b in range(blocks):
-        got = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").toArrow()
+        got = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").toArrow()
         yield Index.of(got.column("item_id").to_pylist(), got.column("text").to_pylist(), k)
 
 
@@ -146,7 +155,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float =
 
     A column named leaks is replaced. Letters A-Z are read as small, words end at white space. A document shorter
     than an item is one window. Items of fewer than k words are one shingle; null and empty items are found nowhere, null and empty
-    documents hold nothing; an empty benchmark finds nothing. Items with the same id are searched each for itself.
+    documents hold nothing; an empty benchmark finds nothing. Items with the same id, or none, are searched each for itself.
     """
     names = [c for c in (docs.columns if carry is None else carry) if c != "leaks"]
     schema = C.nullable(docs.select(*names).schema).add("__text", "string").add("leaks", LEAK)

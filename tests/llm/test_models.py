@@ -140,6 +140,16 @@ def test_decontamination(spark):
     assert all(not x.leaks for x in decontaminate.find_leaks(docs, bench.limit(0)).collect())
 
 
+def test_items_with_long_runs_and_without_ids_are_found(spark):
+    r = random.Random(9)
+    around = [(words(r, "abcdefgh", 90), words(r, "abcdefgh", 93)) for _ in range(12)]
+    items = [f"{a} {'. ' * 17}{b}" for a, b in around]
+    docs = spark.createDataFrame([(i, f"{words(r, 'abcdefgh', 9)} {a} {'_ ' * 17}{b}", "en", "s", 0) for i, (a, b) in enumerate(around)], SCHEMA)
+    bench = spark.createDataFrame([(i if i < 10 else None, t) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, y.item_id, y.start) for x in decontaminate.find_leaks(docs, bench).collect() for y in x.leaks}
+    assert got == {(i, i if i < 10 else None, 9) for i in range(12)}
+
+
 def test_blocks_of_the_benchmark_add_up(spark, monkeypatch):
     r = random.Random(6)
     items = [words(r, "abcdefgh", 20) for _ in range(12)]
