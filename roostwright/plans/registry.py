@@ -13,7 +13,7 @@ from ..operators import listings as L
 from ..operators import present as V
 from ..operators.query import ListingQuery
 from ..sources import dims
-from ..sources.html import scan_anchors
+from ..sources.html import PROFILES, scan_anchors, scan_cards
 from .cards import SUBURBS, cards
 from .flagship import flagship, located
 
@@ -232,6 +232,17 @@ def anchor_scan(spark, sf_dir):
     return scan_anchors(read(spark, sf_dir, "pages"))
 
 
+@register(BASE + """SELECT k AS p_partkey, 0::INTEGER AS pos, '/annonce-immobiliere/' || k AS url, price, rooms, sqm FROM c WHERE NOT on_request""")
+def card_scan(spark, sf_dir):
+    """Cards rendered as HTML pages, found again by their links and read; those without a price are no cards."""
+    r = cards(spark, sf_dir)
+    link = F.concat(F.lit('<a href="/annonce-immobiliere/'), F.col("p_partkey").cast("string"), F.lit('?src=x">Voir</a>'))
+    body = F.concat(F.lit("<p>"), F.replace("rawText", F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    html = F.concat(F.lit("<div><section>"), body, F.lit("<div>"), link, F.lit("</div>"), link, F.lit('</section><aside><a href="/contact">9 €</a></aside></div>'))
+    found = scan_cards(r.select("p_partkey", F.when(F.col("rawText").contains("€"), html).otherwise(F.replace(html, F.lit("9 €"), F.lit("9"))).alias("html")), PROFILES["DanielFeau"], "p_partkey")
+    return X.parse_listing(r.drop("url", "rawText").join(found, "p_partkey")).select("p_partkey", "pos", "url", "price", "rooms", "sqm")
+
+
 @register("SELECT page_id, split_part(url, '?', 1) AS url FROM pages")
 def strip_query(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", X.strip_query(F.col("url")).alias("url"))

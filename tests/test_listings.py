@@ -1,11 +1,15 @@
 """Merging, filtering, enrichment, state sync and limits."""
 
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 from roostwright.functions import text as X
 from roostwright.operators import listings as L
 from roostwright.operators import present as V
 from roostwright.operators.query import ListingQuery
+from roostwright.plans import registry
 from roostwright.sources import artifacts, dims
 from roostwright.sources.html import PROFILES, cards
 
@@ -158,3 +162,10 @@ def test_merge_of_a_folder(spark, tmp_path):
         "output-main.json": (1, None), "output-junot.json": (2, None), "DanielFeau": (0, artifacts.MISSING), "Eiffel Housing": (0, artifacts.MISSING),
     }
     assert dataset_meta(published, "rent").collect()[0].totalListings == 2 and not L.has_details(frame(spark, [(None,)], "elevator boolean"))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="driver tables are not here")
+def test_scan_cards_runs_over_all_cards(spark):
+    rows = registry.queries()["card_scan"](spark, "/root/testdata/sf0.001").collect()
+    keys = [r.p_partkey for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey").collect()]
+    assert sorted(r.p_partkey for r in rows) == sorted(k for k in keys if k % 5 != 4) and all(r.price > 0 and r.rooms == r.p_partkey % 6 + 1 for r in rows)
