@@ -315,6 +315,14 @@ def slug_names(spark, sf_dir):
     return rows.filter(F.col("slug").isin("neuilly-sur-seine", "ville-d-avray", "le-vesinet", "la-garenne-colombes"))
 
 
+@register(f"""SELECT s AS slug, array_to_string(list_transform(string_split(s, '-'), lambda w, i:
+  CASE WHEN i > 1 AND w IN ('sur', 'en', 'la', 'le', 'les', 'de', 'des', 'du', 'et', 'd''') THEN w ELSE upper(w[1]) || w[2:] END), '-') AS name
+FROM (VALUES {", ".join(f"('{s}')" for s in dims.LOCATION_SLUGS)}) t(s)""")
+def all_slug_names(spark, sf_dir):
+    """Names of all slugs; slug_names has those of four."""
+    return dims.location_dim(spark).select("slug", X.slug_to_display(F.col("slug")).alias("name"))
+
+
 @register("SELECT n_nationkey, n_name, CASE WHEN n_nationkey = 0 THEN NULL ELSE round(100 * (n_nationkey // 2)::DOUBLE / n_nationkey, 1) END AS percent FROM nation")
 def coverage(spark, sf_dir):
     n = F.col("n_nationkey")

@@ -169,3 +169,8 @@ def test_scan_cards_runs_over_all_cards(spark):
     rows = registry.queries()["card_scan"](spark, "/root/testdata/sf0.001").collect()
     keys = [r.p_partkey for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey").collect()]
     assert sorted(r.p_partkey for r in rows) == sorted(k for k in keys if k % 5 != 4) and all(r.price > 0 and r.rooms == r.p_partkey % 6 + 1 for r in rows)
+
+
+def test_all_slugs_are_named(spark):
+    rows = {r.slug: r.name for r in registry.queries()["all_slug_names"](spark, "").collect()}
+    assert sorted(rows) == sorted(dims.LOCATION_SLUGS) and all(n.lower() == s and n[0].isupper() for s, n in rows.items())
