@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -16,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows up to which a slim table (a few numbers or one digest a row) is broadcast: 500,000 x 64 bytes = 32 MB.
 BROADCAST_ROWS = 500_000
+#: A key is hot if it has more rows than HOT_ROWS and than one in HOT_KEYS of all, so there are less than HOT_KEYS hot keys.
+HOT_ROWS, HOT_KEYS = 10_000, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,31 +29,110 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it a temporary folder serves in local mode, where
+    there is one machine only; elsewhere executors would write to disks that nobody else reads, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="roostwright-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def durable(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """df, written once as Parquet to the shared folder and read back: its lineage ends here, and a lost executor loses none of it. The folder goes when the driver ends."""
-    spark = df.sparkSession
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_made: list[list[str]] = []
+
+
+def counted(df: DataFrame, tag: str, compression: str = "snappy") -> tuple[DataFrame, int]:
+    """df, written once as Parquet to the shared folder and read back, and its number of rows, counted by the writing itself.
+
+    Its lineage ends here, and a lost executor loses none of it. The folder goes by `delete`, with its `scratch`, or when the driver ends.
+    """
+    spark, rows = df.sparkSession, Observation()
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.option("compression", compression).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(nullable(df.schema)).parquet(path)
+    out = spark.read.schema(nullable(df.schema)).parquet(path)
+    _paths[out] = path
+    if _made:
+        _made[-1].append(path)
+    return out, rows.get["n"]
+
+
+def durable(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
+    return counted(df, tag, compression)[0]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def delete(*spent: DataFrame | None) -> None:
+    """Removes the folders of tables that `durable` gave and nothing reads any more; other DataFrames are left alone."""
+    for df in spent:
+        if df is not None and (path := _paths.pop(df, None)):
+            _remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that `durable` writes inside are removed at the end, but for those passed through what it gives: with scratch(spark) as keep: out = keep(durable(...))."""
+    mine: list[str] = []
+    _made.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        mine.remove(_paths[df])
+        return df
+
+    try:
+        yield keep
+    finally:
+        _made.remove(mine)
+        for path in mine:
+            _remove(spark, path)
 
 
 def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
     """df with a broadcast hint if its counted rows are few; otherwise as it is, and Spark shuffles the join."""
-    return F.broadcast(df) if rows <= most else df
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
+
+
+def hot_above(rows: int) -> int:
+    """How many rows of one key are too many for one task; less than HOT_KEYS keys can have more."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: str, n_keyed: int, n_rows: int, how: str = "inner", times: str = "n") -> DataFrame:
+    """rows joined (inner, left or left_semi) with keyed, which has a row a key and in `times` how often rows hold it.
+
+    A small `keyed` is broadcast. Otherwise the keys of very many rows are, which are few by their very frequency, and only the other rows are
+    shuffled: no key's rows meet in one task.
+    """
+    if n_keyed <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed), on, how)
+    hot = F.broadcast(keyed.filter(F.col(times) > hot_above(n_rows)))
+    rest = rows.join(hot.select(on), on, "left_anti").join(keyed.filter(F.col(times) <= hot_above(n_rows)), on, how)
+    return rows.join(hot, on, "left_semi" if how == "left_semi" else "inner").unionByName(rest)
+
+
+def join_salted(rows: DataFrame, other: DataFrame, on: str, by: str, n_rows: int) -> DataFrame:
+    """rows joined with other, which has a row a key, wide ones maybe: a key of very many rows is parted by the hash of `by`, with a copy of its `other` row for each part."""
+    if n_rows <= HOT_ROWS:  # no key can have more
+        return rows.join(other, on)
+    most = hot_above(n_rows)
+    hot = rows.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
+    hot = F.broadcast(hot.select(on, F.ceil(F.col("__n") / most).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    left = rows.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
+    right = other.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [on, "__salt"]).drop("__salt")
 
 
 def hex_digits(rows: int, per_bin: int = 4096, least: int = 1, most: int = 6) -> int:

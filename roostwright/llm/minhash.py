@@ -116,19 +116,19 @@ def full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, k: int) -> DataFrame:
     return C.durable(few.mapInArrow(run, "id long, set array<long>"), "minhash-sets")
 
 
-def verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct (a, b) of n_pairs pairs whose full sets are alike by percent or more."""
+def verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """The (a, b) of n_pairs distinct pairs whose full sets are alike by percent or more, and their number. A pivot of very many pairs is parted by the other end."""
     if 2 * n_pairs <= C.BROADCAST_ROWS:  # only the sets in question move
         asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = sets.join(F.broadcast(asked), "id", "left_semi")
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = C.join_salted(C.join_salted(pairs.select("a", "b"), left, "a", "b", n_pairs), right, "b", "a", n_pairs)
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
+    return C.counted(both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "minhash-links")
 
 
-def components(edges: DataFrame) -> tuple[DataFrame, int]:
+def components(edges: DataFrame, n_edges: int | None = None) -> tuple[DataFrame, int]:
     """(node, comp: the least node reachable) of edges (a, b), and the number of rows: union-find by large and small stars until nothing moves."""
 
     def stars(e: DataFrame, n: int, small: bool) -> DataFrame:
@@ -136,25 +136,29 @@ def components(edges: DataFrame) -> tuple[DataFrame, int]:
             ends = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         else:  # a node's greater neighbours go to the least of all
             ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.u", "x.v")
-        least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = ends.join(C.small(least, 2 * n), "u")
+        least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = C.join_hot(ends, least, "u", 2 * n, 2 * n)
         if small:
             moved = joined.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         else:
             moved = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return moved.filter("a <> b")
 
-    now, last = edges, (edges.count(), None)
+    now, n, last = edges, edges.count() if n_edges is None else n_edges, None
     while True:
-        n = last[0]
-        now = C.durable(stars(stars(now, n, small=False), 2 * n, small=True).distinct(), "minhash-stars")
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
+        new, rows = C.counted(stars(stars(now, n, small=False), 2 * n, small=True).distinct(), "minhash-stars")
+        state = (rows, new.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0][0])
+        if now is not edges:
+            C.delete(now)
+        now, n = new, rows
         if state == last:
             break
         last = state
     # all is stars now: each node but a centre has one edge, to its centre
     ends = now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")))
-    return C.durable(ends.distinct(), "minhash-comps"), 2 * last[0]
+    out = C.counted(ends.distinct(), "minhash-comps")
+    C.delete(now)
+    return out
 
 
 def could_be_alike(percent: int):
@@ -171,12 +175,12 @@ def with_comp(rows: DataFrame, comp: DataFrame, n: int) -> DataFrame:
 
 def several(rows: DataFrame, n: int) -> DataFrame:
     """The n rows' buckets (key) that hold more than one component, with `main`, the largest one."""
-    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-    return rows.join(C.small(sizes.filter("comps > 1").select("key", "main"), n), "key")
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("n"))
+    return C.join_hot(rows, sizes.filter("comps > 1").select("key", "main", F.col("n").alias("__rows")), "key", n, n, times="__rows").drop("__rows")
 
 
-def rare_buckets(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """key, id, n, rest: the rarest shingles of docs (id, n, comp), enough of them that two sets alike by percent share one.
+def rare_buckets(docs: DataFrame, sets: DataFrame, n_shingles: int, percent: int) -> DataFrame:
+    """key, id, n, rest: of n_shingles in all, the rarest shingles of docs (id, n, comp), enough of them that two sets alike by percent share one.
 
     Of n shingles a set has to share ceil(percent * n / 100), so among its rarest n - that + 1, by one order for
     all, is one that the other holds among its own. Shingles of a single document come first in that order and need no bucket:
@@ -184,7 +188,7 @@ def rare_buckets(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     each = sets.join(docs.select("id", "n"), "id").select("id", "n", F.explode("set").alias("key"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    each = each.join(often, "key")
+    each = C.join_hot(each, often, "key", n_shingles, n_shingles, times="c")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("c", "key"))
     each = each.withColumn("__rank", rank).withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy("id")))
     # rest: shingles from this one on, in that order; no more can be shared by two texts whose first common one it is
@@ -194,50 +198,56 @@ def rare_buckets(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, th, n_shingles, component_id of docs (doc_id, th, text)."""
-    sig = C.durable(signatures(docs, k), "minhash-signatures")
-    cls = sig.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    cls = cls.select(F.col("d1").alias("__1"), F.col("d2").alias("__2"), "rep")
-    joined = sig.join(cls, (F.col("d1") == F.col("__1")) & (F.col("d2") == F.col("__2")), "left")
-    rep = F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id"))
-    member = C.durable(joined.select("doc_id", "th", "n", rep.alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "minhash-classes")
-    every = member.filter("bands is not null and n > 0").select(F.explode(F.array_distinct("bands")).alias("key"), F.col("rep").alias("id"), "n")
+    sig, n_sig = C.counted(signatures(docs, k), "minhash-signatures")
+    # equal sets: digests held once need no class
+    cls, n_cls = C.counted(sig.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "minhash-classes")
+    whole = F.struct("d1", "d2").alias("d")
+    joined = C.join_hot(sig.withColumn("d", whole), cls.select(whole, "rep", "c"), "d", n_cls, n_sig, "left", times="c") if n_cls else sig.withColumn("rep", F.lit(None).cast("long"))
+    member = joined.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"), "bands")
+    every = member.filter((F.col("n") > 0) & F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.explode(F.array_distinct("bands")).alias("key"), F.col("rep").alias("id"), "n")
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    bucket = C.durable(every.join(shared, "key", "left_semi").select("key", "id", "n"), "minhash-buckets")
-    ids = C.durable(bucket.select("id").distinct(), "minhash-ids")
+    bucket, n_bucket = C.counted(every.join(shared, "key", "left_semi").select("key", "id", "n"), "minhash-buckets")
     out = member.select("doc_id", "th", F.col("n").alias("n_shingles"), "rep")
-    n_ids = ids.count()
-    if not n_ids:
+    if not n_bucket:
         return out.withColumnRenamed("rep", "component_id")
+    ids, n_ids = C.counted(bucket.groupBy("id").agg(F.min("n").alias("n")), "minhash-ids")
     sets = full_sets(docs, ids, n_ids, k)
-    pivot = bucket.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p")).select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"))
-    pairs = bucket.join(pivot, "key").filter((F.col("id") != F.col("pid")) & could_be_alike(percent))
-    pairs = C.durable(pairs.select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct(), "minhash-pairs")
-    links = C.durable(verified(pairs, pairs.count(), sets, percent), "minhash-links")
-    comp, n_comp = components(links)
-    unsure = several(with_comp(bucket.join(pivot.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti"), comp, n_comp), bucket.count())
-    whole = C.small(unsure.select("id", "n").distinct(), n_ids)
-    left = C.durable(rare_buckets(whole, sets, percent), "minhash-rare")
-    while True:
-        now = C.durable(several(with_comp(left, comp, n_comp), left.count()), "minhash-left")
+    pivot = bucket.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("c")).select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), "c")
+    pairs = C.join_hot(bucket, pivot, "key", n_bucket, n_bucket, times="c").filter((F.col("id") != F.col("pid")) & could_be_alike(percent))
+    pairs, n_pairs = C.counted(pairs.select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct(), "minhash-pairs")
+    comp, n_comp = components(*verified(pairs, n_pairs, sets, percent))
+    C.delete(pairs)
+    unsure = several(with_comp(bucket.join(pivot.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti"), comp, n_comp), n_bucket)
+    asked, n_asked = C.counted(unsure.groupBy("id").agg(F.min("n").alias("n")), "minhash-unsure")
+    n_shingles = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    left, n_left = C.counted(rare_buckets(C.small(asked, n_asked), sets, n_shingles, percent), "minhash-rare")
+    C.delete(bucket, ids, asked)
+    done = None
+    while n_left:
+        rest = left if done is None else left.select("key", "id", "n", "rest").join(C.small(done.select("key", F.col("pid").alias("id")), n_done), ["key", "id"], "left_anti")
+        now, n_left = C.counted(several(with_comp(rest, comp, n_comp), n_left), "minhash-left")
+        C.delete(left, done)
         deal = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
         pivot = now.filter("comp <> main").groupBy("key", deal.alias("deal")).agg(F.min(F.struct("id", "n", "comp", "rest")).alias("p"))
-        pivot = C.durable(pivot.select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"), F.col("p.rest").alias("pr")), "minhash-pivots")
-        n_pivots = pivot.count()
-        if not n_pivots:
+        pivot = pivot.select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"), F.col("p.rest").alias("pr"))
+        left, (done, n_done) = now, C.counted(pivot, "minhash-pivots")
+        if not n_done:
             break
         enough = (100 + percent) * F.least("rest", "pr") >= percent * (F.col("n") + F.col("pn"))
-        pairs = now.join(C.small(pivot, n_pivots), "key").filter((F.col("comp") != F.col("pc")) & could_be_alike(percent) & enough)
-        pairs = C.durable(pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct(), "minhash-pairs")
-        n_pairs = pairs.count()
+        near = now.join(F.broadcast(done), "key") if n_done <= C.BROADCAST_ROWS else C.join_salted(now, done, "key", "id", n_left)
+        pairs = near.filter((F.col("comp") != F.col("pc")) & could_be_alike(percent) & enough)
+        pairs, n_pairs = C.counted(pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct(), "minhash-pairs")
         if n_pairs:
-            found = C.durable(verified(pairs, n_pairs, sets, percent), "minhash-links")
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                comp, n_comp = components(links)
-        left = now.select("key", "id", "n", "rest").join(C.small(pivot.select("key", F.col("pid").alias("id")), n_pivots), ["key", "id"], "left_anti")
-        left = C.durable(left, "minhash-rest")
-    label = comp.select(F.col("node").alias("rep"), "comp")
-    return out.join(label, "rep", "left").select("doc_id", "th", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
+            found, n_found = verified(pairs, n_pairs, sets, percent)
+            if n_found:  # the components so far are stars already
+                before = comp
+                comp, n_comp = components(comp.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found), n_comp + n_found)
+                C.delete(before)
+            C.delete(found)
+        C.delete(pairs)
+    C.delete(left, done, sets)
+    label = comp.select(F.col("node").alias("rep"), "comp").join(cls.select("rep", "c"), "rep", "left").select("rep", "comp", F.coalesce("c", F.lit(1)).alias("c"))
+    return C.join_hot(out, label, "rep", n_comp, n_sig, "left", times="c").select("doc_id", "th", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

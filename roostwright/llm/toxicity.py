@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,18 +77,20 @@ class Model:
         return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
-def pick_features(pos: list[np.ndarray], unl: list[np.ndarray], most: int = 3000) -> np.ndarray:
-    """Runs far more frequent, by texts, in the positives than in the unlabelled texts."""
-    p, pc = np.unique(np.concatenate(pos), return_counts=True)
-    u, uc = np.unique(np.concatenate(unl), return_counts=True)
-    keep = pc >= 3
-    p, pc = p[keep], pc[keep]
-    at = np.searchsorted(u, p).clip(0, len(u) - 1)
-    other = np.where(u[at] == p, uc[at], 0)
-    share, base = pc / len(pos), (other + 0.5) / len(unl)
-    z = (share - base) / np.sqrt(base * (1 - base).clip(1e-9) / len(pos))
-    good = np.flatnonzero((z > 5) & (share > 2.5 * base))
-    return np.sort(p[good[np.argsort(-z[good], kind="stable")[:most]]])
+class Sparse:
+    """A matrix of few entries, rows x features, for `@` from either side."""
+
+    __array_ufunc__ = None
+
+    def __init__(self, size: np.ndarray, feature: np.ndarray, value: np.ndarray, n_features: int) -> None:
+        self.shape, self.feature, self.value = (len(size), n_features), feature, value
+        self.row = np.repeat(np.arange(len(size)), size)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.feature], self.shape[0])
+
+    def __rmatmul__(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.feature, self.value * g[self.row], self.shape[1])
 
 
 def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -113,45 +116,71 @@ def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate:
     return w.astype(float), float(b)
 
 
+def sampled_runs(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, id_col: str, text_col: str) -> DataFrame:
+    """toxic, runs, times: the runs of each distinct text of the sample, written once. Only the drawn ids' texts leave the scan."""
+    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct()
+    toxic = labels.filter("toxic = 1").select(F.col(id_col).alias("id")).distinct()
+    draw = lambda of, most: of.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(most)
+    drawn = draw(ids.join(toxic, "id", "left_semi"), most_positive).withColumn("toxic", F.lit(True)).unionByName(draw(ids, most_unlabelled).withColumn("toxic", F.lit(False)))
+    rows = docs.select(F.col(id_col).alias("id"), C.text_or_empty(text_col).alias("text"))
+    rows = rows.join(F.broadcast(drawn), "id").select("toxic", "text").distinct()  # most_positive + most_unlabelled ids
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in N.slices(batches):
+            v, text = runs(data, off)
+            cuts = np.searchsorted(text, np.arange(len(off)))
+            each = [np.unique(v[a:b], return_counts=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            size = np.array([len(x) for x, _ in each])
+            lists = [N.list_array(np.concatenate(x), size) for x in zip(*each, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["toxic", "runs", "times"])
+
+    return C.durable(rows.mapInArrow(count, "toxic boolean, runs array<long>, times array<long>"), "toxicity-sample")
+
+
+def pick_features(sample: DataFrame, n_pos: int, n_unl: int, most: int = 3000) -> np.ndarray:
+    """Runs far more frequent, by texts, in the positives than in the unlabelled texts: at most `most`, those that stand out most."""
+    n = sample.select("toxic", F.explode("runs").alias("run")).groupBy("run").agg(F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("u")).filter("p >= 3")
+    share, base = F.col("p") / n_pos, (F.col("u") + 0.5) / n_unl
+    z = (share - base) / F.sqrt(base * F.greatest(1 - base, F.lit(1e-9)) / n_pos)
+    good = n.select("run", z.alias("z"), (share > 2.5 * base).alias("apart")).filter("z > 5 and apart").orderBy(F.desc("z"), "run").limit(most)
+    return np.sort(good.select("run").toPandas()["run"].to_numpy(np.int64))
+
+
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = 2000, most_unlabelled: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learns from at most most_positive and most_unlabelled distinct texts of docs, those with the least id hashes.
 
     Texts whose id has toxic = 1 in labels are the positives, all texts of docs are the unlabelled ones, and the share of ones in
     labels is the class prior unless one is given. Without positives or unlabelled text the model gives every text its
-    prior. The sample is drawn by id, so only its own texts leave the scan.
+    prior. Features are counted by Spark; the driver gets the sample as a sparse matrix only, however long its texts are.
     """
     n, ones = labels.agg(F.count("toxic"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).collect()[0]
     prior = min(0.9, max(0.001, prior if prior is not None else (ones / n if n else 0.001)))
-    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct()
-    toxic = labels.filter("toxic = 1").select(F.col(id_col).alias("id")).distinct()
-
-    def sample(of: DataFrame, most: int) -> list[np.ndarray]:
-        picked = of.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(most)
-        rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("id"), "left_semi")  # `most` ids
-        texts = rows.select(C.text_or_empty(text_col).alias("text")).distinct().orderBy("text").toArrow().column("text").combine_chunks()
-        out = []
-        for _, data, off in N.slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])] if len(texts) else [])):
-            v, text = runs(data, off)
-            cuts = np.searchsorted(text, np.arange(len(off)))
-            out += [np.unique(v[a:b], return_counts=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return out
-
-    pos, unl = sample(ids.join(toxic, "id", "left_semi"), most_positive), sample(ids, most_unlabelled)
     none = Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    if not pos or not unl:
-        return none
-    features = pick_features([v for v, _ in pos], [v for v, _ in unl])
+    sample = sampled_runs(docs, labels, most_positive, most_unlabelled, id_col, text_col)
+    n_pos, n_unl = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).collect()[0]
+    features = pick_features(sample, n_pos, n_unl) if n_pos and n_unl else none.features
     if not len(features):
+        C.delete(sample)
         return none
 
-    def matrix(docs: list) -> np.ndarray:
-        x = np.zeros((len(docs), len(features)), np.float32)
-        for i, (v, c) in enumerate(docs):
-            _, a, b = np.intersect1d(features, v, assume_unique=True, return_indices=True)
-            x[i, a] = np.log1p(c[b])
-        return x
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.asarray(b.column(1).offsets)
+            v, times = (b.column(c).flatten().to_numpy() for c in (1, 2))
+            f = np.searchsorted(features, v).clip(0, len(features) - 1)
+            hit = features[f] == v
+            size = np.diff(np.concatenate([[0], np.cumsum(hit)])[at - at[0]])
+            yield pa.RecordBatch.from_arrays([b.column(0), N.list_array(f[hit].astype(np.int16), size), N.list_array(np.log1p(times[hit]).astype(np.float32), size)], ["toxic", "feature", "value"])
+
+    sparse = sample.mapInArrow(entries, "toxic boolean, feature array<short>, value array<float>").toArrow().combine_chunks()
+    C.delete(sample)
+
+    def matrix(toxic: bool) -> Sparse:
+        rows = sparse.filter(pc.equal(sparse["toxic"], toxic))
+        size = pc.list_value_length(rows["feature"]).to_numpy()
+        return Sparse(size, *(pc.list_flatten(rows[c]).to_numpy() for c in ("feature", "value")), len(features))
 
-    w, b = nn_pu(matrix(pos), matrix(unl), prior)
+    w, b = nn_pu(matrix(True), matrix(False), prior)
     return Model(features, w, b)
 
 

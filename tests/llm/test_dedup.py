@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roostwright.llm import exact_dedup, fm_index, line_dedup, minhash, substring
+from roostwright.llm import common, exact_dedup, fm_index, line_dedup, minhash, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -203,6 +203,15 @@ def test_near_dedup(spark, make, k):
     assert got == near_truth(texts, k, 80)
 
 
+def test_near_dedup_of_hot_groups_that_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    texts = family(8)
+    third = [texts[0].upper() if i % 2 else texts[0] for i in range(20)] + [f"{texts[1]} x{i}" for i in range(12)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_dedup(docs_of(spark, texts + third)).collect()}
+    assert got == near_truth(texts + third, 5, 80)
+
+
 def test_near_dedup_of_nothing_and_of_repeated_rows(spark):
     assert minhash.near_dedup(docs_of(spark, ["a"]).limit(0)).count() == 0
     twice = docs_of(spark, ["a b c d e f", None, "x y"]).unionByName(docs_of(spark, ["a b c d e f", None, "x y"]))
