@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn. What a stage wrote on its way goes once its result is there, and its result once the next one's is."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with common.scratch(spark) as keep:
+            out = keep(common.durable(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        common.delete(docs)
+        docs = out
     return docs
