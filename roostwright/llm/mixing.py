@@ -4,10 +4,13 @@ Targets: every source gets the budget's share of its weight, at most max_epochs
 take goes to the others by weight. Each source's documents are shuffled (by md5 of id and seed) and repeated in
 that order up to max_epochs times; the virtual finish time of a copy is the words its source has sent up to and with
 it, divided by the source's target. Copies are range-sorted by finish time and taken while their running total is
-within the budget. Columns and SQL functions only.
+within the budget. Then accounts are settled: a source's copies that finish after time 1 go back, and what a source lacks
+because its next document was too long is filled by the documents that fit best, a few of each source. So a source
+ends less than its shortest spare document below its target, or as near as `fills` documents bring it. Columns and SQL functions only.
 
 No source is summed in one task: running totals are made within md5 prefixes of a source and added up over the few
-prefix sums; the global order is cut into ranges of finish time in the same way.
+prefix sums; the global order is cut into ranges of finish time in the same way. All of that is done on slim rows; the
+caller's columns cross the network once.
 """
 
 from __future__ import annotations
@@ -55,7 +58,7 @@ def finish(cum: Column, epoch: Column, source_size: Column, target: Column) -> C
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, share: float = 1.0, seed: int = 7,
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, share: float = 1.0, seed: int = 7, fills: int = 3,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, per_bin: int = 4096,
 ) -> DataFrame:
     """docs with size, source_size, target and copies (int: how often the mix holds the row); columns of these names are replaced.
@@ -63,33 +66,62 @@ def mix(
     Null texts have size 0; a null source is a source of its own; rows with the same id, size and text are alike and
     may stand for each other. Rows without words are taken with those that stand before them and cost nothing. An empty
     table stays empty. No row gets more than max_epochs copies. The same rows give the same mix, however partitioned.
+    Texts of any length are counted whole; one that is longer than its source's target is left out.
     """
-    digits = C.hex_digits(docs.count(), per_bin)
     size = C.field(size_col).cast("long") if size_col else n_words(C.field(text_col))
-    ties = [F.xxhash64(C.field(text_col))] if text_col in docs.columns else []
+    tie = F.xxhash64(C.field(text_col)) if text_col in docs.columns else F.lit(0).cast("long")
     rows = C.hold(docs).select(
-        "__row", C.field(source_col).alias("source"), F.coalesce(size, F.lit(0)).alias("size"),
+        "__row", C.field(source_col).alias("source"), F.coalesce(size, F.lit(0)).alias("size"), C.field(id_col).alias("__id"), tie.alias("__tie"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(C.field(id_col).cast("string"), F.lit("null")))).alias("__k"),
-    ).withColumn("__bin", F.substring("__k", 1, digits))
-    bins = rows.groupBy("source", "__bin").agg(F.sum("size").alias("__n"))
+    )
+    slim, n = C.counted(rows.drop("__row"), "mix-sizes")
+    bin_of = F.substring("__k", 1, C.hex_digits(n, per_bin))
+    bins = slim.groupBy("source", bin_of.alias("__bin")).agg(F.sum("size").alias("__n"))
     starts = C.durable(C.running_before(bins, "__bin", "__n", "__start", ("source",)), "mix-bins")
-    targets = C.durable(source_targets(starts.select("source", F.col("__n").alias("size")), weights, max_epochs, share), "mix-targets")
-    starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(
+    targets, n_sources = C.counted(source_targets(starts.select("source", F.col("__n").alias("size")), weights, max_epochs, share), "mix-targets")
+    starts = starts.join(C.small(targets, n_sources), starts["source"].eqNullSafe(targets["source"])).select(
         starts["source"].alias("__of"), F.col("__bin").alias("__at"), "__start", "source_rank", "source_size", "target"
     )
-    order = Window.partitionBy("source", "__bin").orderBy("__k", C.field(id_col), "size", *ties)
-    rows = rows.withColumn("__cum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.join(starts, (F.col("__bin") == F.col("__at")) & F.col("source").eqNullSafe(F.col("__of")))
-    rows = rows.withColumn("__cum", F.col("__cum") + F.col("__start"))
-    last_time, last_rank = cut(rows, max_epochs, share)
+    starts, n_starts = C.counted(starts, "mix-starts")
+
+    def place(r: DataFrame) -> DataFrame:
+        """r with its place (source_rank, __bin, __rn) and the words of its source up to and with it."""
+        order = Window.partitionBy("source", "__bin").orderBy("__k", "__id", "size", "__tie")
+        r = r.withColumn("__bin", bin_of).withColumn("__rn", F.row_number().over(order)).withColumn("__cum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        r = r.join(C.small(starts, n_starts), (F.col("__bin") == F.col("__at")) & F.col("source").eqNullSafe(F.col("__of")))
+        return r.withColumn("__cum", F.col("__cum") + F.col("__start")).drop("__k", "__id", "__tie", "__of", "__at", "__start")
+
+    placed = C.durable(place(slim).drop("source"), "mix-places")
+    last_time, last_rank = cut(placed, max_epochs, share)
 
     def taken(epoch: int) -> Column:
         v = finish(F.col("__cum"), F.lit(epoch), F.col("source_size"), F.col("target"))
-        return (F.struct(v, F.col("source_rank")) <= F.struct(F.lit(last_time), F.lit(last_rank))).cast("int")
+        return ((v <= 1) & (F.struct(v, F.col("source_rank")) <= F.struct(F.lit(last_time), F.lit(last_rank)))).cast("int")
 
     copies = sum((taken(e) for e in range(max_epochs)), F.lit(0))
+    more, n_more = settle(placed.withColumn("copies", copies), n_sources, max_epochs, fills)
     names = ("size", "source_size", "target", "copies")
-    return C.unhold(rows, names, "size", "source_size", "target", copies.alias("copies"))
+    out = place(rows).withColumn("copies", copies).join(C.small(more, n_more), ["source_rank", "__bin", "__rn"], "left")
+    return C.unhold(out, names, "size", "source_size", "target", (F.col("copies") + F.coalesce("__more", F.lit(0))).cast("int").alias("copies"))
+
+
+def settle(placed: DataFrame, n_sources: int, max_epochs: int, fills: int) -> tuple[DataFrame, int]:
+    """(source_rank, __bin, __rn, __more: copies to add; number of rows): `fills` times, each source's longest document that its target has room for.
+
+    A pass is one aggregate with a row a source; no source is gathered in a task.
+    """
+    key = ["source_rank", "__bin", "__rn"]
+    room = placed.groupBy("source_rank").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("__room"))
+    picked, n = C.counted(placed.select(*key).limit(0).withColumn("size", F.lit(0).cast("long")), "mix-fills")
+    for _ in range(fills):
+        used = picked.groupBy("source_rank").agg(F.sum("size").alias("__used"))
+        left = room.join(C.small(used, n), "source_rank", "left").select("source_rank", (F.col("__room") - F.coalesce("__used", F.lit(0))).alias("__left"))
+        more = picked.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("__more"))
+        fits = placed.join(C.small(left, n_sources), "source_rank").filter((F.col("size") > 0) & (F.col("size") <= F.col("__left")))
+        fits = fits.join(C.small(more, n), key, "left").filter(F.col("copies") + F.coalesce("__more", F.lit(0)) < max_epochs)
+        best = fits.groupBy("source_rank").agg(F.max(F.struct("size", "__bin", "__rn")).alias("b")).select("source_rank", "b.__bin", "b.__rn", "b.size")
+        picked, n = C.counted(picked.unionByName(best), "mix-fills")
+    return picked.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("__more")), n
 
 
 def cut(rows: DataFrame, max_epochs: int, share: float) -> tuple[float, int]:
@@ -122,5 +154,5 @@ def cut(rows: DataFrame, max_epochs: int, share: float) -> tuple[float, int]:
 
 def op7_weighted_mix(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("size"))
-    mixed = mix(docs, size_col="size")
+    mixed = mix(C.durable(docs, "mix-documents"), size_col="size")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -64,7 +64,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows_ WHERE conv_id IS NOT NULL GROUP BY conv_id
 """
 
-OP7 = rf"""
+OP7_QUEUES = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank FROM d GROUP BY source
@@ -79,14 +79,26 @@ t AS (
   SELECT *, CASE WHEN is_full THEN cap::DOUBLE ELSE
     (budget - coalesce(sum(cap::DOUBLE) FILTER (is_full) OVER (), 0.0)) * weight::DOUBLE / sum(weight::DOUBLE) FILTER (NOT is_full) OVER () END AS target FROM g
 ), c AS (
-  SELECT d.doc_id, d.size, t.source_size, t.source_rank, t.target, t.budget, sum(d.size) OVER (PARTITION BY t.source_rank ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) AS cum
+  SELECT d.doc_id, d.size, d.k, t.source_size, t.source_rank, t.target, t.budget, sum(d.size) OVER (PARTITION BY t.source_rank ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) AS cum
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), v AS (
   SELECT *, CASE WHEN target > 0 THEN (e * source_size + cum)::DOUBLE / target ELSE 0.0 END AS v FROM c, (VALUES (0), (1), (2)) x(e)
-), r AS (SELECT *, sum(size) OVER (ORDER BY v, source_rank RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM v)
-SELECT doc_id, size, source_size, target, coalesce(sum(size) FILTER (total <= budget), 0)::BIGINT AS taken
-FROM (SELECT doc_id, size, source_size, target, total, budget FROM r) GROUP BY doc_id, size, source_size, target
-"""
+), r AS (SELECT *, sum(size) OVER (ORDER BY v, source_rank RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM v),
+c0 AS (
+  SELECT doc_id, k, size, source_rank, source_size, target, count(*) FILTER (total <= budget AND v <= 1) AS copies FROM r GROUP BY ALL
+)"""
+
+
+def op7_sql(fills: int = 3, max_epochs: int = 3) -> str:
+    """The queues up to time 1, then for each source the longest document that fits, `fills` times."""
+    sql = OP7_QUEUES
+    for i in range(fills):
+        sql += f""", f{i} AS (
+  SELECT *, row_number() OVER (PARTITION BY source_rank ORDER BY size > 0 AND size <= room AND copies < {max_epochs} DESC, size DESC, k DESC, doc_id DESC NULLS LAST) = 1
+    AND size > 0 AND size <= room AND copies < {max_epochs} AS best
+  FROM (SELECT *, target - sum(copies * size) OVER (PARTITION BY source_rank) AS room FROM c{i})
+), c{i + 1} AS (SELECT * EXCLUDE (room, best) REPLACE (copies + best::INT AS copies) FROM f{i})"""
+    return sql + f" SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM c{fills}"
 
 
 def op8_sql(n_shards: int = 16, seed: int = 8, walks: int = 12) -> str:
@@ -113,7 +125,7 @@ side AS (SELECT *, ceil(sqrt(n::DOUBLE))::BIGINT AS a FROM n), w0 AS (SELECT *,
 
 
 
-SQL = {"op1_fuse_exact_dedup": OP1, "op2_fm_substring_dedup": OP2, "op3_chunked_line_dedup": OP3, "op4_superminhash_near_dedup": OP4, "op6_reply_tree_chat": OP6, "op7_weighted_mix": OP7}
+SQL = {"op1_fuse_exact_dedup": OP1, "op2_fm_substring_dedup": OP2, "op3_chunked_line_dedup": OP3, "op4_superminhash_near_dedup": OP4, "op6_reply_tree_chat": OP6, "op7_weighted_mix": op7_sql()}
 
 
 def op8_full_sql() -> str:
