@@ -102,7 +102,7 @@ def op7_sql(fills: int = 3, max_epochs: int = 3) -> str:
 
 
 def op8_sql(n_shards: int = 16, seed: int = 8, walks: int = 12) -> str:
-    """The permutation round by round; the law, sizes and slots need no more than the row numbers."""
+    """The permutation round by round; the law, sizes and slots need no more than the row numbers. `walks` passes are written out; a table that would need more is an error."""
 
     def rounds(x: str, stage: str) -> str:
         out = f", {stage}0 AS (SELECT *, {x} // b AS p, {x} % b AS q FROM {stage}in)"
@@ -116,12 +116,14 @@ def op8_sql(n_shards: int = 16, seed: int = 8, walks: int = 12) -> str:
 
     sql = """WITH n AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, coalesce(text, '') AS text,
   row_number() OVER (ORDER BY md5(coalesce(doc_id::VARCHAR, 'null')), doc_id) - 1 AS x, count(*) OVER () AS n FROM documents),
-side AS (SELECT *, ceil(sqrt(n::DOUBLE))::BIGINT AS a FROM n), w0 AS (SELECT *, (n + a - 1) // a AS b, false AS ok FROM side)"""
+root AS (SELECT DISTINCT n AS m, ceil(sqrt(n::DOUBLE))::BIGINT AS r FROM n),
+least AS (SELECT arg_min(a, (((m + a - 1) // a) * a - m, a)) AS a FROM (SELECT m, unnest(range(r, 2 * r + 1)) AS a FROM root)),
+side AS (SELECT n.*, a FROM n, least), w0 AS (SELECT *, (n + a - 1) // a AS b, false AS ok FROM side)"""
     last = len(sharding.round_keys(seed))
     for i in range(walks):
         sql += f", s{i}_in AS (SELECT * FROM w{i})" + rounds("x", f"s{i}_")
         sql += f", w{i + 1} AS (SELECT * EXCLUDE (x, ok, p, q), CASE WHEN ok THEN x ELSE p * b + q END AS x, ok OR p * b + q < n AS ok FROM s{i}_{last})"
-    return sql + f" SELECT doc_id, x, size, text, ok, (x % {n_shards})::INTEGER AS shard, x // {n_shards} AS slot FROM w{walks}"
+    return sql + f" SELECT doc_id, CASE WHEN ok THEN x ELSE error('more walks are needed')::BIGINT END AS x, size, text, ok, (x % {n_shards})::INTEGER AS shard, x // {n_shards} AS slot FROM w{walks}"
 
 
 

@@ -12,14 +12,24 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common as C
 
-#: Fixed values of the round function: a prime below 2^31, multipliers, and the most walks of the cycle.
-PRIME, MULT, ROUND_MULT, WALKS = 2147483647, 48271, 69621, 64
+#: Fixed values of the round function: a prime below 2^31, and multipliers.
+PRIME, MULT, ROUND_MULT = 2147483647, 48271, 69621
+
+
+def sides(n: int) -> tuple[int, int, int]:
+    """(a, b, outside): the sides of the square-like cell a * b that holds 0..n-1 with the fewest values to spare, a from the root of n to twice that."""
+    root = max(1, math.isqrt(max(n, 1) - 1) + 1)
+    a = np.arange(root, 2 * root + 1, dtype=np.int64)
+    spare = -n % a
+    i = int(spare.argmin())
+    return int(a[i]), max(1, -(-n // int(a[i]))), int(spare[i]) if n else 1
 
 
 def round_keys(seed: int, rounds: int = 6) -> list[int]:
@@ -52,20 +62,20 @@ def permute_once(x: Column, a: Column, b: Column, keys: list[int]) -> Column:
     return F.get(F.transform(cell, lambda v: v["p"] * b + v["q"]), F.lit(0))
 
 
-def permute(x: Column, n: Column, a: Column, b: Column, seed: int) -> Column:
+def permute(x: Column, n: Column, a: Column, b: Column, seed: int, outside: int) -> Column:
     """The place of x among 0..n-1: passes are repeated until the value is below n again.
 
-    Fewer than a values lie outside, so a walk of WALKS passes ends surely for n <= 4,096 and beyond that but for
-    one case in n^32; should it not end, the query fails rather than return a wrong place.
+    Only `outside` = a * b - n values are not below n, and a walk meets none of them twice, so outside + 1 passes
+    always end it; sides() makes them few (none or one as a rule, and less than a).
     """
     keys = round_keys(seed)
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(WALKS)),
+        F.sequence(F.lit(1), F.lit(outside + 1)),
         F.struct(x.cast("long").alias("v"), F.lit(False).alias("ok")),
         lambda s, _: F.when(s["ok"], s).otherwise(
             F.get(F.transform(F.array(permute_once(s["v"], a, b, keys)), lambda v: F.struct(v.alias("v"), (v < n).alias("ok"))), F.lit(0))
         ),
-        lambda s: F.when(s["ok"], s["v"]).otherwise(F.raise_error(F.lit("the permutation's cycle was not left")).cast("long")),
+        lambda s: s["v"],
     )
 
 
@@ -77,8 +87,7 @@ def shard(docs: DataFrame, n_shards: int = 16, seed: int = 8, id_col: str = "doc
     The same rows give the same places, however they are partitioned.
     """
     n = docs.count()
-    a = max(1, math.isqrt(max(n, 1) - 1) + 1)
-    b = max(1, -(-n // a))
+    a, b, outside = sides(n)
     digits = C.hex_digits(n, per_bin)
     key = F.md5(F.coalesce(C.field(id_col).cast("string"), F.lit("null")))
     ties = [F.xxhash64(C.field(c)) for c in tie_cols if c in docs.columns]
@@ -89,7 +98,7 @@ def shard(docs: DataFrame, n_shards: int = 16, seed: int = 8, id_col: str = "doc
     order = Window.partitionBy("__bin").orderBy("__k", C.field(id_col), *ties)
     placed = rows.withColumn("__rn", F.row_number().over(order)).join(C.small(starts, 16**digits), F.col("__bin") == F.col("__of"))
     placed = placed.withColumn("__number", F.col("__start") + F.col("__rn") - 1)
-    placed = placed.withColumn("__perm", permute(F.col("__number"), F.lit(n), F.lit(a), F.lit(b), seed))
+    placed = placed.withColumn("__perm", permute(F.col("__number"), F.lit(n), F.lit(a), F.lit(b), seed, outside))
     return C.unhold(
         placed,
         ("row_number", "shard", "slot"),

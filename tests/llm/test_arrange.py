@@ -94,9 +94,10 @@ def test_shards_are_even_and_slots_gapless(spark, n):
     assert key(sharding.shard(d.repartition(3), 4, per_bin=8).collect()) == key(got)
 
 
-def test_permutation_can_be_computed_in_plain_numbers(spark):
-    n, a, b = 1000, 32, 32
-    keys = sharding.round_keys(8)
+@pytest.mark.parametrize("n", [1000, 997, 1, 2])
+def test_permutation_can_be_computed_in_plain_numbers(spark, n):
+    (a, b, outside), keys = sharding.sides(n), sharding.round_keys(8)
+    assert a * b - n == outside < a
 
     def once(x):
         p, q = divmod(x, b)
@@ -107,7 +108,8 @@ def test_permutation_can_be_computed_in_plain_numbers(spark):
             p, q = ((p + f) % a, q) if i % 2 == 0 else (p, (q + f) % b)
         return p * b + q
 
-    got = {x.id: x.p for x in spark.range(n).select("id", sharding.permute(F.col("id"), F.lit(n), F.lit(a), F.lit(b), 8).alias("p")).collect()}
+    got = {x.id: x.p for x in spark.range(n).select("id", sharding.permute(F.col("id"), F.lit(n), F.lit(a), F.lit(b), 8, outside).alias("p")).collect()}
+    assert sorted(got.values()) == list(range(n))
     for i in range(n):
         v = once(i)
         while v >= n:
@@ -115,6 +117,13 @@ def test_permutation_can_be_computed_in_plain_numbers(spark):
         assert got[i] == v
 
 
+def test_walks_are_few_for_any_number_of_rows():
+    r = random.Random(1)
+    for n in [0, 1, 2, 3, 10**12 + 39, *(r.randrange(1, 10**12) for _ in range(200))]:
+        a, b, outside = sharding.sides(n)
+        assert a * b >= n and (n == 0 or a * b - n == outside) and outside <= 40
+
+
 DATA = Path("/root/testdata/sf0.001")
 
 
