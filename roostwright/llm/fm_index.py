@@ -45,7 +45,7 @@ class FMIndex:
     Suffixes are sorted by their first `depth` words only, which is all that searching such patterns needs.
     """
 
-    def __init__(self, text: np.ndarray, depth: int = 128) -> None:
+    def __init__(self, text: np.ndarray, depth: int) -> None:
         n = len(text)
         self.depth = depth
         sigma = int(text.max(initial=0)) + 1
@@ -93,6 +93,8 @@ def repeated_windows(index: FMIndex, text: np.ndarray, base: np.ndarray, n_windo
     base: where each sequence starts in text. One search tells of a whole range of windows: those it fails within are
     unique, those it covers are repeated; what is left on either side is searched again.
     """
+    if index.depth < width:
+        raise ValueError(f"windows of {width} words need an index of that depth; this one has {index.depth}")
     seq = np.flatnonzero(n_windows > 0)
     lo, hi = np.zeros(len(seq), np.int64), n_windows[seq].astype(np.int64) - 1
     kind = np.zeros(len(seq), np.int8)  # 0: try the first window, 1: try all of them, 2: halve

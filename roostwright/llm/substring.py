@@ -4,7 +4,9 @@ Shards are dealt by content: each window of `width` words belongs to its minimiz
 consecutive windows of one minimizer form a segment. Equal windows have equal minimizers, so every repeat is found
 inside one shard, and each word is searched a bounded number of times however large the corpus is. Segments whose minimizer occurs once in
 the corpus (in no other segment, and once in this) hold no repeat and are neither indexed nor searched; equal segments are counted and indexed once.
-Minimizers that would be too frequent (common lines) are put last in the order, so that their windows go by another run of words.
+Minimizers that would be too frequent (common lines) are put last in the order, so that their windows go by another run of words. Windows whose
+minimizer has more than HOT segments all the same (one phrase repeated, templates) are dealt and counted one by one, each by its own words, so no
+shard's size grows with the corpus.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,25 +79,33 @@ def find_segments(docs: DataFrame, width: int, hot: np.ndarray) -> DataFrame:
     return C.durable(found.filter("size(keys) > 0"), "substring-segments")
 
 
+def numbered(segs: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word numbers from 1 on, a 0 after each sequence; where each starts; its words) of segments whose words are parted by single spaces."""
+    data, off = N.column_bytes(segs)
+    w = N.words(data[off[0] : off[-1]], off - off[0])
+    flat, at = N.spaced(w, data[off[0] : off[-1]])
+    each = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(flat)])
+    code = each.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    length = np.diff(w.first)
+    base = np.cumsum(length + 1) - length - 1
+    text = np.zeros(len(code) + len(length), np.int64)
+    text[np.arange(len(code)) + np.repeat(np.arange(len(length)), length)] = code
+    return text, base, length
+
+
 def shard_repeats(width: int):
     """For one shard's distinct segments (sid, seg, n): the word ranges within each that repeated windows cover."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        split = [s.split(b" ") for s in pdf["seg"]]
-        length = np.array([len(s) for s in split], np.int64)
-        number: dict[bytes, int] = {}
-        flat = np.fromiter((number.setdefault(x, len(number) + 1) for s in split for x in s), np.int64, int(length.sum()))
-        del split
-        base = np.cumsum(length + 1) - length - 1
-        text = np.zeros(int(length.sum()) + len(length), np.int64)
-        text[np.arange(len(flat)) + np.repeat(np.arange(len(length)), length)] = flat
-        many = pdf["n"].to_numpy() > 1
+    def run(shard: pa.Table) -> pa.Table:
+        text, base, length = numbered(shard["seg"].combine_chunks().cast(pa.large_binary()), width)
+        many = shard["n"].to_numpy() > 1
         # a segment that stands several times is repeated as a whole; the others are searched
-        seq, a, b = repeated_windows(FMIndex(text), text, base, np.where(many, 0, length - width + 1), width)
+        index = FMIndex(text, 1 << (2 * width - 1).bit_length())
+        seq, a, b = repeated_windows(index, text, base, np.where(many, 0, length - width + 1), width)
         whole = np.flatnonzero(many)
         seq = np.concatenate([seq, whole])
         a, b = np.concatenate([a, np.zeros(len(whole), np.int64)]), np.concatenate([b, length[whole] - width])
-        return pd.DataFrame({"sid": pdf["sid"].to_numpy()[seq], "a": a.astype(np.int32), "b": (b + width).astype(np.int32)})
+        return pa.table({"sid": shard["sid"].take(pa.array(seq)), "a": pa.array(a.astype(np.int32)), "b": pa.array((b + width).astype(np.int32))})
 
     return run
 
@@ -103,49 +113,62 @@ def shard_repeats(width: int):
 def repeated_spans(docs: DataFrame, width: int, per_shard: int = 15_000) -> DataFrame:
     """doc_id, th, spans (word ranges, end exclusive) of docs (doc_id, th, text): what repeated windows cover; documents without any are left out."""
     hot = np.zeros(0, np.uint64)
-    for _ in range(4):
+    for last in (False, False, False, True):
         found = find_segments(docs, width, hot)
-        keys = found.select(F.explode(F.arrays_zip("keys", "times")).alias("k")).groupBy(F.col("k.keys").alias("key")).agg(F.sum("k.times").alias("n"))
-        repeated = C.durable(keys.filter("n > 1"), "substring-keys")
-        total = repeated.agg(F.sum("n"), F.count(F.lit(1))).collect()[0]
-        most = max(HOT, (total[0] or 0) // HOT_SET)
+        keys = found.select(F.explode(F.arrays_zip("keys", "times")).alias("k")).groupBy(F.col("k.keys").alias("keys")).agg(F.sum("k.times").alias("n"))
+        repeated, n_keys = C.counted(keys.filter("n > 1"), "substring-keys")
+        total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+        most = max(HOT, total // HOT_SET)
+        if last:
+            break
         # a key with its top bit set is hot already: all runs of its windows are
-        more = repeated.filter((F.col("n") > most) & (F.col("key") >= 0)).select("key").toPandas()["key"].to_numpy(np.int64)  # at most HOT_SET
+        more = repeated.filter((F.col("n") > most) & (F.col("keys") >= 0)).select("keys").toPandas()["keys"].to_numpy(np.int64)  # at most HOT_SET
         if not len(more):
             break
         hot = np.unique(np.concatenate([hot, more.view(np.uint64)]))
+        C.delete(found, repeated)
     each = found.select("doc_id", "th", F.explode(F.arrays_zip("starts", "sizes", "keys")).alias("s")).select("doc_id", "th", "s.starts", "s.sizes", "s.keys")
-    kept = each.join(C.small(repeated.select(F.col("key").alias("keys")), total[1]), "keys", "left_semi")
-    of_doc = kept.groupBy("doc_id", "th").agg(F.collect_list(F.struct("starts", "sizes", "keys")).alias("segs"))
+    kept = C.join_hot(each, repeated, "keys", n_keys, total).withColumn("single", F.col("n") > HOT)
+    of_doc = kept.groupBy("doc_id", "th").agg(F.collect_list(F.struct("starts", "sizes", "keys", "single")).alias("segs"))
     o = of_doc.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "segs")
     texts = docs.join(o, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("doc_id", "th", "text", "segs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in N.slices(batches):
             w = N.words(data, off)
+            flat, at = N.spaced(w, data)
             segs = rows.column(3)
-            flat = segs.flatten()
-            n = np.diff(np.asarray(segs.offsets))
-            text = np.repeat(np.arange(len(n)), n)
-            start, size, key = (flat.field(k).to_numpy() for k in ("starts", "sizes", "keys"))
+            s = segs.flatten()
+            text = np.repeat(np.arange(len(segs)), np.diff(np.asarray(segs.offsets)))
+            start, size, key, single = (s.field(k).to_numpy(zero_copy_only=False) for k in ("starts", "sizes", "keys", "single"))
+            # windows of a minimizer that stayed hot are dealt one by one, so that no shard holds all of its segments
+            n = np.where(single, size, 1)
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            text, start, size, key, single = (np.repeat(x, n) for x in (text, start, np.where(single, 1, size), key, single))
+            start = start + nth
             a = w.first[:-1][text] + start
-            b = a + size + width - 1
-            raw = data.tobytes()
-            seg = [b" ".join(raw[x:y].split()) for x, y in zip(w.start[a].tolist(), w.end[b - 1].tolist(), strict=True)]
-            at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(start, pa.int32()), pa.array(key), pa.array(seg, pa.binary())], ["doc_id", "th", "start", "key", "seg"])
-
-    places = texts.mapInArrow(cut, "doc_id long, th long, start int, key long, seg binary").withColumn("sid", F.md5("seg"))
-    places = C.durable(places, "substring-places", "zstd")
-    distinct = places.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"))
-    shards = max(1, (total[0] or 0) // per_shard)
-    sharded = distinct.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), F.md5("seg").alias("sid"), "seg", F.least("n", F.lit(2)).cast("int").alias("n"))
-    ranges = sharded.groupBy("shard").applyInPandas(shard_repeats(width), "sid string, a int, b int")
-    ranges = ranges.groupBy("sid").agg(F.collect_list(F.struct("a", "b")).alias("r"))
-    spans = places.select("doc_id", "th", "start", "sid").join(ranges, "sid").select(
+            x, y, raw = at[a].tolist(), (at[a + size + width - 1] - 1).tolist(), flat.tobytes()
+            place = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).take(place), rows.column(1).take(place), pa.array(start.astype(np.int32)), pa.array(key), pa.array([raw[i:j] for i, j in zip(x, y, strict=True)], pa.binary()), pa.array(single)],
+                ["doc_id", "th", "start", "key", "seg", "single"],
+            )
+
+    places = texts.mapInArrow(cut, "doc_id long, th long, start int, key long, seg binary, single boolean").withColumn("sid", F.md5("seg"))
+    places, n_places = C.counted(places, "substring-places", "zstd")
+    C.delete(found, repeated)
+    distinct = places.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.bool_or("single").alias("single"))
+    shards = max(1, total // per_shard)
+    sharded = distinct.filter("not single").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), F.md5("seg").alias("sid"), "seg", F.least("n", F.lit(2)).cast("int").alias("n"))
+    ranges = sharded.groupBy("shard").applyInArrow(shard_repeats(width), "sid string, a int, b int")
+    alone = distinct.filter("single and n > 1").select(F.md5("seg").alias("sid"), F.lit(0).alias("a"), F.lit(width).alias("b"))
+    ranges = ranges.unionByName(alone).groupBy("sid").agg(F.collect_list(F.struct("a", "b")).alias("r"))
+    spans = C.join_salted(places.select("doc_id", "th", "start", "sid"), ranges, "sid", "doc_id", n_places).select(
         "doc_id", "th", F.explode(F.transform("r", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b")))).alias("s")
     )
-    return C.durable(spans.groupBy("doc_id", "th").agg(F.collect_list("s").alias("spans")), "substring-spans")
+    out = C.durable(spans.groupBy("doc_id", "th").agg(F.collect_list("s").alias("spans")), "substring-spans")
+    C.delete(places)
+    return out
 
 
 def dedup_substrings(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
@@ -153,7 +176,7 @@ def dedup_substrings(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
 
     A word is removed if it is covered by a window of `width` words that also starts anywhere else, in the same document or in another;
     all occurrences go, the first too. Windows are judged on the input. kept_text has the kept words, joined by
-    one space. Null and empty texts have no words; texts shorter than a window lose none; rows alike in id and text are
+    one space. Texts of any length are read whole; null and empty ones have no words; texts shorter than a window lose none; rows alike in id and text are
     each other's repeats. The id has to be a long. An empty table stays empty.
     """
     if width < RUN:
@@ -171,30 +194,34 @@ def dedup_substrings(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in N.slices(batches, "__text"):
             w = N.words(data, off)
+            flat, at = N.spaced(w, data)
             spans = rows.column(len(names) + 1)
-            raw, kept, removed, ranges = data.tobytes(), [], [], []
-            for i, ss in enumerate(spans.to_pylist()):
-                if not ss:
-                    kept.append(b" ".join(raw[off[i] : off[i + 1]].split()).decode())
-                    removed.append(0)
-                    ranges.append([])
-                    continue
-                merged: list[list[int]] = []
-                for a, b in sorted((s["a"], s["b"]) for s in ss):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                word = raw[off[i] : off[i + 1]].split()
-                out, last = [], 0
-                for a, b in merged:
-                    out += word[last:a]
-                    last = b
-                kept.append(b" ".join(out + word[last:]).decode())
-                removed.append(sum(b - a for a, b in merged))
-                ranges.append([{"a": a, "b": b} for a, b in merged])
+            s = spans.flatten()
+            head = np.repeat(w.first[:-1], pc.fill_null(pc.list_value_length(spans), 0).to_numpy())
+            cover = np.zeros(len(w.start) + 1, np.int64)
+            for name, step in (("a", 1), ("b", -1)):
+                np.add.at(cover, head + s.field(name).to_numpy(), step)
+            gone = np.cumsum(cover[:-1]) > 0
+            # a run of removed words starts and ends where the flag changes, and at the edges of a text
+            first, n = w.first, len(off) - 1
+            edge = np.zeros(len(gone) + 1, bool)
+            edge[first] = True
+            before, after = np.append(False, gone), np.append(gone, False)
+            begins, ends = np.flatnonzero(after & (edge | ~before)), np.flatnonzero(before & (edge | ~after))
+            of = np.searchsorted(first, begins, "right") - 1
+            ranges = N.list_array(np.arange(len(begins)), np.bincount(of, minlength=n))
+            pairs = pa.StructArray.from_arrays([pa.array((x - first[of]).astype(np.int32)) for x in (begins, ends)], ["a", "b"])
+            sums = np.concatenate([[0], np.cumsum(gone)])
+            # kept words with the space after each, but for the last of a text
+            stays = np.repeat(~gone, np.diff(at))
+            kept = np.flatnonzero(~gone)
+            last = np.searchsorted(kept, first[1:]) - 1
+            last = kept[last[(last >= 0) & (np.diff(first) - np.diff(sums[first]) > 0)]]
+            stays[at[last + 1] - 1] = False
+            offsets = np.concatenate([[0], np.cumsum(stays)])[at[first]].astype(np.int32)
+            text = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(flat[stays])])
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns[: len(names)], pa.array(np.diff(w.first)), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(ranges, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
+                [*rows.columns[: len(names)], pa.array(np.diff(first)), pa.array(np.diff(sums[first])), text, pa.ListArray.from_arrays(ranges.offsets, pairs)],
                 [*names, *new],
             )
 

@@ -95,6 +95,16 @@ def words(data: np.ndarray, off: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, off), mix(h + (end - start).astype(U)))
 
 
+def spaced(w: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all words' bytes with one space after each, where each word starts in them, and the end)."""
+    at = np.zeros(len(w.start) + 1, np.int64)
+    np.cumsum(w.end - w.start + 1, out=at[1:])
+    out = np.full(at[-1], 0x20, np.uint8)
+    inside = data[~SEPARATOR[data]]
+    out[np.arange(len(inside)) + np.repeat(np.arange(len(w.start)), w.end - w.start)] = inside
+    return out, at
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive items of h; the caller leaves out those that cross an edge."""
     n = len(h)

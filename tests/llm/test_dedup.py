@@ -81,9 +81,11 @@ def substring_truth(texts, width):
     return out
 
 
-@pytest.mark.parametrize(("seed", "width"), [(2, 35), (3, 9)])
+@pytest.mark.parametrize(("seed", "width"), [(2, 35), (3, 9), (4, 200)])
 def test_substring_dedup(spark, seed, width):
     texts = prose(seed)
+    if width > 128:
+        texts += [" ".join(f"long{i}" for i in range(5000)), " ".join(f"long{i}" for i in range(700, 2000)), "y " * 450, "y " * 300]
     d = docs_of(spark, texts).withColumn("kept_text", F.lit("clash")).withColumn("seg", F.lit("kept"))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.dedup_substrings(d, width).collect()}
     assert got == dict(enumerate(substring_truth(texts, width)))
@@ -96,6 +98,25 @@ def test_substring_dedup_puts_common_minimizers_last(spark, monkeypatch):
     assert got == dict(enumerate(substring_truth(texts, 12)))
 
 
+def test_substring_dedup_of_a_hot_phrase(spark, monkeypatch):
+    """A third of the texts is one phrase over and over, of many lengths: its windows are dealt one by one."""
+    monkeypatch.setattr(substring, "HOT", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    texts = prose(7, 20) + ["a b c " * n for n in range(3, 15)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.dedup_substrings(docs_of(spark, texts), 12).collect()}
+    assert got == dict(enumerate(substring_truth(texts, 12)))
+
+
+def test_spans_tell_which_words_went(spark):
+    texts = prose(9)
+    for r in substring.dedup_substrings(docs_of(spark, texts), 9).collect():
+        w = WORD.findall(texts[r.doc_id] or "")
+        gone = [i for s in r.removed_spans for i in range(s.a, s.b)]
+        assert len(gone) == len(set(gone)) == r.n_removed and " ".join(x for i, x in enumerate(w) if i not in set(gone)) == r.kept_text
+        assert all(x.b < y.a for x, y in zip(r.removed_spans, r.removed_spans[1:]))
+
+
 def test_substring_dedup_of_nothing_and_of_repeated_rows(spark):
     assert substring.dedup_substrings(docs_of(spark, ["a"]).limit(0)).count() == 0
     t = " ".join(f"u{i}" for i in range(40))
