@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: LOW[k] has the k lowest bits set.
+LOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class WaveletMatrix:
     """rank(c, i): how often c stands before place i, for arrays of c and i."""
 
@@ -12,31 +16,30 @@ class WaveletMatrix:
         self.levels = max(1, int(sigma - 1).bit_length())
         self.n = len(values)
         self.bits, self.sums, self.zeros = [], [], []
-        now = values
+        now = values.astype(np.int32)
         for level in range(self.levels):
             bit = ((now >> (self.levels - 1 - level)) & 1).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             packed = np.pad(packed, (0, -len(packed) % 8 + 8)).view(np.uint64)
-            ones = np.bitwise_count(packed).astype(np.int32)
+            ones = np.cumsum(np.bitwise_count(packed), dtype=np.int32)
             self.bits.append(packed)
-            self.sums.append(np.concatenate([[0], np.cumsum(ones)[:-1]]).astype(np.int32))
-            self.zeros.append(self.n - int(bit.sum()))
+            self.sums.append(np.concatenate([[0], ones[:-1]]).astype(np.int32))
+            self.zeros.append(np.int32(self.n - int(ones[-1])))
             now = np.concatenate([now[~bit], now[bit]])
-        symbols = np.arange(sigma)
-        self.first = np.zeros(sigma, np.int64)
-        self.first = self._walk(symbols, np.zeros(sigma, np.int64))
+        self.first = np.zeros(sigma, np.int32)
+        self.first = self._walk(np.arange(sigma, dtype=np.int32), np.zeros(sigma, np.int32))
 
     def _walk(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for level in range(self.levels):
             word = i >> 6
-            low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.sums[level][word] + np.bitwise_count(self.bits[level][word] & low)
-            one = ((c >> (self.levels - 1 - level)) & 1).astype(bool)
-            i = np.where(one, self.zeros[level] + ones, i - ones)
+            ones = self.sums[level].take(word)
+            ones += np.bitwise_count(self.bits[level].take(word) & LOW.take(i & 63))
+            one = (c & np.int32(1 << (self.levels - 1 - level))) != 0
+            i = np.where(one, ones + self.zeros[level], i - ones)
         return i
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        return self._walk(c, i) - self.first[c]
+        return self._walk(c.astype(np.int32), i.astype(np.int32)) - self.first[c]
 
 
 class FMIndex:
