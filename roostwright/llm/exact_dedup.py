@@ -128,14 +128,14 @@ def exact_dedup(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col:
     """docs with keep_id, group_size, kept, text_sha256; columns of these names are replaced.
 
     in_snapshot is a condition on docs' columns: rows that meet it make the immutable snapshot, the others come in as a new
-    batch. Null texts count as empty, and empty texts are equal. The largest id of a group stays (a null id only if
+    batch. Texts of any length are hashed whole. Null texts count as empty, and empty texts are equal. The largest id of a group stays (a null id only if
     all are null); rows that share this id as well as the text are all marked kept, for nothing tells them apart. An
     empty table stays empty. Should two different texts ever share a digest the query fails.
     """
     text = C.text_or_empty(C.field(text_col))
     held = C.hold(docs.withColumn("__old", F.coalesce(in_snapshot, F.lit(False)))).withColumn("__digest", F.sha2(text, 256))
-    slim = C.durable(held.select(F.col("__digest").alias("digest"), C.field(id_col).alias("id"), C.field("__old").alias("old")), "exact-digests")
-    exact, filters, digits = build_snapshot(slim.filter("old"), slim.count(), per_bucket)
+    slim, n_rows = C.counted(held.select(F.col("__digest").alias("digest"), C.field(id_col).alias("id"), C.field("__old").alias("old")), "exact-digests")
+    exact, filters, digits = build_snapshot(slim.filter("old"), n_rows, per_bucket)
     batch = C.durable(groups_of(slim.filter("not old")), "exact-batch")
     positive = screen(batch, filters, digits).join(exact.select("digest", F.col("keep").alias("__keep"), F.col("n").alias("__n")), "digest")
     merged = batch.join(positive, "digest", "left").select(
@@ -143,16 +143,16 @@ def exact_dedup(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col:
     )
     merged = C.durable(merged, "exact-merged")
     groups = merged.drop("met").unionByName(exact.join(merged.filter("met").select("digest"), "digest", "left_anti").select("digest", "keep", "n"))
-    groups = C.durable(groups, "exact-groups")
-    several = groups.filter("n > 1").select("digest")
+    groups, n_groups = C.counted(groups, "exact-groups")
+    several, n_several = C.counted(groups.filter("n > 1").select("digest", "n"), "exact-several")
     # byte check: the texts of several rows under one digest, grouped by the text itself
     same = docs.select(F.sha2(C.text_or_empty(text_col), 256).alias("digest"), C.text_or_empty(text_col).alias("text"))
-    same = same.join(C.small(several, several.count()), "digest", "left_semi").groupBy("digest", "text").agg(F.count(F.lit(1)).alias("c"))
+    same = C.join_hot(same, several, "digest", n_several, n_rows, "left_semi").groupBy("digest", "text").agg(F.count(F.lit(1)).alias("c"))
     clash = same.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").limit(1).count()
     if clash:
         raise ValueError("two different texts share a SHA-256 digest")
-    out = groups.select(F.col("digest").alias("__of"), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"))
-    rows = held.join(out, F.col("__digest") == F.col("__of"))
+    out = groups.select(F.col("digest").alias("__digest"), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"))
+    rows = C.join_hot(held, out, "__digest", n_groups, n_rows, times="group_size")
     kept = C.field(id_col).eqNullSafe(F.col("keep_id"))
     return C.unhold(rows, ("__old", "keep_id", "group_size", "kept", "text_sha256"), "keep_id", "group_size", kept.alias("kept"), F.col("__digest").alias("text_sha256"))
 

@@ -28,7 +28,8 @@ OP3 = """
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 u AS (SELECT doc_id, i, l[i] AS line, ('0x' || substr(md5(l[i]), 1, 7))::BIGINT AS h, len(l) AS n FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM l)),
 e AS (
-  SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 1000003 % 4 = 0 OR i = n AS ends FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, CASE WHEN h = lag(h) OVER w AND h = lag(h, 2) OVER w THEN i % 2 = 0
+    ELSE (h + 31 * coalesce(lag(h) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 1000003 % 4 = 0 END OR i = n AS ends FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nth FROM e),
 k AS (SELECT doc_id, nth, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n FROM c GROUP BY doc_id, nth),
 r AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY n > 1, chunk ORDER BY doc_id, nth) > 1 AS gone FROM k)

@@ -50,6 +50,14 @@ def test_exact_dedup(spark):
         assert (got[i].keep_id, got[i].group_size, got[i].kept, got[i].text_sha256, got[i].digest) == want
 
 
+def test_exact_dedup_of_a_hot_group_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    texts = ["hot"] * 20 + [f"t{i // 2}" for i in range(30)] + ["long " * 50_000, "long " * 50_000, "long " * 49_999 + "lone "]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs_of(spark, texts), F.col("doc_id") % 3 == 0).collect()}
+    assert got == {i: (max(j for j, u in enumerate(texts) if u == t), texts.count(t)) for i, t in enumerate(texts)}
+
+
 def test_exact_dedup_of_nothing_and_of_one_side(spark):
     none = docs_of(spark, ["a"]).limit(0)
     assert exact_dedup.exact_dedup(none, F.lit(True)).count() == 0
@@ -147,7 +155,8 @@ def line_truth(texts):
         for i, x in enumerate(lines):
             now.append(x)
             total = sum(w * (h[i - j] if i >= j else 0) for j, w in enumerate(line_dedup.WEIGHTS))
-            if total % line_dedup.MODULUS % line_dedup.DIVISOR == 0 or i == len(lines) - 1:
+            run = i > 1 and h[i] == h[i - 1] == h[i - 2]
+            if (i % 2 == 1 if run else total % line_dedup.MODULUS % line_dedup.DIVISOR == 0) or i == len(lines) - 1:
                 out.append(now)
                 now = []
         return out
@@ -179,6 +188,17 @@ def test_line_dedup(spark):
     assert "Python" not in line_dedup.dedup_lines(docs_of(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_runs_of_one_line_go(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    texts = ["\n".join([f"start {i}", *["By To."] * n, f"end {i}"]) for i, n in enumerate((92, 5, 6, 7, 300, 2, 1))] + ["one\ntwo\nthree\n" * 400, None]
+    got = {x.doc_id: (x.n_lines, x.n_removed, x.n_chunks, x.kept_text) for x in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(line_truth(texts)))
+    assert all(got[i][3].count("By To.") <= 7 for i in range(7))
+    twice = docs_of(spark, texts[:2]).unionByName(docs_of(spark, texts[:2]))
+    assert len(line_dedup.dedup_lines(twice).collect()) == 4
+
+
 def near_truth(texts, k, percent):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
