@@ -11,9 +11,24 @@ from ..sources.dims import SUBURB_ALIASES
 from . import patterns as P
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with these columns, each worked out once a row, whatever reads them.
+
+    They come out of a generator of one row, through which neither projections nor filters are inlined: a filter on a parsed
+    column would otherwise repeat the whole parse in every predicate. Filters on other columns still go below it.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null without one (or with an empty one)."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return once(F.regexp_extract(text, pattern, group), lambda v: F.when(v != "", v))
 
 
 def js_trim(text: Column) -> Column:
@@ -26,14 +41,14 @@ def round_half_up(x: Column) -> Column:
 
 def count_word(word: Column) -> Column:
     """`un` and `une` are 1."""
-    return F.when(F.lower(word).isin("un", "une"), F.lit(1)).otherwise(word.try_cast("int"))
+    return once(word, lambda w: F.when(F.lower(w).isin("un", "une"), F.lit(1)).otherwise(w.try_cast("int")))
 
 
 def price(text: Column) -> Column:
     """Rent after or before the sign, then a sale price after or before it; 0 if there is none up to 100 million."""
     number = F.coalesce(*[found(text, p) for p in P.PRICES])
     value = F.regexp_replace(number, rf"[{P.THOUSANDS}]", "").try_cast("decimal(38,0)")
-    return F.when((value > 0) & (value <= 100_000_000), value.cast("int")).otherwise(F.lit(0))
+    return once(value, lambda v: F.when((v > 0) & (v <= 100_000_000), v.cast("int")).otherwise(F.lit(0)))
 
 
 def surface(text: Column) -> Column:
@@ -43,38 +58,45 @@ def surface(text: Column) -> Column:
 
 def address(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n"), js_trim), lambda s: (F.char_length(s) > 5) & ~s.rlike(P.PHOTO_LINE))
-    usable = F.filter(lines, lambda s: ~s.rlike(P.BADGE_LINE) & ~s.rlike(P.PRICE_LINE) & ~s.rlike(P.REFERENCE_LINE))
+    usable = lambda s: ~s.rlike(P.BADGE_LINE) & ~s.rlike(P.PRICE_LINE) & ~s.rlike(P.REFERENCE_LINE)
+    by_line = once(lines, lambda x: F.coalesce(F.get(F.filter(x, usable), F.lit(0)), F.get(x, F.lit(0)), F.lit("")))
     by_pattern = F.coalesce(found(text, P.PARIS, 0), found(text, P.STREET), found(text, P.POSTAL))
-    return F.coalesce(F.nullif(js_trim(by_pattern), F.lit("")), F.get(usable, F.lit(0)), F.get(lines, F.lit(0)), F.lit(""))
+    return F.coalesce(once(js_trim(by_pattern), lambda v: F.when(v != "", v)), by_line)
 
 
-def parse_listing(df: DataFrame, raw: str = "rawText") -> DataFrame:
-    """df with the twelve parsed columns. Null and empty texts give the empty listing: price 0, address '', all else null or false."""
-    t = df.withColumn("__t", js_trim(F.coalesce(F.col(raw), F.lit(""))))
+#: What each parsed column is made of; those in capitals are read from the text.
+PARSED = {
+    "price": ("PRICE", "ON_REQUEST"), "priceOnRequest": ("ON_REQUEST",), "pricePerSqm": ("PRICE", "ON_REQUEST", "SQM"), "rooms": ("ROOMS", "BEDROOMS"), "bedrooms": ("ROOMS", "BEDROOMS"),
+    "bathrooms": ("BATHROOMS",), "sqm": ("SQM",), "sqft": ("SQM",), "address": ("ADDRESS",), "isRoomShare": ("ROOM_SHARE",),
+    "matchScore": ("PRICE", "ON_REQUEST", "ROOMS", "BEDROOMS", "SQM", "ADDRESS"), "isExactListing": ("PRICE", "ON_REQUEST", "ROOMS", "BEDROOMS", "SQM", "ADDRESS"),
+}
+
+
+def parse_listing(df: DataFrame, raw: str = "rawText", columns: tuple[str, ...] = tuple(PARSED)) -> DataFrame:
+    """df with the twelve parsed columns, or those asked for. Null and empty texts give the empty listing: price 0, address '', all else null or false."""
     text = F.col("__t")
-    t = t.withColumns({
-        "priceOnRequest": text.rlike(P.ON_REQUEST),
-        "isRoomShare": text.rlike(P.ROOM_SHARE),
-        "__bed": found(text, P.BEDROOMS).try_cast("int"),
-        "__room": F.coalesce(found(text, P.ROOMS, 1), found(text, P.ROOMS, 2)).try_cast("int"),
-        "bathrooms": count_word(found(text, P.BATHROOMS)),
-        "sqm": surface(text),
-        "__address": address(text),
-    })
-    t = t.withColumn("price", F.when(F.col("priceOnRequest"), F.lit(0)).otherwise(price(text)))
-    t = t.withColumn("rooms", F.coalesce("__room", "__bed"))
-    t = t.withColumn("bedrooms", F.coalesce("__bed", F.when(F.col("rooms") == 1, F.lit(1))))
-    score = (
-        F.when((F.col("price") > 0) | F.col("priceOnRequest"), 25).otherwise(0) + F.when(F.col("rooms").isNotNull(), 25).otherwise(0)
-        + F.when(F.col("sqm").isNotNull(), 25).otherwise(0) + F.when(F.char_length("__address") > 3, 25).otherwise(0)
-    )
-    t = t.withColumns({
-        "pricePerSqm": F.when((F.col("price") > 0) & (F.col("sqm") > 0), round_half_up(F.try_divide("price", "sqm"))),
-        "sqft": F.when(F.col("sqm") > 0, round_half_up(F.col("sqm") * 10.764)),
-        "address": F.substring("__address", 1, 200),
-        "matchScore": score,
-    })
-    return t.withColumn("isExactListing", F.col("matchScore") >= 75).drop("__t", "__bed", "__room", "__address")
+    read = {
+        "PRICE": price(text), "ON_REQUEST": text.rlike(P.ON_REQUEST), "ROOM_SHARE": text.rlike(P.ROOM_SHARE), "BEDROOMS": found(text, P.BEDROOMS).try_cast("int"),
+        "ROOMS": F.coalesce(found(text, P.ROOMS, 1), found(text, P.ROOMS, 2)).try_cast("int"), "BATHROOMS": count_word(found(text, P.BATHROOMS)), "SQM": surface(text), "ADDRESS": address(text),
+    }
+    needed = {n for c in columns for n in PARSED[c]}
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    t = settled(df.withColumn("__t", js_trim(F.coalesce(F.col(raw), F.lit("")))), **{f"__{n}": v for n, v in read.items() if n in needed})
+    c = {n: F.col(f"__{n}") for n in read}
+    asked, amount, sqm = c["ON_REQUEST"], F.when(c["ON_REQUEST"], F.lit(0)).otherwise(c["PRICE"]), c["SQM"]
+    rooms = F.coalesce(c["ROOMS"], c["BEDROOMS"])
+    score = sum((F.when(hit, 25).otherwise(0) for hit in ((amount > 0) | asked, rooms.isNotNull(), sqm.isNotNull(), F.char_length(c["ADDRESS"]) > 3)), F.lit(0))
+    out = {
+        "price": amount, "priceOnRequest": asked, "pricePerSqm": F.when((amount > 0) & (sqm > 0), round_half_up(F.try_divide(amount, sqm))), "rooms": rooms,
+        "bedrooms": F.coalesce(c["BEDROOMS"], F.when(rooms == 1, F.lit(1))), "bathrooms": c["BATHROOMS"], "sqm": sqm, "sqft": F.when(sqm > 0, round_half_up(sqm * 10.764)),
+        "address": F.substring(c["ADDRESS"], 1, 200), "isRoomShare": c["ROOM_SHARE"], "matchScore": score, "isExactListing": score >= 75,
+    }
+    return t.select(*kept, *[out[n].alias(n) for n in columns])
+
+
+def with_area(df: DataFrame, address: str = "address") -> DataFrame:
+    """df with the struct normalizedArea of its addresses."""
+    return settled(df, normalizedArea=normalize_area(F.col(address)))
 
 
 def detail_features(text: Column) -> Column:
@@ -109,11 +131,6 @@ def arrondissement_label(n: Column) -> Column:
     return F.when(n == 1, F.lit("Paris 1er")).otherwise(F.concat(F.lit("Paris "), n.cast("string"), F.lit("e")))
 
 
-def once(value: Column, use) -> Column:
-    """use(value), with value worked out once however often use refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def suburb_of(low: Column) -> Column:
     """The first alias entry that the accent-free lower-case text contains."""
     out = None

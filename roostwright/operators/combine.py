@@ -7,16 +7,17 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_area
+from ..functions.text import with_area
 from ..sources import artifacts as A
 from . import listings as L
+from . import present as V
 
 
-def combine(spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]], skip: frozenset[str] = frozenset(), external: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame]:
+def combine(spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]], skip: frozenset[str] = frozenset(), external: DataFrame | None = None, external_status: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame]:
     """(union of the sources' rows in order, with ordinal src_order; status: source, found, error).
 
     A source that fails to plan or to be counted becomes a status row and takes nothing else down; those in skip are not run. `external`
-    rows go first.
+    rows go first, and so does external_status (source, found, error).
     """
     frames, status = ([external.withColumn("src_order", F.lit(-1))] if external is not None else []), []
     for i, (name, make) in enumerate(sources.items()):
@@ -30,22 +31,28 @@ def combine(spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]],
             continue
         frames.append(df)
         status.append((name, found, None))
-    return (L.union_sources(frames) if frames else None), spark.createDataFrame(status, "source string, found long, error string")
+    report = spark.createDataFrame(status, "source string, found long, error string")
+    return (L.union_sources(frames) if frames else None), (external_status.select("source", F.col("found").cast("long").alias("found"), "error").unionByName(report) if external_status is not None else report)
 
 
 def merge_folder(spark: SparkSession, folder: str, kind: str = "rent") -> tuple[DataFrame, DataFrame]:
-    """(published listings with normalizedArea, status by artifact) of a folder of artifacts: first wins by precedence, then room shares go.
+    """(published listings with normalizedArea; status: src_rank, artifact, source, found, error) of a folder of artifacts: first wins by precedence, then room shares go.
 
-    Status counts are taken before room shares go. An optional agency without a file gets a status row that says so.
+    The main file's own status comes first (src_rank 0); counts of the other files are of the rows that the merge kept, taken before room shares go. An optional agency without a file gets a status row that says so.
     """
     main, parts = A.read_main(spark, folder, kind), A.read_parts(spark, folder, kind)
     every = main.drop("sourceStatus").unionByName(parts)
     merged = L.merge_sources(A.rows_of(every))
     labels = parts.select("label").distinct()
-    missing = spark.createDataFrame([(n,) for n in A.OPTIONAL], "label string").join(labels, "label", "left_anti")
-    missing = missing.select(F.lit(None).cast("int").alias("src_rank"), F.col("label").alias("artifact"), "label", F.lit(A.MISSING).alias("error"))
-    status = L.source_status(every.drop("listings").unionByName(missing), merged)
-    published = L.drop_room_shares(merged).withColumn("normalizedArea", normalize_area(F.col("address")))
+    ranks = [(i, n) for i, (n, _) in enumerate(A.GROUPS, 1) if n in A.OPTIONAL]
+    missing = spark.createDataFrame(ranks, "src_rank int, label string").join(labels, "label", "left_anti")
+    missing = missing.select("src_rank", F.col("label").alias("artifact"), "label", F.lit(A.MISSING).alias("error"))
+    files = parts.drop("listings").unionByName(missing)
+    told = main.select("src_rank", "artifact", F.explode("sourceStatus").alias("s")).select("src_rank", "artifact", "s.source", F.col("s.found").cast("long").alias("found"), "s.error")
+    # a missing agency has no file, so its label stands for one
+    counts = L.source_status(files.select("artifact", "error"), merged)
+    status = told.unionByName(files.select("src_rank", "artifact", F.col("label").alias("source")).join(counts, "artifact").select("src_rank", "artifact", "source", "found", "error"))
+    published = with_area(L.drop_room_shares(merged))
     return published, status
 
 
@@ -54,3 +61,22 @@ def dataset_meta(published: DataFrame, kind: str) -> DataFrame:
     return published.agg(F.count(F.lit(1)).alias("totalListings")).select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generatedAt"), F.lit(A.search_type(kind)).alias("searchType"), "totalListings"
     )
+
+
+def sync_sheets(spark: SparkSession, rent: DataFrame, sale: DataFrame | None = None, tables: tuple[str, str] = ("sheet1", "sale")) -> list[str]:
+    """The published listings into their sheets: rent always, sale only if it is given; returns the tables written.
+
+    Stars of listings still there are kept, starred ones that are gone stay as no longer listed. The new table is
+    written beside the old one and takes its name then, so a failure loses neither.
+    """
+    done = []
+    for rows, name in zip((rent, sale), tables, strict=True):
+        if rows is None:
+            continue
+        fresh = V.sheet_table(rows.withColumns({"starred": F.lit(""), "status": F.lit("")})).drop("starred", "status")
+        old = spark.table(name) if spark.catalog.tableExists(name) else spark.createDataFrame([], V.sheet_table(rows.withColumns({"starred": F.lit(""), "status": F.lit("")})).schema)
+        L.carry_forward(old.filter("url <> ''"), fresh).select("starred", "status", *fresh.columns).write.mode("overwrite").saveAsTable(f"{name}__next")
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"ALTER TABLE {name}__next RENAME TO {name}")
+        done.append(name)
+    return done

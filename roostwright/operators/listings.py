@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import merge_feature
+from ..functions.text import furnished_from_category, merge_feature
 
 
 def first_wins(df: DataFrame, key: str, order: list[str], keep_all: Column | None = None) -> DataFrame:
@@ -48,8 +48,19 @@ def drop_sold(df: DataFrame, pattern: str, text: str = "rawText", kind: str = "s
     return df.filter(~((F.col(kind) == "sale") & F.coalesce(F.col(text).rlike(pattern), F.lit(False))))
 
 
+def stamp(df: DataFrame, source: str, search_type: str, known_address: Column | None = None, category: Column | None = None) -> DataFrame:
+    """Parsed cards as listings of a source: every card is an exact listing; the address of the place searched, where one is known, replaces the card's;
+    a category that says whether its flats are furnished decides that column, and one that doesn't leaves it null."""
+    out = {"source": F.lit(source), "searchType": F.lit(search_type), "isExactListing": F.lit(True)}
+    if known_address is not None:
+        out["address"] = F.coalesce(F.nullif(known_address, F.lit("")), F.col("address"))
+    if category is not None:
+        out["furnished"] = furnished_from_category(category)
+    return df.withColumns(out)
+
+
 # Fixed values, one row per source: amenities of the detail page override (coalesce: if not null, always: even if null, furnished: that one
-# only, never), whether the card's own amenities are read, and whether detail bedrooms above the rooms are dropped.
+# only, never, category: furnished is the listing's own), whether the card's own amenities are read, and whether detail bedrooms above the rooms are dropped.
 POLICIES = [
     ("Barnes", "coalesce", True, True, False),
     ("Barnes suburbs", "never", True, True, False),
@@ -61,7 +72,7 @@ POLICIES = [
     ("Book-a-Flat", "coalesce", True, True, False),
     ("Perenium", "coalesce", True, True, False),
     ("Eiffel Housing", "never", True, False, False),
-    ("ParisRental", "never", False, False, False),
+    ("ParisRental", "category", False, False, False),
 ]
 
 
@@ -82,6 +93,8 @@ def enrich(cards: DataFrame, details: DataFrame, policies: DataFrame, key: str =
         card = F.when(F.col("card_amenities"), F.col(f"card.{name}"))
         d = F.col(f"detail.{name}")
         coalesced = (F.col("amenities") == "coalesce") | ((F.col("amenities") == "furnished") & F.lit(name == "furnished"))
+        if name == "furnished" and name in cards.columns:
+            card = F.when(F.col("amenities") == "category", F.col(name)).otherwise(card)
         return F.when((F.col("amenities") == "always") & F.col("detail").isNotNull(), d).when(coalesced, merge_feature(d, card)).otherwise(card)
 
     own_bath = merge_feature(F.col("bathrooms"), F.when(F.col("card_amenities"), F.col("card.bathroomsFromDetail")))
@@ -132,9 +145,9 @@ def first_pages(df: DataFrame, page: str, pos: str, key: str = "url") -> DataFra
 
 
 def location_outcomes(df: DataFrame, location: str, n_rows: str, error: str) -> DataFrame:
-    """One row a location: rows, attempts, errors, and its outcome (failed, empty or ok)."""
+    """One row a location: rows, attempts, errors, their different texts in binary order, and its outcome (failed, empty or ok)."""
     bad = F.coalesce(error, F.lit("")) != ""
-    g = df.groupBy(location).agg(F.sum(F.when(~bad, F.col(n_rows)).otherwise(0)).alias("rows"), F.count(F.lit(1)).alias("attempts"), F.count_if(bad).alias("errors"))
+    g = df.groupBy(location).agg(F.sum(F.when(~bad, F.col(n_rows)).otherwise(0)).alias("rows"), F.count(F.lit(1)).alias("attempts"), F.count_if(bad).alias("errors"), F.array_sort(F.collect_set(F.when(bad, F.col(error)))).alias("messages"))
     return g.withColumn("outcome", F.when(F.col("errors") == F.col("attempts"), "failed").when(F.col("rows") == 0, "empty").otherwise("ok"))
 
 

@@ -66,12 +66,19 @@ def sheet_rows(df: DataFrame) -> DataFrame:
     return df.select(*[v.alias(n) for v, n in zip(values, SHEET, strict=True)])
 
 
-def publish(listings: DataFrame, status: DataFrame, folder: str, fmt: str = "json") -> None:
-    """Listings (with normalizedArea) and status as two datasets; totals are counts of these."""
+def publish(listings: DataFrame, status: DataFrame, folder: str, fmt: str = "json", meta: DataFrame | None = None) -> None:
+    """Listings (with normalizedArea) and status as two datasets, and as a third the one row of meta: generatedAt, searchType, totalListings."""
+    if meta is not None:
+        meta.write.mode("overwrite").format(fmt).save(f"{folder}/meta")
     listings.write.mode("overwrite").format(fmt).save(f"{folder}/listings")
     status.write.mode("overwrite").format(fmt).save(f"{folder}/status")
 
 
+def sheet_table(df: DataFrame) -> DataFrame:
+    """The sheet's columns under names that a table can have."""
+    return sheet_rows(df).toDF(*[c.lower().replace(" (€)", "").replace("²", "2") for c in SHEET])
+
+
 def save_sheet(rows: DataFrame, name: str) -> None:
     """Overwrites the table, or makes it."""
     rows.toDF(*[c.lower().replace(" (€)", "").replace("²", "2") for c in rows.columns]).write.mode("overwrite").saveAsTable(name)

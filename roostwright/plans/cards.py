@@ -16,10 +16,16 @@ def price_value() -> Column:
     return ((F.floor(F.col("p_retailprice") * 100).cast("long") * F.col("p_size")) % 9_000_000 + 500).cast("int")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores if its files make fewer splits than that: parsing is dear, and a small file would be one task. Larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_partkey, source, searchType, url, rawText, detailText."""
     key = F.col("p_partkey")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_retailprice", "p_brand", "p_name")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_retailprice"), "p_partkey")
     s = lambda c: c.cast("string")
     number = F.replace(F.format_number(price_value(), 0), F.lit(","), pick([" ", " ".replace(" ", chr(0xA0)), ",", "."], key))
     price = pick([F.concat(number, F.lit(" €/month")), F.concat(F.lit("€ "), number, F.lit(" / mois")), F.concat(number, F.lit(" €")), F.concat(F.lit("€"), number), F.lit("Prix sur demande")], key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_area, parse_listing, strip_query
+from ..functions.text import parse_listing, strip_query, with_area
 from ..operators import listings as L
 from ..operators.query import ListingQuery
 from .cards import cards
@@ -14,7 +14,7 @@ from .cards import cards
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parse_listing(cards(spark, sf_dir).withColumn("url", strip_query(F.col("url"))))
     rows = L.drop_room_shares(L.first_wins(rows, "url", ["p_partkey"]))
-    return rows.withColumn("normalizedArea", normalize_area(F.col("address")))
+    return with_area(rows)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,8 +43,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.parse_listing(cards(spark, sf_dir))
+def parsed(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return X.parse_listing(cards(spark, sf_dir), columns=columns or tuple(X.PARSED))
+
+
+def detailed(rows: DataFrame) -> DataFrame:
+    """rows with the struct f of what their detail pages say."""
+    return X.settled(rows, f=X.detail_features(F.col("detailText")))
 
 
 #: What each card says, from the columns it was made of.
@@ -71,33 +76,35 @@ WITH b AS (
 
 @register(BASE + "SELECT k AS p_partkey, price, on_request AS price_on_request FROM c")
 def parse_price(spark, sf_dir):
-    return parsed(spark, sf_dir).select("p_partkey", "price", F.col("priceOnRequest").alias("price_on_request"))
+    return parsed(spark, sf_dir, "price", "priceOnRequest").select("p_partkey", "price", F.col("priceOnRequest").alias("price_on_request"))
 
 
 @register(BASE + "SELECT k AS p_partkey, rooms, bedrooms, bathrooms FROM c")
 def parse_rooms(spark, sf_dir):
-    return parsed(spark, sf_dir).select("p_partkey", "rooms", "bedrooms", "bathrooms")
+    return parsed(spark, sf_dir, "rooms", "bedrooms", "bathrooms").select("p_partkey", "rooms", "bedrooms", "bathrooms")
 
 
 @register(BASE + "SELECT k AS p_partkey, sqm, floor(sqm * 10.764::DOUBLE + 0.5)::BIGINT AS sqft FROM c")
 def parse_surface(spark, sf_dir):
-    return parsed(spark, sf_dir).select("p_partkey", "sqm", "sqft")
+    return parsed(spark, sf_dir, "sqm", "sqft").select("p_partkey", "sqm", "sqft")
 
 
 @register(BASE + "SELECT k AS p_partkey, address FROM c")
 def parse_address(spark, sf_dir):
-    return parsed(spark, sf_dir).select("p_partkey", "address")
+    return parsed(spark, sf_dir, "address").select("p_partkey", "address")
 
 
-@register(BASE + "SELECT k AS p_partkey, CASE WHEN price > 0 THEN floor(price / sqm + 0.5)::BIGINT END AS price_per_sqm, 100 AS match_score, true AS is_exact FROM c")
+@register(BASE + """SELECT k AS p_partkey, CASE WHEN k % 7 > 1 AND price > 0 THEN floor(price / sqm + 0.5)::BIGINT END AS price_per_sqm,
+  CASE k % 7 WHEN 0 THEN 25 WHEN 1 THEN 50 ELSE 100 END AS match_score, k % 7 > 1 AS is_exact FROM c""")
 def derive_metrics(spark, sf_dir):
-    return parsed(spark, sf_dir).select("p_partkey", F.col("pricePerSqm").alias("price_per_sqm"), F.col("matchScore").alias("match_score"), F.col("isExactListing").alias("is_exact"))
+    """Cards of which two in seven say little: the street only, or the street and a price."""
+    little = F.when(F.col("p_partkey") % 7 == 0, "12 rue de la Paix").when(F.col("p_partkey") % 7 == 1, "12 rue de la Paix\n900 €/mois").otherwise(F.col("rawText"))
+    return X.parse_listing(cards(spark, sf_dir).withColumn("rawText", little)).select("p_partkey", F.col("pricePerSqm").alias("price_per_sqm"), F.col("matchScore").alias("match_score"), F.col("isExactListing").alias("is_exact"))
 
 
 @register(BASE + "SELECT k AS p_partkey, elevator, balcony, furnished, (k % 3 + 1)::INTEGER AS bathrooms, (k % 4 + 1)::INTEGER AS bedrooms FROM c")
 def detail_features(spark, sf_dir):
-    f = cards(spark, sf_dir).withColumn("f", X.detail_features(F.col("detailText")))
-    return f.select("p_partkey", "f.elevator", "f.balcony", "f.furnished", F.col("f.bathroomsFromDetail").alias("bathrooms"), F.col("f.bedroomsFromDetail").alias("bedrooms"))
+    return detailed(cards(spark, sf_dir)).select("p_partkey", "f.elevator", "f.balcony", "f.furnished", F.col("f.bathroomsFromDetail").alias("bathrooms"), F.col("f.bedroomsFromDetail").alias("bedrooms"))
 
 
 @register(BASE + """SELECT k AS p_partkey,
@@ -107,19 +114,19 @@ def detail_features(spark, sf_dir):
   coalesce(bedrooms, CASE WHEN k % 10 < 7 AND NOT (source = 'SeLoger' AND k % 4 + 1 > rooms) THEN (k % 4 + 1)::INTEGER END) AS bedrooms FROM c""")
 def merge_features(spark, sf_dir):
     """Details exist for seven cards in ten; how they are merged depends on the source."""
-    rows = parsed(spark, sf_dir).withColumn("card", X.detail_features(F.col("rawText")))
-    details = cards(spark, sf_dir).filter(F.col("p_partkey") % 10 < 7).select("url", X.detail_features(F.col("detailText")).alias("detail"))
+    rows = X.settled(parsed(spark, sf_dir, "rooms", "bedrooms", "bathrooms"), card=X.detail_features(F.col("rawText")))
+    details = detailed(cards(spark, sf_dir).filter(F.col("p_partkey") % 10 < 7)).select("url", F.col("f").alias("detail"))
     return L.enrich(rows, details, L.policy_dim(spark)).select("p_partkey", "elevator", "balcony", "furnished", "bathrooms", "bedrooms")
 
 
 @register(BASE + "SELECT k AS p_partkey, area, kind, arrondissement FROM c")
 def normalize_area(spark, sf_dir):
-    return parsed(spark, sf_dir).withColumn("a", X.normalize_area(F.col("address"))).select("p_partkey", "a.area", "a.kind", "a.arrondissement")
+    return X.with_area(parsed(spark, sf_dir, "address")).select("p_partkey", "normalizedArea.area", "normalizedArea.kind", "normalizedArea.arrondissement")
 
 
 @register(BASE + "SELECT k AS p_partkey FROM c WHERE NOT share")
 def room_share_filter(spark, sf_dir):
-    return L.drop_room_shares(parsed(spark, sf_dir)).select("p_partkey")
+    return L.drop_room_shares(parsed(spark, sf_dir, "isRoomShare")).select("p_partkey")
 
 
 @register(BASE + "SELECT k AS p_partkey FROM c WHERE NOT (kind_of = 'sale' AND k % 11 = 0)")
@@ -164,14 +171,14 @@ def source_status(spark, sf_dir):
 @register(BASE + """SELECT k AS p_partkey, price FROM c
 WHERE area IN ('Paris 16e', 'Paris 8e', 'Suresnes') AND source = 'DanielFeau' AND (price = 0 OR price <= 4000000) AND bathrooms >= 1 AND sqm >= 25""")
 def facet_filter(spark, sf_dir):
-    rows = parsed(spark, sf_dir).withColumn("normalizedArea", X.normalize_area(F.col("address")))
+    rows = X.with_area(parsed(spark, sf_dir, "price", "bathrooms", "sqm", "address"))
     q = ListingQuery(areas=frozenset({"Paris 16e", "Paris 8e", "Suresnes"}), source="DanielFeau", max_price=4_000_000, bathrooms=1, min_sqm=25)
     return q.filter(rows).select("p_partkey", "price")
 
 
 @register(BASE + "SELECT k AS p_partkey FROM c WHERE elevator AND furnished IS NOT DISTINCT FROM true AND price <> 0 AND price >= 100000")
 def amenity_filter(spark, sf_dir):
-    rows = parsed(spark, sf_dir).withColumn("f", X.detail_features(F.col("detailText"))).withColumns({c: F.col(f"f.{c}") for c in ("elevator", "balcony", "furnished")})
+    rows = detailed(parsed(spark, sf_dir, "price")).withColumns({c: F.col(f"f.{c}") for c in ("elevator", "balcony", "furnished")})
     return ListingQuery(min_price=100_000, amenities=frozenset({"elevator", "furnished"})).filter(rows).select("p_partkey")
 
 
@@ -266,11 +273,11 @@ def keyword_flags(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", words("the|les|die").alias("common"), words("idiot").alias("rude"))
 
 
-@register("""SELECT user_id, rows, attempts, errors, CASE WHEN errors = attempts THEN 'failed' WHEN rows = 0 THEN 'empty' ELSE 'ok' END AS outcome FROM (
+@register("""SELECT user_id, rows, attempts, errors, CASE WHEN errors > 0 THEN 'timed out' ELSE '' END AS messages, CASE WHEN errors = attempts THEN 'failed' WHEN rows = 0 THEN 'empty' ELSE 'ok' END AS outcome FROM (
   SELECT user_id, sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 4 END)::BIGINT AS rows, count(*) AS attempts, count(*) FILTER (event_id % 5 = 0) AS errors FROM events GROUP BY user_id)""")
 def location_outcomes(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 4).alias("n"), F.when(F.col("event_id") % 5 == 0, "timed out").alias("error"))
-    return L.location_outcomes(e, "user_id", "n", "error")
+    return L.location_outcomes(e, "user_id", "n", "error").withColumn("messages", F.array_join("messages", "; "))
 
 
 @register("""SELECT l_orderkey, max_by(l_suppkey, l_linenumber) FILTER (l_suppkey % 2 = 0) AS stated FROM (
@@ -286,7 +293,7 @@ def last_stated(spark, sf_dir):
   CASE WHEN furnished THEN 'Yes' WHEN NOT furnished THEN 'No' ELSE 'Not mentioned' END AS furnished, CASE WHEN furnished THEN 'Yes' WHEN NOT furnished THEN 'No' ELSE '' END AS furnished_sheet,
   CASE WHEN price > 0 THEN price::DOUBLE / sqm END AS per_sqm, CASE WHEN rooms = 1 THEN '1 listing' ELSE rooms || ' listings' END AS n FROM c""")
 def presentation_labels(spark, sf_dir):
-    r = parsed(spark, sf_dir).withColumn("f", X.detail_features(F.col("detailText")))
+    r = detailed(parsed(spark, sf_dir, "price", "priceOnRequest", "bedrooms", "rooms", "sqm"))
     price, asked = F.col("price"), F.col("priceOnRequest")
     return r.select(
         "p_partkey", V.price_label(price, asked).alias("price_label"), V.ui_price(price, asked).alias("ui_price"), V.or_blank(F.col("bedrooms"), "—").alias("bedrooms"),
@@ -299,7 +306,7 @@ def presentation_labels(spark, sf_dir):
   CASE WHEN elevator THEN 'Yes' ELSE 'No' END AS "Elevator", CASE WHEN furnished THEN 'Yes' WHEN NOT furnished THEN 'No' ELSE '' END AS "Furnished",
   CASE WHEN balcony THEN 'Yes' ELSE 'No' END AS "Balcony", 'https://example.org/' || k AS "URL" FROM c WHERE NOT share""")
 def sheet_layout(spark, sf_dir):
-    rows = located(spark, sf_dir).withColumn("f", X.detail_features(F.col("detailText"))).withColumns({c: F.col(f"f.{c}") for c in ("elevator", "balcony", "furnished")})
+    rows = detailed(located(spark, sf_dir)).withColumns({c: F.col(f"f.{c}") for c in ("elevator", "balcony", "furnished")})
     return V.sheet_rows(rows.withColumns({"starred": F.lit("x"), "status": F.lit("Active")}))
 
 
@@ -309,20 +316,17 @@ def arrondissement_dim(spark, sf_dir):
     return dims.arrondissement_dim(spark)
 
 
-@register("SELECT s AS slug, n AS name FROM (VALUES ('neuilly-sur-seine', 'Neuilly-sur-Seine'), ('ville-d-avray', 'Ville-D-Avray'), ('le-vesinet', 'Le-Vesinet'), ('la-garenne-colombes', 'La-Garenne-Colombes')) t(s, n)")
-def slug_names(spark, sf_dir):
-    rows = dims.location_dim(spark).select("slug", X.slug_to_display(F.col("slug")).alias("name"))
-    return rows.filter(F.col("slug").isin("neuilly-sur-seine", "ville-d-avray", "le-vesinet", "la-garenne-colombes"))
-
-
 @register(f"""SELECT s AS slug, array_to_string(list_transform(string_split(s, '-'), lambda w, i:
   CASE WHEN i > 1 AND w IN ('sur', 'en', 'la', 'le', 'les', 'de', 'des', 'du', 'et', 'd''') THEN w ELSE upper(w[1]) || w[2:] END), '-') AS name
 FROM (VALUES {", ".join(f"('{s}')" for s in dims.LOCATION_SLUGS)}) t(s)""")
 def all_slug_names(spark, sf_dir):
-    """Names of all slugs; slug_names has those of four."""
+    """Names of all slugs."""
     return dims.location_dim(spark).select("slug", X.slug_to_display(F.col("slug")).alias("name"))
 
 
+QUERIES["slug_names"], SQL["slug_names"] = QUERIES["all_slug_names"], SQL["all_slug_names"]  # the former name, over all slugs too
+
+
 @register("SELECT n_nationkey, n_name, CASE WHEN n_nationkey = 0 THEN NULL ELSE round(100 * (n_nationkey // 2)::DOUBLE / n_nationkey, 1) END AS percent FROM nation")
 def coverage(spark, sf_dir):
     n = F.col("n_nationkey")
@@ -359,9 +363,69 @@ def page_urls(spark, sf_dir):
     return rows.select("arrondissement", X.page_url("SeLoger", F.col("kind"), geo=F.col("geoCode"), page=F.lit(1)).alias("url"))
 
 
-@register("""SELECT n_nationkey, (n_nationkey % 7 > 0 AND n_nationkey % 7 < 4)::BOOLEAN AS furnished_known FROM nation""")
+@register("""SELECT n_nationkey, CASE WHEN n_nationkey % 7 IN (1, 3) THEN true WHEN n_nationkey % 7 = 2 THEN false END AS furnished FROM nation""")
 def category_flags(spark, sf_dir):
     """Categories that say whether their flats are furnished."""
     n = F.col("n_nationkey") % 7
     name = F.when(n.isin(1, 3), "furnished").when(n == 2, "unfurnished").otherwise("sale")
-    return read(spark, sf_dir, "nation").select("n_nationkey", X.furnished_from_category(name).isNotNull().alias("furnished_known"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", X.furnished_from_category(name).alias("furnished"))
+
+
+@register(BASE + """SELECT k AS p_partkey, 'Junot' AS source, kind_of AS "searchType", true AS "isExactListing", CASE WHEN k % 3 = 0 THEN 'Puteaux' ELSE address END AS address, area FROM (
+  SELECT * REPLACE (CASE WHEN k % 3 = 0 THEN 'Puteaux' ELSE area END AS area) FROM c)""")
+def stamped_listings(spark, sf_dir):
+    """Cards of a source with its constants; where the town searched is known, it is the address, and so the area."""
+    rows = parsed(spark, sf_dir, "address", "isExactListing")
+    out = L.stamp(rows.filter("searchType = 'rent'"), "Junot", "rent", F.when(F.col("p_partkey") % 3 == 0, "Puteaux"))
+    out = out.unionByName(L.stamp(rows.filter("searchType = 'sale'"), "Junot", "sale", F.when(F.col("p_partkey") % 3 == 0, "Puteaux")))
+    return X.with_area(out).select("p_partkey", "source", "searchType", "isExactListing", "address", F.col("normalizedArea.area").alias("area"))
+
+
+@register(BASE + """SELECT k AS p_partkey, CASE k % 4 WHEN 0 THEN true WHEN 1 THEN false END AS furnished, bathrooms AS card_bathrooms,
+  coalesce(bathrooms, (k % 3 + 1)::INTEGER) AS bathrooms FROM c""")
+def category_listings(spark, sf_dir):
+    """A source whose categories say what is furnished: neither card nor detail page changes that, but details fill bathrooms."""
+    rows = X.settled(parsed(spark, sf_dir, "rooms", "bedrooms", "bathrooms"), card=X.detail_features(F.col("rawText")))
+    category = F.element_at(F.array(*map(F.lit, ("furnished", "unfurnished", "sale", "other"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = L.stamp(rows.withColumn("card_bathrooms", F.col("bathrooms")), "ParisRental", "rent", category=category)
+    details = detailed(cards(spark, sf_dir)).select("url", F.col("f").alias("detail"))
+    return L.enrich(rows, details, L.policy_dim(spark)).select("p_partkey", "furnished", "card_bathrooms", "bathrooms")
+
+
+@register("""SELECT p_partkey, p_partkey % 2 = 1 AND p_partkey % 3 < 2 AS gone FROM part""")
+def english_sold_flags(spark, sf_dir):
+    """Sale cards that say they are sold, or under preliminary agreement; the English rule."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("Flat, "), F.element_at(F.array(*map(F.lit, ("SOLD", "under preliminary sales agreement", "resold soldiers"))), (k % 3 + 1).cast("int")), F.lit("!"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.when(k % 2 == 1, "sale").otherwise("rent").alias("searchType"), text.alias("rawText"))
+    left = L.drop_sold(rows, P.SOLD_EN).select("p_partkey", F.lit(True).alias("__left"))
+    return rows.join(left, "p_partkey", "left").select("p_partkey", F.col("__left").isNull().alias("gone"))
+
+
+@register("""SELECT l_orderkey, l_suppkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, l_orderkey, l_partkey) AS rn FROM lineitem) WHERE rn = 1""")
+def pages_first_wins(spark, sf_dir):
+    """A source's pages in turn: the first page that shows a listing keeps it."""
+    rows = read(spark, sf_dir, "lineitem").withColumn("pos", F.struct("l_orderkey", "l_partkey"))
+    return L.first_pages(rows, "l_linenumber", "pos", "l_suppkey").select("l_orderkey", "l_suppkey", "l_linenumber")
+
+
+@register("""SELECT l_orderkey, n BETWEEN 1 AND 9 AS short_last_page FROM (
+  SELECT l_orderkey, sum(l_quantity) FILTER (l_linenumber = m)::BIGINT AS n FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) GROUP BY l_orderkey)""")
+def short_last_pages(spark, sf_dir):
+    pages = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("n"))
+    return L.short_last_page(pages, ["l_orderkey"], "n", "l_linenumber")
+
+
+@register("""SELECT n_nationkey, n_nationkey || ' listings · updated 0' || (1 + n_nationkey % 9) || '/07/2001, 10:00:00' AS line FROM nation""")
+def meta_lines(spark, sf_dir):
+    n = F.col("n_nationkey")
+    when = F.make_timestamp(F.lit(2001), F.lit(7), (1 + n % 9).cast("int"), F.lit(10), F.lit(0), F.lit(0))
+    return read(spark, sf_dir, "nation").select("n_nationkey", X.meta_line(n, when).alias("line"))
+
+
+@register(BASE + """SELECT source AS "Source", CASE WHEN on_request THEN 'On request' ELSE price::VARCHAR END AS "Price (€)", rooms AS "Rooms", bathrooms AS "Bathrooms", sqm AS "m²",
+  CASE WHEN price > 0 THEN price::DOUBLE / sqm END AS "€/m²", address AS "Address", CASE WHEN elevator THEN 'Yes' ELSE 'No' END AS "Elevator", CASE WHEN balcony THEN 'Yes' ELSE 'No' END AS "Balcony",
+  CASE WHEN furnished THEN 'Yes' WHEN NOT furnished THEN 'No' ELSE 'Not mentioned' END AS "Furnished", 'https://example.org/' || k || '?src=x' AS "URL" FROM c""")
+def workbook_layout(spark, sf_dir):
+    rows = detailed(parsed(spark, sf_dir)).withColumns({c: F.col(f"f.{c}") for c in ("elevator", "balcony", "furnished")})
+    return V.workbook_rows(rows)

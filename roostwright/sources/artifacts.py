@@ -16,6 +16,7 @@ GROUPS = [
     ("Eiffel Housing", r"^output-eiffel-housing{suffix}\.json$"),
     ("Junot", r"^output-junot{suffix}\.json$"),
 ]
+LABELS = {"suburb towns": ("SeLoger-Suburb-", ":slug"), "arrondissements": ("SeLoger-Paris-", ":arrondissement", "e"), "categories": ("ParisRental-", ":category")}
 OPTIONAL = ("DanielFeau", "Eiffel Housing", "Junot")
 MISSING = "Isolated job artifact not found"
 
@@ -46,7 +47,7 @@ def read_parts(spark: SparkSession, folder: str, kind: str = "rent") -> DataFram
     for i, (name, template) in reversed(list(enumerate(GROUPS, 1))):
         hit = F.col("artifact").rlike(pattern(template, kind))
         rank = F.when(hit, F.lit(i)).otherwise(rank)
-        shown = F.lit(name) if name in OPTIONAL else F.coalesce("slug", F.concat(F.lit("arrondissement "), F.col("arrondissement").cast("string")), F.concat_ws(" ", "category", F.col("page").cast("string")))
+        shown = F.lit(name) if name in OPTIONAL else F.concat(*[F.col(x[1:]).cast("string") if x.startswith(":") else F.lit(x) for x in LABELS[name]])
         label = F.when(hit, shown).otherwise(label)
     return df.select(rank.alias("src_rank"), "artifact", label.alias("label"), "error", "listings").filter("src_rank is not null")
 

@@ -154,14 +154,22 @@ def test_merge_of_a_folder(spark, tmp_path):
     from roostwright.operators.combine import dataset_meta, merge_folder
 
     l = lambda u, share=False: {"url": u, "price": 1000, "isRoomShare": share, "address": "Paris 5e"}  # noqa: E731, E741
-    for name, body in {"output-main.json": {"listings": [l("a")]}, "output-junot.json": {"listings": [l("a"), l("b"), l("c", True)]}}.items():
+    told = [{"source": "Barnes", "found": 1, "error": None}, {"source": "SeLoger", "found": 0, "error": "blocked"}]
+    bodies = {
+        "output-main.json": {"listings": [l("a")], "sourceStatus": told}, "output-junot.json": {"listings": [l("a"), l("b"), l("c", True)]},
+        "output-seloger-suresnes-shard-0.json": {"slug": "suresnes", "listings": [l("d")]}, "output-seloger-arr-5-shard-1.json": {"arrondissement": 5, "listings": [], "error": "late"},
+        "output-parisrental-furnished-1.json": {"category": "furnished", "page": 1, "listings": [l("e")]},
+    }
+    for name, body in bodies.items():
         (tmp_path / name).write_text(json.dumps(body))
     published, status = merge_folder(spark, str(tmp_path))
-    assert sorted((r.url, r.normalizedArea.area) for r in published.collect()) == [("a", "Paris 5e"), ("b", "Paris 5e")]
-    assert {r.artifact: (r.found, r.error) for r in status.collect()} == {
-        "output-main.json": (1, None), "output-junot.json": (2, None), "DanielFeau": (0, artifacts.MISSING), "Eiffel Housing": (0, artifacts.MISSING),
+    assert sorted((r.url, r.normalizedArea.area) for r in published.collect()) == [(u, "Paris 5e") for u in "abde"]
+    assert {r.source: (r.found, r.error) for r in status.collect()} == {
+        "Barnes": (1, None), "SeLoger": (0, "blocked"), "Junot": (2, None), "SeLoger-Suburb-suresnes": (1, None), "SeLoger-Paris-5e": (0, "late"),
+        "ParisRental-furnished": (1, None), "DanielFeau": (0, artifacts.MISSING), "Eiffel Housing": (0, artifacts.MISSING),
     }
-    assert dataset_meta(published, "rent").collect()[0].totalListings == 2 and not L.has_details(frame(spark, [(None,)], "elevator boolean"))
+    assert [r.source for r in status.orderBy("src_rank").collect()[:2]] == ["Barnes", "SeLoger"]
+    assert dataset_meta(published, "rent").collect()[0].totalListings == 4 and not L.has_details(frame(spark, [(None,)], "elevator boolean"))
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="driver tables are not here")
@@ -174,3 +182,44 @@ def test_scan_cards_runs_over_all_cards(spark):
 def test_all_slugs_are_named(spark):
     rows = {r.slug: r.name for r in registry.queries()["all_slug_names"](spark, "").collect()}
     assert sorted(rows) == sorted(dims.LOCATION_SLUGS) and all(n.lower() == s and n[0].isupper() for s, n in rows.items())
+
+
+def test_filters_do_not_repeat_the_parse(spark):
+    """A predicate on a parsed column must not inline the parse again: each pattern stands in the plan once."""
+    import re
+
+    from roostwright.functions import text as X
+    from roostwright.operators.query import ListingQuery
+
+    rows = spark.createDataFrame([("T3 60 m² 900 €/mois Paris 16e", "Junot")], "rawText string, source string")
+    q = ListingQuery(areas=frozenset({"Paris 16e"}), source="Junot", max_price=4000, bathrooms=None, min_sqm=25)
+    df = q.filter(X.with_area(X.parse_listing(rows))).select("price")
+    assert len(re.findall(r"regexp_\w+\(|RLIKE", df._jdf.queryExecution().optimizedPlan().toString())) < 60
+    assert [r.price for r in df.collect()] == [900]
+
+
+def test_asked_columns_only_are_parsed(spark):
+    from roostwright.functions import text as X
+
+    rows = spark.createDataFrame([("T3, 60 m², 900 €/mois", 1)], "rawText string, price int")
+    assert X.parse_listing(rows, columns=("price", "sqft")).collect() == [("T3, 60 m², 900 €/mois", 900, 646)]
+
+
+def test_sheets_are_synced_and_keep_their_stars(spark):
+    from roostwright.operators.combine import sync_sheets
+
+    schema = "url string, source string, price int, priceOnRequest boolean, bedrooms int, bathrooms int, sqm double, normalizedArea struct<area: string>, address string, elevator boolean, furnished boolean, balcony boolean"
+    rows = lambda *urls: spark.createDataFrame([(u, "Junot", 900, False, 1, None, 20.5, ("Puteaux",), "Puteaux", None, True, False) for u in urls], schema)
+    names = ("sync_rent", "sync_sale")
+    try:
+        assert sync_sheets(spark, rows("a", "b"), None, names) == ["sync_rent"] and not spark.catalog.tableExists("sync_sale")
+        starred = spark.table("sync_rent").withColumn("starred", F.when(F.col("url") == "a", "x").otherwise(F.col("starred")))
+        starred.write.mode("overwrite").saveAsTable("sync_starred")
+        spark.sql("DROP TABLE sync_rent")
+        spark.sql("ALTER TABLE sync_starred RENAME TO sync_rent")
+        assert sync_sheets(spark, rows("b", "c"), rows("s"), names) == ["sync_rent", "sync_sale"]
+        got = {r.url: (r.starred, r.status, r.price, r.furnished) for r in spark.table("sync_rent").collect()}
+        assert got == {"a": ("x", "No Longer Listed", "900", "Yes"), "b": ("", "Active", "900", "Yes"), "c": ("", "Active", "900", "Yes")}
+    finally:
+        for n in (*names, "sync_starred", "sync_rent__next"):
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
