@@ -1,4 +1,4 @@
-"""Words, hashes and byte windows of whole Arrow columns in numpy; a few MB of text at a time, never a loop over words."""
+"""Words, hashes and byte windows of whole Arrow columns in numpy; about a MB of text at a time, never a loop over words."""
 
 from __future__ import annotations
 
@@ -52,7 +52,7 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 21, most_rows: int = 1 << 31) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20, most_rows: int = 1 << 31) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets from 0) of about `most` bytes of text and at most most_rows rows each; a longer text comes alone."""
     for b in batches:
         if not b.num_rows:
