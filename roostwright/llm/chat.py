@@ -40,6 +40,12 @@ def unescape_role(role: Column) -> Column:
     return role
 
 
+def join_nodes(left: DataFrame, right: DataFrame, how: str = "inner", by: str = "node_id") -> DataFrame:
+    """left joined with right's row of the same conversation (null being one too) whose node_id is left's `by`; right's keys go."""
+    right = right.withColumnsRenamed({"conv_id": "__c", "node_id": "__n"})
+    return left.join(right, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col(by) == F.col("__n")), how).drop("__c", "__n")
+
+
 def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(totals, jumps): conv_id, node_id, total score and depth of each node's path; jumps[k] = each node's ancestor 2^k up.
 
@@ -54,10 +60,10 @@ def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if climbing.isEmpty():
             break
         jumps.append(climbing.select("conv_id", "node_id", "up"))
-        above = now.select(F.col("conv_id").alias("__c"), F.col("node_id").alias("__n"), F.col("up").alias("__up"), F.col("total").alias("__total"), F.col("depth").alias("__depth"))
+        above = now.select("conv_id", "node_id", F.col("up").alias("__up"), F.col("total").alias("__total"), F.col("depth").alias("__depth"))
         above = above.unionByName(_finished(done[:-1], above))
         now = C.durable(
-            climbing.join(above, (F.col("conv_id") == F.col("__c")) & (F.col("up") == F.col("__n")))
+            join_nodes(climbing, above, by="up")
             .select("conv_id", "node_id", F.col("__up").alias("up"), (F.col("total") + F.col("__total")).alias("total"), (F.col("depth") + F.col("__depth")).alias("depth")),
             "chat-up",
         )
@@ -70,7 +76,7 @@ def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 def _finished(done: list[DataFrame], like: DataFrame) -> DataFrame:
     out = like.limit(0)
     for d in done:
-        out = out.unionByName(d.select(F.col("conv_id").alias("__c"), F.col("node_id").alias("__n"), F.lit(None).cast("long").alias("__up"), F.col("total").alias("__total"), F.col("depth").alias("__depth")))
+        out = out.unionByName(d.select("conv_id", "node_id", F.lit(None).cast("long").alias("__up"), F.col("total").alias("__total"), F.col("depth").alias("__depth")))
     return out
 
 
@@ -79,31 +85,30 @@ def chosen_turns(nodes: DataFrame, n_paths: int) -> DataFrame:
     totals, jumps = climb(nodes)
     totals = C.durable(totals, "chat-totals")
     parents = nodes.filter("parent_id is not null").select("conv_id", F.col("parent_id").alias("node_id"))
-    leaves = totals.join(parents, ["conv_id", "node_id"], "left_anti")
+    leaves = join_nodes(totals, parents, "left_anti")
     best = Window.partitionBy("conv_id").orderBy(F.desc("total"), F.desc("depth"), "node_id")
     on = leaves.withColumn("path", F.row_number().over(best)).filter(F.col("path") <= n_paths).select("conv_id", "path", "node_id")
     for jump in reversed(jumps):
-        j = jump.select(F.col("conv_id").alias("__c"), F.col("node_id").alias("__n"), "up")
-        on = on.join(j, (F.col("conv_id") == F.col("__c")) & (F.col("node_id") == F.col("__n")), "left")
+        on = join_nodes(on, jump, "left")
         on = on.select("conv_id", "path", F.explode(F.array_compact(F.array("node_id", "up"))).alias("node_id"))
-    return on.join(totals.drop("total"), ["conv_id", "node_id"]).join(nodes.select("conv_id", "node_id", "role", "text"), ["conv_id", "node_id"])
+    return join_nodes(join_nodes(on, totals.drop("total")), nodes.select("conv_id", "node_id", "role", "text"))
 
 
 def format_trees(nodes: DataFrame, n_paths: int = 1, loss_role: str = "assistant") -> DataFrame:
     """conv_id, path, formatted, loss_spans (code-point start and length of each text to be learnt) of the best branches.
 
     nodes: conv_id, node_id (longs), parent_id (null at a root), role, text, score. Null roles and texts count as empty, a null score
-    as 0, a parent that isn't there as none; rows without conv_id or node_id belong to no tree and are left out, as are nodes
-    on cycles; of rows with one conv_id and node_id the least (role, text) counts. An empty table gives an empty one.
+    as 0, a parent that isn't there as none; rows without conv_id are one conversation more; rows without node_id
+    belong to no tree and are left out, as are nodes on cycles; of rows with one conv_id and node_id the least (role, text) counts. An empty table gives an empty one.
     Other columns are ignored. A conversation becomes one string, so it has to fit in a task.
     """
     cols = nodes.select(
         "conv_id", "node_id", "parent_id", C.text_or_empty("role").alias("role"), C.text_or_empty("text").alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
-    ).filter("conv_id is not null and node_id is not null")
+    ).filter("node_id is not null")
     one = cols.groupBy("conv_id", "node_id").agg(F.min(F.struct("role", "text", "parent_id", "score")).alias("r")).select("conv_id", "node_id", "r.*")
-    known = one.select(F.col("conv_id").alias("__c"), F.col("node_id").alias("__n"))
-    one = one.join(known, (F.col("conv_id") == F.col("__c")) & (F.col("parent_id") == F.col("__n")), "left")
-    one = C.durable(one.select("conv_id", "node_id", F.col("__n").alias("parent_id"), "role", "text", "score"), "chat-nodes")
+    known = one.select("conv_id", "node_id", F.col("node_id").alias("__parent"))
+    one = join_nodes(one, known, "left", by="parent_id")
+    one = C.durable(one.select("conv_id", "node_id", F.col("__parent").alias("parent_id"), "role", "text", "score"), "chat-nodes")
     turns = chosen_turns(one, n_paths)
     head, body = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")), escape(F.col("text"))
     turns = turns.select("conv_id", "path", "depth", "role", head.alias("head"), body.alias("body"))

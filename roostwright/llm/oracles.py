@@ -62,7 +62,7 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 12 + 1 + 10 + 1)::BIGINT AS formatted_chars
-FROM rows_ WHERE conv_id IS NOT NULL GROUP BY conv_id
+FROM rows_ GROUP BY conv_id
 """
 
 OP7_QUEUES = rf"""

@@ -18,6 +18,7 @@ def test_branches_are_ranked_and_formatted(spark):
     rows = [
         (1, 1, None, "system", "s", 0.0), (1, 2, 1, "user", trap, 1.0), (1, 3, 2, "assistant", "good", 5.0), (1, 4, 2, "assistant", "bad", 1.0), (1, 5, 4, "user", None, 1.0),
         (2, 1, None, None, "alone", None), (3, 1, 2, "user", "cycle", 0.0), (3, 2, 1, "user", "cycle", 0.0), (4, 7, 99, "a%0A\nb<", "no parent", 0.0), (None, 1, None, "user", "x", 0.0),
+        (None, 2, 1, "assistant", "no id", 1.0), (None, 3, 2, "user", "y", 1.0), (5, None, None, "user", "no node", 0.0),
     ]
     nodes = spark.createDataFrame(rows, NODES).withColumn("path", F.lit("clash"))
     back = {(r.conv_id, r.path): ([(t.role, t.text) for t in r.turns], list(r.loss)) for r in chat.read_back(chat.format_trees(nodes, n_paths=2)).collect()}
@@ -25,6 +26,7 @@ def test_branches_are_ranked_and_formatted(spark):
         (1, 1): ([("system", "s"), ("user", trap), ("assistant", "good")], ["good"]),
         (1, 2): ([("system", "s"), ("user", trap), ("assistant", "bad"), ("user", "")], ["bad"]),
         (2, 1): ([("", "alone")], []), (4, 1): ([("a%0A\nb<", "no parent")], []),
+        (None, 1): ([("user", "x"), ("assistant", "no id"), ("user", "y")], ["no id"]),
     }
     assert chat.format_trees(nodes.limit(0)).count() == 0
 
