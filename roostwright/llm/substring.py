@@ -11,6 +11,7 @@ shard's size grows with the corpus.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,10 +95,11 @@ def numbered(segs: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def shard_repeats(width: int):
-    """For one shard's distinct segments (sid, seg, n): the word ranges within each that repeated windows cover."""
+    """For one shard's distinct segments (seg, n): the word ranges within each that repeated windows cover, by the segment's MD5."""
 
     def run(shard: pa.Table) -> pa.Table:
-        text, base, length = numbered(shard["seg"].combine_chunks().cast(pa.large_binary()), width)
+        segs = shard["seg"].combine_chunks()
+        text, base, length = numbered(segs.cast(pa.large_binary()), width)
         many = shard["n"].to_numpy() > 1
         # a segment that stands several times is repeated as a whole; the others are searched
         index = FMIndex(text, 1 << (2 * width - 1).bit_length())
@@ -105,7 +107,9 @@ def shard_repeats(width: int):
         whole = np.flatnonzero(many)
         seq = np.concatenate([seq, whole])
         a, b = np.concatenate([a, np.zeros(len(whole), np.int64)]), np.concatenate([b, length[whole] - width])
-        return pa.table({"sid": shard["sid"].take(pa.array(seq)), "a": pa.array(a.astype(np.int32)), "b": pa.array((b + width).astype(np.int32))})
+        found, which = np.unique(seq, return_inverse=True)
+        sid = pa.array([hashlib.md5(x, usedforsecurity=False).hexdigest() for x in segs.take(pa.array(found)).to_pylist()], pa.string())
+        return pa.table({"sid": sid.take(pa.array(which)), "a": pa.array(a.astype(np.int32)), "b": pa.array((b + width).astype(np.int32))})
 
     return run
 
@@ -154,16 +158,16 @@ def repeated_spans(docs: DataFrame, width: int, per_shard: int = 15_000) -> Data
                 ["doc_id", "th", "start", "key", "seg", "single"],
             )
 
-    places = texts.mapInArrow(cut, "doc_id long, th long, start int, key long, seg binary, single boolean").withColumn("sid", F.md5("seg"))
+    places = texts.mapInArrow(cut, "doc_id long, th long, start int, key long, seg binary, single boolean")
     places, n_places = C.counted(places, "substring-places", "zstd")
     C.delete(found, repeated)
     distinct = places.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.bool_or("single").alias("single"))
     shards = max(1, total // per_shard)
-    sharded = distinct.filter("not single").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), F.md5("seg").alias("sid"), "seg", F.least("n", F.lit(2)).cast("int").alias("n"))
+    sharded = distinct.filter("not single").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "seg", F.least("n", F.lit(2)).cast("int").alias("n"))
     ranges = sharded.groupBy("shard").applyInArrow(shard_repeats(width), "sid string, a int, b int")
     alone = distinct.filter("single and n > 1").select(F.md5("seg").alias("sid"), F.lit(0).alias("a"), F.lit(width).alias("b"))
     ranges = ranges.unionByName(alone).groupBy("sid").agg(F.collect_list(F.struct("a", "b")).alias("r"))
-    spans = C.join_salted(places.select("doc_id", "th", "start", "sid"), ranges, "sid", "doc_id", n_places).select(
+    spans = C.join_salted(places.select("doc_id", "th", "start", F.md5("seg").alias("sid")), ranges, "sid", "doc_id", n_places).select(
         "doc_id", "th", F.explode(F.transform("r", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b")))).alias("s")
     )
     out = C.durable(spans.groupBy("doc_id", "th").agg(F.collect_list("s").alias("spans")), "substring-spans")
