@@ -47,7 +47,8 @@ STAGES = [
     ("sharding", into_shards),
 ]
 
-#: The first stage learns a model, which SQL can't; tests/llm compares every stage with a plain version of it.
+#: The first stage learns a model, which SQL can't. tests/llm compares near-dedup and decontamination with plain versions, and holds
+#: toxicity (a subset, most of it kept), mixing (copies and budget) and sharding (counts and slots) to their laws only.
 ORACLE_SQL = None
 
 
