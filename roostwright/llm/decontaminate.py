@@ -3,8 +3,8 @@
 A window of as many words as a benchmark item is alike to it if the weighted similarity of their 5-word shingles (each
 weighing as often as it stands there: shared weight over joint weight) is 0.8 or more. Windows in which fewer than
 0.8 of the places hold shingles of items of their size can't be, and are passed over by one running count; the others get a
-256-bit SimHash. Fingerprints of items within RADIUS bits share a 16-bit block up to RADIUS / 16 bits, so looking a
-window's blocks up among the items' blocks and all their neighbours misses none within the radius; what is
+256-bit SimHash. Fingerprints of items within RADIUS bits share a 16-bit block up to RADIUS / 16 = 4 bits, so looking a
+window's blocks and their neighbours up to 2 bits away up among the items' blocks and theirs misses none within the radius; what is
 found is verified on the words themselves.
 
 One pass over the corpus, no shuffle; the benchmark goes along in blocks of bounded size.
@@ -29,8 +29,10 @@ from . import textnum as N
 U = np.uint64
 #: 256 bits; similarity 0.8 means an angle of 27 degrees, 39 bits on average with a deviation of 5.7, so 72 is nearly six of these above.
 BITS, BLOCK, RADIUS = 256, 16, 72
-#: Items and words in one block of the benchmark; each block is a pass over the corpus.
-BLOCK_ITEMS, BLOCK_WORDS = 1024, 1_000_000
+#: Items and words in one block of the benchmark; each block is a pass over the corpus. An item takes 9 KB in the tables of a Python worker.
+BLOCK_ITEMS, BLOCK_WORDS = 8192, 1_000_000
+#: All changes of a 16-bit value by half of the bits that a block may differ in.
+FLIPS = np.array([sum(1 << b for b in c) for n in range(RADIUS // (BITS // BLOCK) // 2 + 1) for c in combinations(range(BLOCK), n)], np.uint16)
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -96,21 +98,25 @@ class Index:
             out[k] = (s, np.append(first, len(flat)), size)
         return out
 
-    def near(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each block: (start of each 16-bit value's items, items), the values being the items' own and all within RADIUS // 16 bits of them."""
+    def near(self) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, items): 65,537 starts into items for each block, by 16-bit value; the values are the items' own and those that FLIPS makes of them."""
         if not self._near:
-            flips = np.array([sum(1 << b for b in c) for n in range(RADIUS // (BITS // BLOCK) + 1) for c in combinations(range(BLOCK), n)], np.uint16)
+            starts, parts = [], []
             for j in range(BITS // BLOCK):
-                values = (self.prints[:, j, None] ^ flips[None]).ravel()
-                order = np.argsort(values, kind="stable")
-                items = np.repeat(np.arange(len(self.ids), dtype=np.int16), len(flips))[order]
-                self._near.append((np.searchsorted(values[order], np.arange(65537)), items))
-        return self._near
+                values = (self.prints[:, j, None] ^ FLIPS[None]).ravel()
+                parts.append(np.repeat(np.arange(len(self.ids), dtype=np.int32), len(FLIPS))[np.argsort(values, kind="stable")])
+                starts.append(np.append(0, np.cumsum(np.bincount(values, minlength=65536))) + j * len(values))
+            self._near += [np.concatenate(starts), np.concatenate(parts)]
+        return tuple(self._near)
 
     def search(self, window: np.ndarray) -> np.ndarray:
-        """The items whose fingerprints are within RADIUS bits of a window's."""
-        found = [items[at[v] : at[v + 1]] for (at, items), v in zip(self.near(), window.astype(np.int64), strict=True)]
-        cand = np.unique(np.concatenate(found)).astype(np.int64)
+        """The items whose fingerprints are within RADIUS bits of a window's. Blocks at most RADIUS // 16 bits apart meet halfway."""
+        at, items = self.near()
+        values = ((window[:, None] ^ FLIPS[None]).astype(np.int64) + 65537 * np.arange(BITS // BLOCK)[:, None]).ravel()
+        first, n = at[values], at[values + 1] - at[values]
+        met = np.zeros(len(self.ids), bool)
+        met[items[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        cand = np.flatnonzero(met)
         return cand[np.bitwise_count(self.prints[cand] ^ window).sum(axis=1, dtype=np.int64) <= RADIUS]
 
     def leaks(self, h: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray]], known: dict, least: float) -> list[dict]:

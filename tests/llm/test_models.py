@@ -167,7 +167,9 @@ def test_hamming_index_misses_nothing_within_its_radius():
         i = int(r.integers(200))
         bits = np.unpackbits(prints[i].view(np.uint8))
         bits[r.permutation(256)[: int(r.integers(0, decontaminate.RADIUS + 1))]] ^= 1
-        assert i in index.search(np.packbits(bits).view(np.uint16))
+        window = np.packbits(bits).view(np.uint16)
+        found = index.search(window).tolist()
+        assert i in found and found == np.flatnonzero(np.bitwise_count(prints ^ window).sum(axis=1, dtype=np.int64) <= decontaminate.RADIUS).tolist()
 
 
 @pytest.mark.parametrize("text", ["", "a", " a  b\tc\nd ", "é ü x y", "a" * 50])
