@@ -157,3 +157,42 @@ v AS (SELECT *, shared::DOUBLE / (least(l, n) - 4 + l - 4 - shared) AS similarit
 SELECT doc_id, item_id, (a - 1)::INTEGER AS start, least(l, n)::INTEGER AS n_words, similarity
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, a) AS r FROM v WHERE similarity >= 0.8) WHERE r = 1
 """
+
+SQL["op13_pivot_top_k"] = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 5
+"""
+
+CRC_TABLE = """(SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) AS v FROM range(256) r(i)))"""
+
+#: Prefixes are named by a digest of their turns' digests; a subtree is every node whose first member has the prefix at its depth.
+SQL["op11_radix_prefix_trie"] = f"""
+WITH rows_ AS (
+  SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS id, strlen(text)::BIGINT AS size
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), own AS (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS ids, list(size ORDER BY turn NULLS FIRST, id) AS sizes, hex(encode(conv_id::VARCHAR)) AS hx FROM rows_ GROUP BY conv_id),
+own_h AS (
+  SELECT own.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(hx) // 2), lambda i: ('0x' || substr(hx, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 9 AS h FROM own, {CRC_TABLE}
+), seqs AS (
+  SELECT a.conv_id AS c, list_concat(coalesce(b.ids[1:a.h], []), a.ids[a.h + 1:]) AS ids, list_concat(coalesce(b.sizes[1:a.h], []), a.sizes[a.h + 1:]) AS sizes
+  FROM own_h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5
+), p AS MATERIALIZED (
+  SELECT c, len(ids) AS n, d, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, md5(coalesce(array_to_string(ids[1:d], ','), '')) AS node,
+    CASE WHEN d > 0 THEN md5(coalesce(array_to_string(ids[1:d - 1], ','), '')) END AS up
+  FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM seqs)
+), v AS MATERIALIZED (
+  SELECT node, any_value(up) AS up, any_value(d) AS depth, min(c) AS low, count(*) AS n_convs, any_value(size) AS size, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d) AS ends FROM p GROUP BY node
+), k AS (SELECT up, count(*) AS kids FROM v WHERE up IS NOT NULL GROUP BY up),
+s AS (
+  SELECT p.node, count(*) FILTER (k.kids IS NULL) AS n_leaves, sum((v.n_convs - 1) * v.size)::BIGINT AS saved_tokens
+  FROM v LEFT JOIN k ON k.up = v.node JOIN p ON p.c = v.low AND p.d <= v.depth GROUP BY p.node
+)
+SELECT v.low AS conv_id, v.depth, a.low AS parent_conv_id, v.n_convs, coalesce(k.kids, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN s USING (node) LEFT JOIN k ON k.up = v.node LEFT JOIN v a ON a.node = v.up
+"""

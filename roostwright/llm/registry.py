@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, language, line_dedup, minhash, mixing, oracles, sharding, substring, toxicity, whitening
+from . import chat, decontaminate, exact_dedup, language, line_dedup, minhash, mixing, oracles, prefix_trie, search, sharding, substring, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,7 +17,9 @@ def queries() -> dict:
         "op8_feistel_sharding": sharding.op8_feistel_sharding,
         "op9_simhash_decontamination": decontaminate.op9_simhash_decontamination,
         "op10_nnpu_toxicity": toxicity.op10_nnpu_toxicity,
+        "op11_radix_prefix_trie": prefix_trie.op11_radix_prefix_trie,
         "op12_charpoly_whitening": whitening.op12_charpoly_whitening,
+        "op13_pivot_top_k": search.op13_pivot_top_k,
     }
 
 

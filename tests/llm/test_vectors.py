@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roostwright.llm import eigen, whitening
+from roostwright.llm import eigen, search, whitening
 
 VECTORS = "vec_id long, embedding array<double>"
 
@@ -89,3 +89,61 @@ def test_whitening_of_odd_tables(spark):
         assert model.values == [] and model.identity_error is None and all(r.whitened == [] and r.deviation == 0 for r in whitening.whiten(few, model).collect())
     with pytest.raises(Exception, match="one length"):
         whitening.fit(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], VECTORS).repartition(1))
+
+
+def plain_search(rows, k, scale=256):
+    ok = [(i, v, [int(np.floor(scale * c)) for c in x]) for i, (v, x) in enumerate(rows) if x is not None and all(c is not None and np.isfinite(c) for c in x)]
+    out = []
+    for i, v, x in ok:
+        if v is not None and v % 50 == 0:
+            scores = [(-sum(a * b for a, b in zip(x, y, strict=True)), w is None, w or 0, w) for j, w, y in ok if j != i]
+            out += [(v, r, w, -s) for r, (s, _, _, w) in enumerate(sorted(scores, key=lambda t: t[:3])[:k], 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered", "copies", "ties", "large"])
+def test_search_finds_what_comparing_all_finds(spark, kind):
+    r = np.random.default_rng(5)
+    n, d = 600, 8
+    x = r.normal(size=(n, d))
+    if kind == "clustered":
+        x = r.normal(size=(9, d))[r.integers(0, 9, n)] + 0.02 * x
+    if kind == "copies":  # a third of the rows are one vector
+        x[: n // 3] = x[0]
+    if kind == "ties":
+        x = r.integers(-1, 2, (n, d)) / 256
+    if kind == "large":
+        x = x * 1e5
+    rows = [(int(i), v.tolist()) for i, v in zip(r.permutation(n), x, strict=True)]
+    df = spark.createDataFrame(rows, VECTORS).withColumns({"row": F.lit("clash"), "cell": F.lit(1)}).repartition(5)
+    got = search.top_k(df, F.col("vec_id") % 50 == 0, block_rows=40, tile_queries=3, most_pivots=6)
+    assert sorted([(g.query_id, g["rank"], g.vec_id, g.score) for g in got.collect()], key=str) == plain_search(rows, 5)
+
+
+def test_search_scores_few_candidates_of_clustered_vectors(spark, monkeypatch):
+    """Exact stopping: most candidates are passed over by their bounds."""
+    r = np.random.default_rng(6)
+    x = np.floor(256 * (r.normal(size=(8, 16)) * 4)[r.integers(0, 8, 4000)] + r.normal(size=(4000, 16)) * 8)
+    pivots = search.pick_pivots(x[:500], 24)
+    scored = []
+    monkeypatch.setattr(search, "products", lambda a, q, exact: scored.append(len(a)) or (a @ q).astype(np.int64))
+    block = search.Block(np.arange(4000), np.arange(4000), x, search.distances(x, pivots), (x * x).sum(axis=1))
+    ask = search.Block(*(v[:40] for v in (block.row, block.ids, block.x, block.table, block.lengths)))
+    for i, at, scores in block.search(ask, np.full(40, -(1 << 62)), 5):
+        want = sorted(((-int(s), j) for j, s in enumerate(x @ x[i]) if j != i))[:5]
+        assert [(-s, j) for j, s in zip(at, scores, strict=True)] == want
+    assert sum(scored) < 0.5 * 40 * 4000
+
+
+def test_search_in_odd_tables(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (7, None), (8, [nan, 1.0]), (9, [None, 1.0]), (100, [inf, 1.0]), (None, [1.0, 2.0]), (3, [1.0, 2.0]), (0, [-1.0, 0.5])]
+    ask = F.col("vec_id") % 50 == 0
+    tuples = lambda df: sorted([(g.query_id, g["rank"], g.vec_id, g.score) for g in df.collect()], key=str)
+    assert tuples(search.top_k(spark.createDataFrame(rows, VECTORS), ask)) == plain_search(rows, 5)
+    assert tuples(search.top_k(spark.createDataFrame(rows[2:6], VECTORS), ask)) == [] == tuples(search.top_k(spark.createDataFrame(rows[:1], VECTORS), ask))
+    assert tuples(search.top_k(spark.createDataFrame(rows[7:8], VECTORS), ask)) == []
+    empty = [(0, []), (1, [])]
+    assert tuples(search.top_k(spark.createDataFrame(empty, VECTORS), ask)) == [(0, 1, 1, 0)]
+    with pytest.raises(Exception, match="one length"):
+        search.top_k(spark.createDataFrame([(0, [1.0]), (2, [1.0, 2.0])], VECTORS).repartition(1), ask).collect()
