@@ -162,13 +162,38 @@ def running_before(bins: DataFrame, bin_col: str, value: str, out: str, by: tupl
     return inner.join(t, cond).withColumn(out, F.col("__in") + F.col("__above")).drop("__in", "__above", "__head", *[f"__k{i}" for i in range(len(keys))])
 
 
+def spread_key(seed: str, id_: Column, ties: list[Column]) -> Column:
+    """An md5 that shuffles rows: of the id (null being one) and of what else tells rows apart, so that rows without an id, or of one id, are spread too."""
+    parts = [F.lit(seed), F.coalesce(id_.cast("string"), F.lit("null"))]
+    for t in ties:
+        parts += [F.lit(":"), F.md5(F.coalesce(t.cast("string"), F.lit("")))]
+    return F.md5(F.concat(*parts))
+
+
+def in_order(df: DataFrame, order: list[Column], sums: dict[str, str], tag: str) -> DataFrame:
+    """df with its place (`__place`, from 1) in this order, and for each out -> column of sums the sum over all rows before.
+
+    A range sort deals the rows out, each part is summed by itself, and the parts' totals, a row a partition, are added up: no task gets all rows.
+    """
+    placed = durable(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)), tag)
+    each = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select("__part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__b_{o}") for o, c in [("__place", "__n"), *((o, f"__t_{o}") for o in sums)]])
+    inside = Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(each), "__part").withColumn("__place", F.col("__b___place") + F.row_number().over(Window.partitionBy("__part").orderBy("__id")))
+    out = out.withColumns({o: F.col(f"__b_{o}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for o, c in sums.items()})
+    return out.drop("__part", "__id", "__b___place", *[f"__b_{o}" for o in sums])
+
+
 def text_or_empty(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def hold(df: DataFrame) -> DataFrame:
-    """df packed into one struct column `__row`, so that working columns can't clash with the user's."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+def hold(df: DataFrame, names: list[str] | None = None, *more: Column) -> DataFrame:
+    """df (or those columns in names) packed into one struct column `__row`, so that working columns, `more`, can't clash with the user's."""
+    names = df.columns if names is None else names
+    packed = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(None).cast("int").alias("__none"))
+    return df.select(packed.alias("__row"), *more)
 
 
 def field(name: str) -> Column:
@@ -177,7 +202,7 @@ def field(name: str) -> Column:
 
 def unhold(df: DataFrame, drop: tuple[str, ...] = (), *more: Column) -> DataFrame:
     """The user's columns without `drop`, then `more`."""
-    names = [f.name for f in df.schema["__row"].dataType.fields if f.name not in drop]
+    names = [f.name for f in df.schema["__row"].dataType.fields if f.name not in (*drop, "__none")]
     return df.select(*[F.col("__row").getField(n).alias(n) for n in names], *more)
 
 

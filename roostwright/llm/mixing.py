@@ -23,6 +23,8 @@ from . import common as C
 
 #: Ranges of finish time for each unit, and the time beyond which all is one range.
 RANGES, LAST = 4096, 4
+#: Copies of a range that are ordered in one task.
+ORDERED = 10_000
 
 
 def n_words(text: Column | str) -> Column:
@@ -34,21 +36,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
 
     Sources stand by code point, null last, and weigh weights[0], weights[1], ... in turn. Poured by weight, a source
     is full once max_epochs * size is reached; in the order of (full size / weight) all full sources come first,
-    so one pass of sums tells which are full and what is left for the rest. This table has a row per source, not per document.
+    so one pass of running sums tells which are full and what is left for the rest. The table has a row per source; however many there are, they are ordered in ranges.
     """
     s = sizes.groupBy("source").agg(F.sum("size").cast("decimal(38,0)").alias("source_size"))
+    s = C.in_order(s, [F.col("source").asc_nulls_last()], {}, "mix-ranks").withColumnRenamed("__place", "source_rank")
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.col("source_rank") - 1) % len(weights) + 1).cast("int")).cast("decimal(18,0)")
-    s = s.withColumn("source_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("weight", w)
-    s = s.withColumn("__cap", F.col("source_size") * max_epochs)
-    by_fill = Window.orderBy(F.col("__cap").cast("double") / F.col("weight").cast("double"), "source_rank")
-    every = Window.partitionBy()
-    s = s.withColumn("__full_before", F.coalesce(F.sum("__cap").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double"))
-    s = s.withColumn("__weight_left", F.sum("weight").over(by_fill.rowsBetween(0, Window.unboundedFollowing)).cast("double"))
-    s = s.withColumn("__budget", F.floor(F.sum("source_size").over(every).cast("double") * F.lit(share)))
-    s = s.withColumn("__full", F.col("__cap").cast("double") * F.col("__weight_left") <= (F.col("__budget") - F.col("__full_before")) * F.col("weight").cast("double"))
-    full = F.coalesce(F.sum(F.when(F.col("__full"), F.col("__cap").cast("double"))).over(every), F.lit(0.0))
-    open_weight = F.sum(F.when(~F.col("__full"), F.col("weight").cast("double"))).over(every)
-    target = F.when(F.col("__full"), F.col("__cap").cast("double")).otherwise((F.col("__budget") - full) * F.col("weight").cast("double") / open_weight)
+    s = s.withColumns({"source_rank": F.col("source_rank").cast("int"), "weight": w}).withColumn("__cap", F.col("source_size") * max_epochs)
+    s = C.in_order(s, [F.col("__cap").cast("double") / F.col("weight").cast("double"), F.col("source_rank")], {"__full_before": "__cap", "__weight_before": "weight"}, "mix-fill")
+    total, weights_sum = s.agg(F.sum("source_size"), F.sum("weight")).collect()[0]
+    budget = float(int(float(total or 0) * share))
+    left = F.lit(float(weights_sum or 0)) - F.col("__weight_before").cast("double")
+    s = s.withColumn("__full", F.col("__cap").cast("double") * left <= (F.lit(budget) - F.col("__full_before").cast("double")) * F.col("weight").cast("double"))
+    full, open_weight = s.agg(F.sum(F.when(F.col("__full"), F.col("__cap").cast("double"))), F.sum(F.when(~F.col("__full"), F.col("weight").cast("double")))).collect()[0]
+    shared = F.lit(budget - (full or 0.0)) * F.col("weight").cast("double") / F.lit(open_weight or 1.0)
+    target = F.when(F.col("__full"), F.col("__cap").cast("double")).otherwise(shared)
     return s.select("source", "source_rank", F.col("source_size").cast("long").alias("source_size"), F.col("weight").cast("int").alias("weight"), target.alias("target"))
 
 
@@ -59,20 +60,19 @@ def finish(cum: Column, epoch: Column, source_size: Column, target: Column) -> C
 
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, share: float = 1.0, seed: int = 7, fills: int = 3,
-    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, per_bin: int = 4096,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, per_bin: int = 4096, tie_cols: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """docs with size, source_size, target and copies (int: how often the mix holds the row); columns of these names are replaced.
 
     Null texts have size 0; a null source is a source of its own; rows with the same id, size and text are alike and
-    may stand for each other. Rows without words are taken with those that stand before them and cost nothing. An empty
+    may stand for each other; rows without an id, or of one, are told apart by tie_cols (the text unless given). Rows without words are taken with those that stand before them and cost nothing. An empty
     table stays empty. No row gets more than max_epochs copies. The same rows give the same mix, however partitioned.
     Texts of any length are counted whole; one that is longer than its source's target is left out.
     """
     size = C.field(size_col).cast("long") if size_col else n_words(C.field(text_col))
-    tie = F.xxhash64(C.field(text_col)) if text_col in docs.columns else F.lit(0).cast("long")
+    ties = [C.field(c) for c in ((text_col,) if tie_cols is None else tie_cols) if c in docs.columns]
     rows = C.hold(docs).select(
-        "__row", C.field(source_col).alias("source"), F.coalesce(size, F.lit(0)).alias("size"), C.field(id_col).alias("__id"), tie.alias("__tie"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(C.field(id_col).cast("string"), F.lit("null")))).alias("__k"),
+        "__row", C.field(source_col).alias("source"), F.coalesce(size, F.lit(0)).alias("size"), C.field(id_col).alias("__id"), C.spread_key(f"{seed}:", C.field(id_col), ties).alias("__k"),
     )
     slim, n = C.counted(rows.drop("__row"), "mix-sizes")
     bin_of = F.substring("__k", 1, C.hex_digits(n, per_bin))
@@ -86,10 +86,10 @@ def mix(
 
     def place(r: DataFrame) -> DataFrame:
         """r with its place (source_rank, __bin, __rn) and the words of its source up to and with it."""
-        order = Window.partitionBy("source", "__bin").orderBy("__k", "__id", "size", "__tie")
+        order = Window.partitionBy("source", "__bin").orderBy("__k", "__id", "size")
         r = r.withColumn("__bin", bin_of).withColumn("__rn", F.row_number().over(order)).withColumn("__cum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         r = r.join(C.small(starts, n_starts), (F.col("__bin") == F.col("__at")) & F.col("source").eqNullSafe(F.col("__of")))
-        return r.withColumn("__cum", F.col("__cum") + F.col("__start")).drop("__k", "__id", "__tie", "__of", "__at", "__start")
+        return r.withColumn("__cum", F.col("__cum") + F.col("__start")).drop("__k", "__id", "__of", "__at", "__start")
 
     placed = C.durable(place(slim).drop("source"), "mix-places")
     last_time, last_rank = cut(placed, max_epochs, share)
@@ -128,7 +128,7 @@ def cut(rows: DataFrame, max_epochs: int, share: float) -> tuple[float, int]:
     """The (finish time, source rank) of the last copy that the budget pays for.
 
     Copies are dealt to ranges of finish time, whose sums (at most RANGES * LAST + 1 rows) show in which of them the budget
-    ends; only that range is ordered.
+    ends; that range is cut into RANGES again, by time, and once all times in it are one by source rank, until it holds a few copies, which are ordered.
     """
     slim = rows.select("size", "__cum", "source_rank", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("__epoch"))
     slim = slim.withColumn("__v", finish(F.col("__cum"), F.col("__epoch"), F.col("source_size"), F.col("target")))
@@ -137,22 +137,38 @@ def cut(rows: DataFrame, max_epochs: int, share: float) -> tuple[float, int]:
         .agg(F.sum("size").alias("size"), F.sum(F.when(F.col("__epoch") == 0, F.col("size")).otherwise(0)).alias("__once")),
         "mix-times",
     )
-    sums = slim.groupBy("__range").agg(F.sum("size").alias("__n"), F.sum("__once").alias("__once"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__range", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.floor(F.sum("__once").over(Window.partitionBy()).cast("double") * F.lit(share)).alias("__budget"))
-    ends = sums.filter((F.col("__before") <= F.col("__budget")) & (F.col("__before") + F.col("__n") > F.col("__budget"))).limit(1).collect()
-    if not ends:  # all copies fit
-        return float("inf"), 0
-    end = ends[0]
+    budget = float(int(float(slim.agg(F.coalesce(F.sum("__once"), F.lit(0))).collect()[0][0]) * share))
+    inside, before = slim.select("__v", "source_rank", "size", "__range"), 0
+    while True:
+        found = _range_of_end(inside, before, budget)
+        if found is None:  # all copies fit
+            return float("inf"), 0
+        inside, before = inside.filter(F.col("__range") == found["__range"]), found["__before"]
+        if found["__rows"] <= ORDERED or found["low"] == found["high"]:
+            break
+        by, low, high = ("__v", found["low"]["__v"], found["high"]["__v"]) if found["low"]["__v"] < found["high"]["__v"] else ("source_rank", found["low"]["source_rank"], found["high"]["source_rank"])
+        part = F.floor((F.col(by).cast("double") - low) / F.lit(float(high - low) / RANGES))
+        inside = inside.withColumn("__range", F.least(F.greatest(part, F.lit(0)), F.lit(RANGES)).cast("int"))
     running = F.sum("size").over(Window.orderBy("__v", "source_rank").rowsBetween(Window.unboundedPreceding, 0))
-    inside = slim.filter(F.col("__range") == end["__range"]).withColumn("__total", running + end["__before"])
-    last = inside.filter(F.col("__total") <= end["__budget"]).agg(F.max(F.struct("__v", "source_rank")).alias("m")).collect()[0]["m"]
+    latest = lambda df: df.agg(F.max(F.struct("__v", "source_rank")).alias("m")).collect()[0]["m"]
+    last = latest(inside.withColumn("__total", running + before).filter(F.col("__total") <= budget))
     if last is None:  # the range's first copy is too long already: the copy before it is the last
-        last = slim.filter(F.col("__range") < end["__range"]).agg(F.max(F.struct("__v", "source_rank")).alias("m")).collect()[0]["m"]
+        first = found["low"]
+        last = latest(slim.filter(F.struct("__v", "source_rank") < F.struct(F.lit(first["__v"]), F.lit(first["source_rank"]))))
     return (last["__v"], last["source_rank"]) if last else (-1.0, 0)
 
 
+def _range_of_end(rows: DataFrame, before: int, budget: float):
+    """The range of rows in which the running total, `before` at its start, goes beyond the budget: __range, __before, __rows, its least and largest (__v, source_rank)."""
+    at = F.struct("__v", "source_rank")
+    sums = rows.groupBy("__range").agg(F.sum("size").alias("__n"), F.count(F.lit(1)).alias("__rows"), F.min(at).alias("low"), F.max(at).alias("high"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES * LAST + 1 rows at most
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)) + before)
+    ends = sums.filter((F.col("__before") <= budget) & (F.col("__before") + F.col("__n") > budget)).limit(1).collect()
+    return ends[0] if ends else None
+
+
 def op7_weighted_mix(spark, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("size"))
-    mixed = mix(C.durable(docs, "mix-documents"), size_col="size")
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("size"), F.md5(C.text_or_empty("text")).alias("text_md5"))
+    mixed = mix(C.durable(docs, "mix-documents"), size_col="size", tie_cols=("text_md5",))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -66,7 +66,7 @@ FROM rows_ GROUP BY conv_id
 """
 
 OP7_QUEUES = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(md5(coalesce(text, '')))) AS k FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank FROM d GROUP BY source
 ), w AS (SELECT *, [5, 2, 1][(source_rank - 1) % 3 + 1] AS weight, 3 * source_size AS cap FROM s),
@@ -116,7 +116,7 @@ def op8_sql(n_shards: int = 16, seed: int = 8, walks: int = 12) -> str:
         return out
 
     sql = """WITH n AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, coalesce(text, '') AS text,
-  row_number() OVER (ORDER BY md5(coalesce(doc_id::VARCHAR, 'null')), doc_id) - 1 AS x, count(*) OVER () AS n FROM documents),
+  row_number() OVER (ORDER BY md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(md5(coalesce(text, '')))), doc_id) - 1 AS x, count(*) OVER () AS n FROM documents),
 root AS (SELECT DISTINCT n AS m, ceil(sqrt(n::DOUBLE))::BIGINT AS r FROM n),
 least AS (SELECT arg_min(a, (((m + a - 1) // a) * a - m, a)) AS a FROM (SELECT m, unnest(range(r, 2 * r + 1)) AS a FROM root)),
 side AS (SELECT n.*, a FROM n, least), w0 AS (SELECT *, (n + a - 1) // a AS b, false AS ok FROM side)"""

@@ -1,6 +1,6 @@
 """Sharding (op 8): a Feistel permutation with cycle walking over global row numbers.
 
-Every row gets a global row number by the md5 of its id, the permutation scatters the numbers, and
+Every row gets a global row number by the md5 of its id and ties, the permutation scatters the numbers, and
 shard = permuted mod shards, slot = permuted div shards. So shard sizes differ by one at most (law `rows`), slots are
 gapless from 0, and a row's place can be computed from its number alone. Columns and SQL functions only.
 
@@ -82,20 +82,19 @@ def permute(x: Column, n: Column, a: Column, b: Column, seed: int, outside: int)
 def shard(docs: DataFrame, n_shards: int = 16, seed: int = 8, id_col: str = "doc_id", tie_cols: tuple[str, ...] = ("text",), per_bin: int = 4096) -> DataFrame:
     """docs with row_number, shard (int) and slot (long); columns of these names are replaced.
 
-    A null id counts as a value of its own. Rows of one id are ordered by hashes of tie_cols (those that docs has);
+    A null id counts as a value of its own. Rows of one id are told apart, and spread, by tie_cols (those that docs has);
     rows that agree in these too are alike, and either order gives the same table. An empty table stays empty.
     The same rows give the same places, however they are partitioned.
     """
     n = docs.count()
     a, b, outside = sides(n)
     digits = C.hex_digits(n, per_bin)
-    key = F.md5(F.coalesce(C.field(id_col).cast("string"), F.lit("null")))
-    ties = [F.xxhash64(C.field(c)) for c in tie_cols if c in docs.columns]
+    key = C.spread_key("", C.field(id_col), [C.field(c) for c in tie_cols if c in docs.columns])
     rows = C.hold(docs).withColumn("__k", key).withColumn("__bin", F.substring("__k", 1, digits))
     bins = rows.groupBy("__bin").agg(F.count(F.lit(1)).alias("__n"))
     bins = C.running_before(bins, "__bin", "__n", "__start")
     starts = bins.select(F.col("__bin").alias("__of"), "__start")
-    order = Window.partitionBy("__bin").orderBy("__k", C.field(id_col), *ties)
+    order = Window.partitionBy("__bin").orderBy("__k", C.field(id_col))
     placed = rows.withColumn("__rn", F.row_number().over(order)).join(C.small(starts, 16**digits), F.col("__bin") == F.col("__of"))
     placed = placed.withColumn("__number", F.col("__start") + F.col("__rn") - 1)
     placed = placed.withColumn("__perm", permute(F.col("__number"), F.lit(n), F.lit(a), F.lit(b), seed, outside))
@@ -113,6 +112,7 @@ def op8_feistel_sharding(spark, sf_dir: str) -> DataFrame:
         "doc_id",
         (F.octet_length(C.text_or_empty("text")).cast("long") + 1).alias("size"),
         F.crc32(C.text_or_empty("text")).alias("text_crc32"),
+        F.md5(C.text_or_empty("text")).alias("text_md5"),
     )
-    placed = shard(docs, tie_cols=("text_crc32", "size"))
+    placed = shard(docs, tie_cols=("text_md5",))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -126,6 +126,55 @@ def test_walks_are_few_for_any_number_of_rows():
         assert a * b >= n and (n == 0 or a * b - n == outside) and outside <= 40
 
 
+def test_rows_without_an_id_are_spread(spark):
+    """A third of the rows have no id: their texts spread them over the bins that row numbers and queues are made in."""
+    from roostwright.llm import common
+
+    n = 30_000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    sizes = rows.groupBy(F.substring(common.spread_key("", F.col("doc_id"), [F.col("text")]), 1, 2)).count().toPandas()["count"]
+    assert len(sizes) == 256 and sizes.max() < 2 * sizes.median()
+
+
+def test_the_end_of_the_budget_is_found_by_cutting_again(spark, monkeypatch):
+    r = random.Random(4)
+    docs = docs_of(spark, [(i, "w " * r.choice((1, 1, 5, 9)), r.choice("abcdefg")) for i in range(900)] + [(None, "w w", "h")] * 40)
+    copies = lambda: sorted((str(x.doc_id), x.copies) for x in mixing.mix(docs, per_bin=64).collect())
+    want = copies()
+    monkeypatch.setattr(mixing, "ORDERED", 2)
+    monkeypatch.setattr(mixing, "RANGES", 3)
+    assert copies() == want
+
+
+def test_places_and_sums_in_order(spark):
+    from roostwright.llm import common
+
+    df = spark.createDataFrame([(i * 37 % 101, i % 7) for i in range(101)], "k int, v int").repartition(5)
+    got = common.in_order(df, [F.desc("k")], {"before": "v"}, "t").orderBy("__place").collect()
+    assert [(x["__place"], x.k) for x in got] == [(i + 1, 100 - i) for i in range(101)]
+    assert [x.before for x in got] == [sum(y.v for y in got[:i]) for i in range(101)] and common.in_order(df.limit(0), [F.col("k")], {"before": "v"}, "t").count() == 0
+
+
+def test_odd_tables_for_mix_shards_and_pipeline_stages(spark):
+    import corpus_pipeline as cp
+
+    long = "word " * 400_000
+    docs = spark.createDataFrame([(1, long, "s", "x"), (2, "", None, "x"), (2, "", None, "x"), (None, None, "s", "x"), (None, "a b c d e f", "s", None)], "doc_id long, text string, source string, `a.b` string")
+    assert sorted(x["size"] for x in mixing.mix(docs).collect()) == [0, 0, 0, 6, 400_000]
+    assert sharding.shard(docs, 2).count() == 5
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    folder = cp.common.shared_dir(spark) + "/odd-tables"
+    for name, table in (("labels", labels), ("benchmark", bench)):
+        table.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    for some in (docs, docs.limit(0)):
+        now = some
+        for name, stage in cp.STAGES:
+            now = cp.common.durable(stage(spark, now, folder), name)
+            assert now.columns[:4] == docs.columns
+        assert {x.doc_id for x in now.collect()} <= {1, 2, None} and (now.count() > 0) == (some is docs)
+
+
 DATA = Path("/root/testdata/sf0.001")
 
 
