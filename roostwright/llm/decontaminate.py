@@ -4,14 +4,16 @@ A window of as many words as a benchmark item is alike to it if the weighted sim
 weighing as often as it stands there: shared weight over joint weight) is 0.8 or more. Windows in which fewer than
 0.8 of the places hold shingles of items of their size can't be, and are passed over by one running count; the others get a
 256-bit SimHash. Fingerprints of items within RADIUS bits share a 16-bit block up to RADIUS / 16 = 4 bits, so looking a
-window's blocks and their neighbours up to 2 bits away up among the items' blocks and theirs misses none within the radius; what is
+window's blocks and their neighbours up to 4 bits away up among the items' blocks misses none within the radius; what is
 found is verified on the words themselves.
 
-One pass over the corpus, no shuffle; the benchmark goes along in blocks of bounded size.
+One pass over the corpus, no shuffle, one Python worker for each task slot: it takes some MB of text at a time and goes through the
+benchmark's blocks, which are of bounded size, one after another.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,10 +31,12 @@ from . import textnum as N
 U = np.uint64
 #: 256 bits; similarity 0.8 means an angle of 27 degrees, 39 bits on average with a deviation of 5.7, so 72 is nearly six of these above.
 BITS, BLOCK, RADIUS = 256, 16, 72
-#: Items and words in one block of the benchmark; each block is a pass over the corpus. An item takes 9 KB in the tables of a Python worker.
-BLOCK_ITEMS, BLOCK_WORDS = 8192, 1_000_000
-#: All changes of a 16-bit value by half of the bits that a block may differ in.
-FLIPS = np.array([sum(1 << b for b in c) for n in range(RADIUS // (BITS // BLOCK) // 2 + 1) for c in combinations(range(BLOCK), n)], np.uint16)
+#: Items and words in one block of the benchmark. A worker holds 8 bytes a word and 50 an item of all blocks, and about 30 a word and 150 an item more of the one it is at.
+BLOCK_ITEMS, BLOCK_WORDS = 131_072, 4_000_000
+#: Bytes of text that a worker takes through the blocks at once, where there are several.
+CHUNK = 32 << 20
+#: All changes of a 16-bit value by the bits that a block may differ in.
+FLIPS = np.array([sum(1 << b for b in c) for n in range(RADIUS // (BITS // BLOCK) + 1) for c in combinations(range(BLOCK), n)], np.uint16)
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -99,18 +103,18 @@ class Index:
         return out
 
     def near(self) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, items): 65,537 starts into items for each block, by 16-bit value; the values are the items' own and those that FLIPS makes of them."""
+        """(starts, items): 65,537 starts into items for each block, by the items' 16-bit values."""
         if not self._near:
             starts, parts = [], []
             for j in range(BITS // BLOCK):
-                values = (self.prints[:, j, None] ^ FLIPS[None]).ravel()
-                parts.append(np.repeat(np.arange(len(self.ids), dtype=np.int32), len(FLIPS))[np.argsort(values, kind="stable")])
+                values = self.prints[:, j]
+                parts.append(np.argsort(values, kind="stable").astype(np.int32))
                 starts.append(np.append(0, np.cumsum(np.bincount(values, minlength=65536))) + j * len(values))
             self._near += [np.concatenate(starts), np.concatenate(parts)]
         return tuple(self._near)
 
     def search(self, window: np.ndarray) -> np.ndarray:
-        """The items whose fingerprints are within RADIUS bits of a window's. Blocks at most RADIUS // 16 bits apart meet halfway."""
+        """The items whose fingerprints are within RADIUS bits of a window's: one of their blocks is RADIUS // 16 bits apart at most."""
         at, items = self.near()
         values = ((window[:, None] ^ FLIPS[None]).astype(np.int64) + 65537 * np.arange(BITS // BLOCK)[:, None]).ravel()
         first, n = at[values], at[values + 1] - at[values]
@@ -146,6 +150,38 @@ LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Struc
 LEAK_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())]))
 
 
+class Search:
+    """One block's index with the tables that find its shingles in texts."""
+
+    def __init__(self, index: Index) -> None:
+        self.index, self.known = index, index.by_length()
+        self.tables = {k: np.zeros(1 << 20, bool) for k in self.known}
+        for k, (s, _, _) in self.known.items():
+            self.tables[k][(s & U(0xFFFFF)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray, first: np.ndarray, least: float) -> dict[int, list[dict]]:
+        """The leaks of each text that has any; h holds the texts' word hashes, first where each begins and where the last ends."""
+        hits, docs = {}, np.zeros(0, np.int64)
+        for k, (s, _, _) in self.known.items():
+            g = N.mix(N.gram_hashes(h, k) + U(k))
+            maybe = np.flatnonzero(self.tables[k][(g & U(0xFFFFF)).astype(np.int64)])
+            at = np.searchsorted(s, g[maybe]).clip(0, len(s) - 1)
+            true = s[at] == g[maybe]
+            hits[k] = (maybe[true], at[true])
+            docs = np.append(docs, np.searchsorted(first, hits[k][0], "right") - 1)
+        out = {}
+        for d in np.unique(docs).tolist():
+            a, b = int(first[d]), int(first[d + 1])
+            mine = {}
+            for k, (place, which) in hits.items():
+                x, y = np.searchsorted(place, [a, max(a, b - k + 1)])
+                if y > x:
+                    mine[k] = (place[x:y] - a, which[x:y])
+            if found := self.index.leaks(h[a:b], mine, self.known, least):
+                out[d] = found
+        return out
+
+
 def benchmark_blocks(benchmark: DataFrame, k: int) -> Iterator[Index]:
     """The benchmark's items, dealt by id and text to as many blocks as their counted number and words ask for."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null")
@@ -163,44 +199,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float =
     than an item is one window. Items of fewer than k words are one shingle; null and empty items are found nowhere, null and empty
     documents hold nothing; an empty benchmark finds nothing. Items with the same id, or none, are searched each for itself.
     """
-    names = [c for c in (docs.columns if carry is None else carry) if c != "leaks"]
-    schema = C.nullable(docs.select(*names).schema).add("__text", "string").add("leaks", LEAK)
-    out = docs.select(*names, F.col(text_col).alias("__text"), F.array().cast(LEAK).alias("leaks"))
-    for index in benchmark_blocks(benchmark, k):
-        if index.ids:
-            out = out.mapInArrow(_pass(index, least, len(names)), schema)
-    return out.drop("__text")
+    sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(pickle.dumps(i)) for i in benchmark_blocks(benchmark, k) if i.ids]
+    held = C.hold(docs, None if carry is None else list(carry), F.col(f"`{text_col}`").alias("__text"))
+    if not blocks:
+        return C.unhold(held, ("leaks",), F.array().cast(LEAK).alias("leaks"))
+    schema = C.nullable(held.select("__row").schema).add("__leaks", LEAK)
+    return C.unhold(held.mapInArrow(_pass(blocks, least), schema), ("leaks",), F.col("__leaks").alias("leaks"))
 
 
-def _pass(index: Index, least: float, width: int):
+def _pass(blocks: list, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = index.by_length()
-        tables = {k: np.zeros(1 << 20, bool) for k in known}
-        for k, (s, _, _) in known.items():
-            tables[k][(s & U(0xFFFFF)).astype(np.int64)] = True
+        opened = [Search(pickle.loads(blocks[0].value))] if len(blocks) == 1 else None
+
+        def through(part: list) -> Iterator[pa.RecordBatch]:
+            found: list[dict[int, list[dict]]] = [{} for _ in part]
+            for search in opened or (Search(pickle.loads(b.value)) for b in blocks):
+                for mine, (_, h, first) in zip(found, part, strict=True):
+                    for d, leaks in search.find(h, first, least).items():
+                        mine.setdefault(d, []).extend(leaks)
+            for mine, (rows, _, first) in zip(found, part, strict=True):
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([mine.get(d, []) for d in range(len(first) - 1)], LEAK_ARROW)], ["__row", "__leaks"])
+
+        part, size = [], 0
         for rows, data, off in N.slices(batches, "__text"):
             w = N.words(N.LOWER[data], off)
-            hits, docs = {}, np.zeros(0, np.int64)
-            for k, (s, _, _) in known.items():
-                g = N.mix(N.gram_hashes(w.hash, k) + U(k))
-                maybe = np.flatnonzero(tables[k][(g & U(0xFFFFF)).astype(np.int64)])
-                at = np.searchsorted(s, g[maybe]).clip(0, len(s) - 1)
-                true = s[at] == g[maybe]
-                hits[k] = (maybe[true], at[true])
-                docs = np.append(docs, np.searchsorted(w.first, hits[k][0], "right") - 1)
-            found = rows.column(width + 1)
-            if len(docs):
-                lists = found.to_pylist()
-                for d in np.unique(docs).tolist():
-                    a, b = int(w.first[d]), int(w.first[d + 1])
-                    mine = {}
-                    for k, (place, which) in hits.items():
-                        x, y = np.searchsorted(place, [a, max(a, b - k + 1)])
-                        if y > x:
-                            mine[k] = (place[x:y] - a, which[x:y])
-                    lists[d] = (lists[d] or []) + index.leaks(w.hash[a:b], mine, known, least)
-                found = pa.array(lists, LEAK_ARROW)
-            yield pa.RecordBatch.from_arrays([*rows.columns[: width + 1], found], [*rows.schema.names[: width + 1], "leaks"])
+            part, size = [*part, (rows, w.hash, w.first)], size + len(data)
+            if opened or size >= CHUNK:
+                yield from through(part)
+                part, size = [], 0
+        yield from through(part)
 
     return run
 
