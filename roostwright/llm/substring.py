@@ -5,8 +5,8 @@ consecutive windows of one minimizer form a segment. Equal windows have equal mi
 inside one shard, and each word is searched a bounded number of times however large the corpus is. Segments whose minimizer occurs once in
 the corpus (in no other segment, and once in this) hold no repeat and are neither indexed nor searched; equal segments are counted and indexed once.
 Minimizers that would be too frequent (common lines) are put last in the order, so that their windows go by another run of words. Windows whose
-minimizer has more than HOT segments all the same (one phrase repeated, templates) are dealt and counted one by one, each by its own words, so no
-shard's size grows with the corpus.
+minimizer has more than HOT segments all the same (one phrase repeated, templates) are dealt and counted one by one, each by a digest of its own words
+(16 bytes of BLAKE2b, taken for the words), so no shard's size grows with the corpus, nor do such windows take 35 times their text.
 """
 
 from __future__ import annotations
@@ -114,6 +114,11 @@ def shard_repeats(width: int):
     return run
 
 
+def _digest(window: bytes) -> bytes:
+    """What stands for a window that is dealt by itself: 16 bytes in place of its words, about 200."""
+    return hashlib.blake2b(window, digest_size=16).digest()
+
+
 def repeated_spans(docs: DataFrame, width: int, per_shard: int = 15_000) -> DataFrame:
     """doc_id, th, spans (word ranges, end exclusive) of docs (doc_id, th, text): what repeated windows cover; documents without any are left out."""
     hot = np.zeros(0, np.uint64)
@@ -154,7 +159,7 @@ def repeated_spans(docs: DataFrame, width: int, per_shard: int = 15_000) -> Data
             x, y, raw = at[a].tolist(), (at[a + size + width - 1] - 1).tolist(), flat.tobytes()
             place = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(place), rows.column(1).take(place), pa.array(start.astype(np.int32)), pa.array(key), pa.array([raw[i:j] for i, j in zip(x, y, strict=True)], pa.binary()), pa.array(single)],
+                [rows.column(0).take(place), rows.column(1).take(place), pa.array(start.astype(np.int32)), pa.array(key), pa.array([_digest(raw[i:j]) if one else raw[i:j] for i, j, one in zip(x, y, single.tolist(), strict=True)], pa.binary()), pa.array(single)],
                 ["doc_id", "th", "start", "key", "seg", "single"],
             )
 
@@ -185,21 +190,22 @@ def dedup_substrings(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
     """
     if width < RUN:
         raise ValueError(f"a window needs {RUN} words at least")
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(C.text_or_empty(text_col)).alias("th"), C.text_or_empty(text_col).alias("text"))
+    text = C.text_or_empty(F.col(f"`{text_col}`"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     spans = repeated_spans(slim, width).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "spans")
     new = ("n_words", "n_removed", "kept_text", "removed_spans")
     names = [c for c in (docs.columns if carry is None else carry) if c not in new]
     held = C.hold(docs).withColumn("__text", C.text_or_empty(C.field(text_col))).withColumn("__h", F.xxhash64("__text")).withColumn("__doc", C.field(id_col))
-    held = held.select(*[C.field(c).alias(c) for c in names], F.col("__doc"), F.col("__h"), F.col("__text"))
+    held = held.select(F.struct(*[C.field(c).alias(c) for c in names]).alias("__kept"), "__doc", "__h", "__text")
     joined = held.join(spans, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
-    joined = joined.select(*[f"`{c}`" for c in names], "__text", "spans")
-    schema = C.nullable(joined.drop("__text", "spans").schema).add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("removed_spans", T.ArrayType(T.StructType().add("a", "integer").add("b", "integer")))
+    joined = joined.select(F.col("__kept").alias("__row"), "__text", "spans")
+    schema = C.nullable(joined.select("__row").schema).add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("removed_spans", T.ArrayType(T.StructType().add("a", "integer").add("b", "integer")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in N.slices(batches, "__text"):
             w = N.words(data, off)
             flat, at = N.spaced(w, data)
-            spans = rows.column(len(names) + 1)
+            spans = rows.column(2)
             s = spans.flatten()
             head = np.repeat(w.first[:-1], pc.fill_null(pc.list_value_length(spans), 0).to_numpy())
             cover = np.zeros(len(w.start) + 1, np.int64)
@@ -225,11 +231,11 @@ def dedup_substrings(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
             offsets = np.concatenate([[0], np.cumsum(stays)])[at[first]].astype(np.int32)
             text = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(flat[stays])])
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns[: len(names)], pa.array(np.diff(first)), pa.array(np.diff(sums[first])), text, pa.ListArray.from_arrays(ranges.offsets, pairs)],
-                [*names, *new],
+                [rows.column(0), pa.array(np.diff(first)), pa.array(np.diff(sums[first])), text, pa.ListArray.from_arrays(ranges.offsets, pairs)],
+                ["__row", *new],
             )
 
-    return joined.mapInArrow(run, schema)
+    return C.unhold(joined.mapInArrow(run, schema), new, *new)
 
 
 def op2_fm_substring_dedup(spark, sf_dir: str) -> DataFrame:
