@@ -120,20 +120,21 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, batch:
     return net
 
 
-def train(docs: DataFrame, per_lang: int = 500, per_text: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Net | None:
+def train(docs: DataFrame, per_lang: int = 500, per_text: int = 3, most_texts: int = 50_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Net | None:
     """Learns every language that labels a text, from at most per_lang different (id, text) of each, by hash, per_text windows each,
-    spread over the text. None if there is no labelled text.
+    spread over the text; where that would be more than most_texts in all, the languages share these alike, and each keeps one at least. None if there is no labelled text.
 
-    About 1.2 times as many are drawn by a share of the hashes, from a count of the different ones; each language is then cut for
+    About 1.2 times as many, and 20 more, are drawn by a share of the hashes, from a count of the different ones; each language is then cut for
     itself, so none uses up the place of another, and repeated rows or a shared id leave none without examples.
     """
-    known = docs.filter(F.col(lang_col).isNotNull() & (F.length(C.text_or_empty(text_col)) > 0))
-    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
+    id_, text, lang = (F.col(f"`{c}`") for c in (id_col, text_col, lang_col))
+    known = docs.filter(lang.isNotNull() & (F.length(C.text_or_empty(text)) > 0)).select(lang.alias("lang"), text.alias("text"), F.xxhash64(id_.cast("string"), text).alias("h"))
     tally = C.durable(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "langs")
     langs = sorted(r[0] for r in tally.select("lang").collect())
     if not langs:
         return None
-    share = tally.select("lang", (F.lit(1.2e6 * per_lang) / F.col("n") + 1).cast("long").alias("share"))
+    per_lang = max(1, min(per_lang, most_texts // len(langs)))
+    share = tally.select("lang", (F.lit(1.2e6 * per_lang + 2e7) / F.col("n") + 1).cast("long").alias("share"))
     picked = known.join(C.small(share, len(langs)), "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("share"))
     picked = picked.groupBy("lang", "h").agg(F.first("text").alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000)), "h"))
@@ -159,11 +160,12 @@ def predict(docs: DataFrame, net: Net | None, text_col: str = "text", carry: tup
 
     Null texts and those without a letter are `und` with score 0, as is all if there is no network. Only the text is looked at.
     """
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    names = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
+    text = F.col(f"`{text_col}`")
+    new = ("lang_pred", "score")
+    held = C.hold(docs, None if carry is None else list(carry), text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
     if net is None:
-        return docs.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    schema = C.nullable(docs.select(*names).schema).add("lang_pred", "string").add("score", "double")
+        return C.unhold(held, new, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = C.nullable(held.select("__row").schema).add("__lang", "string").add("__score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
@@ -178,11 +180,11 @@ def predict(docs: DataFrame, net: Net | None, text_col: str = "text", carry: tup
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)
-            flag = np.asarray(rows.column(len(names) + 1).to_numpy(zero_copy_only=False), bool)
+            flag = np.asarray(rows.column(2).to_numpy(zero_copy_only=False), bool)
             lang = pa.array([net.langs[b] if f else "und" for b, f in zip(best, flag, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], lang, pa.array(np.where(flag, p[np.arange(n), best], 0.0))], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), lang, pa.array(np.where(flag, p[np.arange(n), best], 0.0))], ["__row", "__lang", "__score"])
 
-    return docs.select(*names, F.col(text_col).alias("__text"), letter.alias("__letter")).mapInArrow(run, schema)
+    return C.unhold(held.mapInArrow(run, schema), new, F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def op5_byte_cnn_language(spark, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, id_col: str = "doc_id",
     come first. Should two different chunks ever share a digest, neither goes. An empty table stays empty. Other columns are left to the caller to join.
     """
     text = C.text_or_empty(text_col)
-    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     cut = slim.select("id", "th", cut_lines(F.col("text"), divisor).alias("chunks"))
     multi = cut.select("id", "th", F.posexplode("chunks").alias("nth", "lines")).filter(F.size("lines") > 1)
     multi = multi.select("id", "th", "nth", F.array_join("lines", "\n").alias("chunk")).withColumn("digest", F.unhex(F.sha2("chunk", 256)))

@@ -258,7 +258,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     texts shorter than k words are one shingle. Ids should be unique longs: rows alike in id and text get the same
     values, a null id is in a component with equal sets only. An empty table stays empty.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(C.text_or_empty(text_col)).alias("th"), C.text_or_empty(text_col).alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(C.text_or_empty(text_col)).alias("th"), C.text_or_empty(text_col).alias("text"))
     g = group(slim, k, percent).dropDuplicates(["doc_id", "th"])
     g = g.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "n_shingles", "component_id")
     held = C.hold(docs).withColumn("__h", F.xxhash64(C.text_or_empty(C.field(text_col)))).withColumn("__doc", C.field(id_col))

@@ -118,11 +118,12 @@ def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate:
 
 def sampled_runs(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, id_col: str, text_col: str) -> DataFrame:
     """toxic, runs, times: the runs of each distinct text of the sample, written once. Only the drawn ids' texts leave the scan."""
-    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct()
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    ids = docs.select(id_.alias("id")).filter("id is not null").distinct()
     toxic = labels.filter("toxic = 1").select(F.col(id_col).alias("id")).distinct()
     draw = lambda of, most: of.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(most)
     drawn = draw(ids.join(toxic, "id", "left_semi"), most_positive).withColumn("toxic", F.lit(True)).unionByName(draw(ids, most_unlabelled).withColumn("toxic", F.lit(False)))
-    rows = docs.select(F.col(id_col).alias("id"), C.text_or_empty(text_col).alias("text"))
+    rows = docs.select(id_.alias("id"), C.text_or_empty(text).alias("text"))
     rows = rows.join(F.broadcast(drawn), "id").select("toxic", "text").distinct()  # most_positive + most_unlabelled ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,16 +190,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
     Whole texts are read; a null one counts as empty, and empty texts get the score of a text without any feature.
     """
-    names = [c for c in (docs.columns if carry is None else carry) if c != out]
-    schema = C.nullable(docs.select(*names).schema).add(out, "double")
+    held = C.hold(docs, None if carry is None else list(carry), F.col(f"`{text_col}`").alias("__text"))
+    schema = C.nullable(held.select("__row").schema).add("__score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for rows, data, off in N.slices(batches, "__text"):
             s = pa.array(model.score(data, off, table))
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], s], [*names, out])
+            yield pa.RecordBatch.from_arrays([rows.column(0), s], ["__row", "__score"])
 
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return C.unhold(held.mapInArrow(run, schema), (out,), F.col("__score").alias(out))
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:

@@ -181,3 +181,101 @@ def test_words_are_cut_at_ascii_white_space(text):
     want = text.encode().split()
     got = [data[a:b].tobytes() for a, b in zip(w.start, w.end, strict=True)]
     assert got == want + want and np.array_equal(w.hash[: len(want)], w.hash[len(want) :])
+
+
+def test_one_worker_goes_through_all_blocks_of_the_benchmark(spark, monkeypatch):
+    """50 blocks: one Python node in the plan, texts taken through them a few at a time, and the same leaks as with one block."""
+    r = random.Random(7)
+    items = [words(r, "abcdefgh", r.randint(3, 30)) for _ in range(120)]
+    docs = spark.createDataFrame([(i, f"{words(r, 'abcdefgh', 30)} {items[i % 120]} {items[(7 * i + 1) % 120]}", "en", "s", 0) for i in range(200)], SCHEMA).repartition(2)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    leaks = lambda df: sorted((x.doc_id, y.item_id, y.start, y.n_words, y.similarity) for x in df.collect() for y in x.leaks)
+    want = leaks(decontaminate.find_leaks(docs, bench))
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
+    monkeypatch.setattr(decontaminate, "CHUNK", 9_000)
+    assert len(list(decontaminate.benchmark_blocks(bench, 5))) == 50
+    many = decontaminate.find_leaks(docs, bench)
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert leaks(many) == want and len({x[1] for x in want}) == 120
+
+
+def plain_language(net, text):
+    """(language, score) of one text by plain loops over windows, filters and bytes."""
+    import math
+
+    data, size = text.encode(), language.WINDOW
+    cuts = [data[i : i + size] for i in range(0, len(data), size)]
+    total = [0.0] * len(net.langs)
+    for cut in cuts:
+        x, f = cut + bytes(size - len(cut)), []
+        for w, k in zip(language.WIDTHS, net.kernels, strict=True):
+            for c in range(language.FILTERS):
+                f.append(max(0.0, max(sum(float(net.embed[x[p + j], e]) * float(k[j * language.EMBED + e, c]) for j in range(w) for e in range(language.EMBED)) for p in range(size - w + 1))))
+        z = [float(net.out[0, i]) + sum(v * float(net.out[1 + n, i]) for n, v in enumerate(f)) for i in range(len(net.langs))]
+        norm = math.log(sum(math.exp(v) for v in z))
+        total = [t + (v - norm) * len(cut) for t, v in zip(total, z, strict=True)]
+    z = [t / len(data) * min(4, max(1, len(data) / size)) for t in total]
+    p = [math.exp(v - max(z)) for v in z]
+    return max(range(len(p)), key=lambda i: p[i]), max(p) / sum(p)
+
+
+def test_languages_are_scored_as_plain_loops_score_them(spark):
+    r = np.random.default_rng(4)
+    f32 = np.float32
+    net = language.Net(["a", "b", "c"], r.normal(0, 0.5, (256, language.EMBED)).astype(f32), [r.normal(0, 0.4, (w * language.EMBED, language.FILTERS)).astype(f32) for w in language.WIDTHS], r.normal(0, 0.3, (1 + language.FILTERS * 3, 3)).astype(f32))
+    texts = ["a", "żółw", words(random.Random(1), "aeioun", 60), words(random.Random(2), "xyzß", 100)]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    for row in language.predict(docs, net).collect():
+        lang, score = plain_language(net, row.text)
+        assert row.lang_pred == net.langs[lang] and abs(row.score - score) < 1e-4
+
+
+def test_toxicity_is_scored_as_a_plain_loop_scores_it(spark):
+    import math
+
+    run = lambda s: int.from_bytes(s.encode(), "big")
+    weights = {run("snark"): 1.5, run("narkl"): -0.5, run(" bad "): 2.0, run("idiot"): 1.0}
+    model = toxicity.Model(np.array(sorted(weights)), np.array([weights[k] for k in sorted(weights)]), -1.0)
+    texts = ["Snarkle snarkle, SNARK", "bad", "a bad, bad? bad!", "", None, "é idiot9idiot\nbad", "nothing here", "idio t"]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    for row in toxicity.score(docs, model).collect():
+        flat = bytes(c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in (row.text or "").encode())
+        flat = b" " + flat + b" "
+        times = Counter(int.from_bytes(flat[i : i + 5], "big") for i in range(len(flat) - 4))
+        z = -1.0 + sum(w * math.log1p(times[k]) for k, w in weights.items())
+        assert abs(row.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_columns_may_have_any_names(spark):
+    rows, docs = corpus(spark, 60)
+    odd = docs.withColumnsRenamed({"source": "a.b", "n_chars": "__text"}).withColumns({"__letter": F.lit(1), "__row": F.lit(2)})
+    net = language.train(docs, per_lang=10)
+    model = toxicity.Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
+    bench = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    for out, new in ((language.predict(odd, net), ["lang_pred", "score"]), (language.predict(odd, None), ["lang_pred", "score"]), (toxicity.score(odd, model), ["score"]), (decontaminate.find_leaks(odd, bench), ["leaks"]), (decontaminate.find_leaks(odd, bench.limit(0)), ["leaks"])):
+        assert out.columns == [*odd.columns, *new] and {x["a.b"] for x in out.collect()} == {"s"}
+
+
+def test_languages_share_a_bounded_sample(spark):
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, words(r, "abcdef", 20), f"l{i % 30}", "s", 0) for i in range(600)], SCHEMA)
+    seen = []
+    real = language.fit
+    try:
+        language.fit = lambda x, y, langs: seen.append(Counter(Counter(y.tolist()).values())) or real(x, y, langs, epochs=1)
+        assert len(language.train(docs, per_text=1, most_texts=60).langs) == 30 and len(language.train(docs, per_text=1, most_texts=5).langs) == 30
+    finally:
+        language.fit = real
+    assert seen == [{2: 30}, {1: 30}]
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    r = random.Random(11)
+    item = words(r, "abcdefgh", 30)
+    long = f"{words(r, 'ijklmnop', 150_000)} {item} {words(r, 'ijklmnop', 150_000)}"
+    docs = spark.createDataFrame([(1, long, "en", "s", 0), (2, item, "en", "s", 0), (2, item, "en", "s", 0), (None, "x", "en", "s", 0)], SCHEMA)
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    got = sorted((str(x.doc_id), y.start, round(y.similarity, 6)) for x in decontaminate.find_leaks(docs, bench).collect() for y in x.leaks)
+    assert got == [("1", 150_000, 1.0), ("2", 0, 1.0), ("2", 0, 1.0)]
+    model = toxicity.Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
+    assert toxicity.score(docs, model).count() == 4
