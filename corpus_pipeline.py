@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from roostwright.llm import common, decontaminate, minhash, mixing, sharding, toxicity
 
 
+def _names(docs: DataFrame) -> list[str]:
+    """The columns of docs, quoted: a name may hold a dot."""
+    return [f"`{c}`" for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.7 stay."""
     model = toxicity.fitted(spark, docs, common.table(spark, sf_dir, "labels"))
@@ -19,24 +24,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document with the least id stays."""
-    return minhash.near_dedup(docs, k=5, percent=80).filter("kept").select(*docs.columns)
+    return minhash.near_dedup(docs, k=5, percent=80).filter("kept").select(*_names(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = decontaminate.find_leaks(docs, common.table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+    return found.filter(F.size("leaks") == 0).select(*_names(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     mixed = mixing.mix(docs)
     copies = mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return copies.select(*docs.columns)
+    return copies.select(*_names(docs))
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs).select(*docs.columns, "shard", "slot")
+    return sharding.shard(docs).select(*_names(docs), "shard", "slot")
 
 
 STAGES = [
