@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import furnished_from_category, merge_feature
+from ..session import written
 
 
 def first_wins(df: DataFrame, key: str, order: list[str], keep_all: Column | None = None) -> DataFrame:
@@ -80,11 +81,17 @@ def policy_dim(spark) -> DataFrame:
     return spark.createDataFrame(POLICIES, "source string, amenities string, card_amenities boolean, card_bedrooms boolean, guard boolean")
 
 
-def enrich(cards: DataFrame, details: DataFrame, policies: DataFrame, key: str = "url") -> DataFrame:
+def first_details(details: DataFrame, key: str = "url", ordinal: str | None = None) -> DataFrame:
+    """One `detail` for each key: the first by ordinal, and of those with one ordinal (or without any) the least; the same however the rows are dealt out."""
+    order = F.struct(*([ordinal] if ordinal else []), "detail")
+    return details.groupBy(key).agg(F.min_by("detail", order).alias("detail"))
+
+
+def enrich(cards: DataFrame, details: DataFrame, policies: DataFrame, key: str = "url", ordinal: str | None = None) -> DataFrame:
     """cards (with source, rooms, bedrooms, bathrooms and a struct `card` of features) with elevator, balcony, furnished, bathrooms, bedrooms
-    merged with the struct `detail` of details by the source's policy. A key's first detail counts; sources without a policy fail.
+    merged with the struct `detail` of details by the source's policy. A key's first detail by ordinal counts; sources without a policy fail.
     """
-    one = details.groupBy(key).agg(F.first("detail").alias("detail"))
+    one = first_details(details, key, ordinal)
     j = cards.join(F.broadcast(policies), "source", "left").join(one, key, "left")
     rule = F.when(F.col("amenities").isNull(), F.raise_error(F.concat(F.lit("no policy for source "), "source")).cast("string")).otherwise(F.col("amenities"))
     j = j.withColumn("amenities", rule)
@@ -111,8 +118,18 @@ def latest_rows(sheet: DataFrame, key: str = "url", row: str = "row_index") -> D
     return sheet.filter(F.coalesce(key, F.lit("")) != "").withColumn("__rn", rn).filter("__rn = 1").drop("__rn")
 
 
+def keyed_state(sheet: DataFrame, key: str = "url", row: str = "row_index") -> DataFrame:
+    """A sheet's state: one row for each non-empty key, with the values of its last row at the place (`row`) of its first. An aggregate, so a key's rows are combined before they are shuffled."""
+    rest = [c for c in sheet.columns if c not in (key, row)]
+    one = sheet.filter(F.coalesce(key, F.lit("")) != "").groupBy(key).agg(F.max_by(F.struct(*rest), row).alias("__last"), F.min(row).alias(row))
+    return one.select(*[key if c == key else row if c == row else F.col("__last").getField(c).alias(c) for c in sheet.columns])
+
+
 def carry_forward(existing: DataFrame, fresh: DataFrame, key: str = "url") -> DataFrame:
-    """Fresh rows with the star that their key had, and starred rows that are gone marked as no longer listed; the others are dropped."""
+    """Fresh rows with the star that their key had, and starred rows that are gone marked as no longer listed; the others are dropped.
+
+    existing has one row a key (keyed_state); fresh keys may repeat, and each row keeps the star.
+    """
     stars = existing.filter(F.coalesce("starred", F.lit("")) != "")
     active = fresh.join(existing.select(key, "starred"), key, "left").withColumns({"starred": F.coalesce("starred", F.lit("")), "status": F.lit("Active")})
     gone = stars.join(fresh.select(key), key, "left_anti").withColumn("status", F.lit("No Longer Listed"))
@@ -139,6 +156,38 @@ def soft_cap(df: DataFrame, cap: int, page: str, within: list[str]) -> DataFrame
     return df.join(keep, [*within, page], "left_semi")
 
 
+def visited_pages(rows: DataFrame, run: list[str], location: str, page: str, pos: list[str], key: str, cap: int | None = None) -> DataFrame:
+    """The rows that paging through the locations of a run, one after another, would have taken: each key once, where it is first met.
+
+    A location ends at its first page without new rows, at a page number that is missing, or once the run has `cap` rows, which is asked after each page; its
+    first page is always seen. Keys are shared by all locations of the run, so a page's new rows depend on which pages were seen before: every round takes
+    the pages seen by the last one, and is right for one location more, until nothing changes. A null key is a key.
+    """
+    where = [*run, location]
+    first = rows.groupBy(*where, key).agg(F.min_by(F.struct(*rows.columns), F.struct(page, *pos)).alias("__row"))
+    first, _ = written(first.select(*where, key, "__row", F.col(f"__row.{page}").alias(page)), "paging-rows")
+    pages, _ = written(rows.groupBy(*where, page).agg(F.lit(True).alias("__seen")), "paging-pages")
+    in_location = Window.partitionBy(*where).orderBy(page)
+    before = in_location.rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        met = F.coalesce(F.max("__seen").over(Window.partitionBy(*run, key).orderBy(location).rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+        fresh = first.join(pages, [*where, page]).withColumn("__new", ~met)
+        new = fresh.filter("__new").groupBy(*where, page).agg(F.count(F.lit(1)).alias("__n"))
+        p = pages.join(new, [*where, page], "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+        totals = p.groupBy(*where).agg(F.sum(F.when(F.col("__seen"), F.col("__n")).otherwise(0)).alias("__total"))
+        earlier = Window.partitionBy(*run).orderBy(location).rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select(*where, F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__before"))
+        gap = F.col(page) - F.first(page).over(in_location) != F.row_number().over(in_location) - 1
+        p = p.join(totals, where).withColumn("__gap", gap).withColumn("__end", F.col("__gap") | (F.col("__n") == 0))
+        ended = F.coalesce(F.max("__end").over(before), F.lit(False)) | F.col("__gap")
+        full = F.lit(False) if cap is None else (F.row_number().over(in_location) > 1) & (F.col("__before") + F.coalesce(F.sum("__n").over(before), F.lit(0)) >= cap)
+        changed = F.count_if(F.col("__seen") != F.col("__next"))
+        after, seen = written(p.withColumn("__next", ~ended & ~full).select(*where, page, "__seen", "__next"), "paging-pages", changed=changed)
+        pages = after.select(*where, page, F.col("__next").alias("__seen"))
+        if not seen["changed"]:
+            return fresh.filter("__seen and __new").select("__row.*")
+
+
 def first_pages(df: DataFrame, page: str, pos: str, key: str = "url") -> DataFrame:
     """Dedup within a source over its pages."""
     return first_wins(df, key, [page, pos])
@@ -151,6 +200,20 @@ def location_outcomes(df: DataFrame, location: str, n_rows: str, error: str) ->
     return g.withColumn("outcome", F.when(F.col("errors") == F.col("attempts"), "failed").when(F.col("rows") == 0, "empty").otherwise("ok"))
 
 
+def triage(df: DataFrame, run: list[str], order: list[str], label: str, n_rows: str, error: str) -> DataFrame:
+    """One row a run of its locations (a row each): rows of those that worked, how many of them found nothing, and the failed ones as "label (error)" in the order of the input.
+
+    The list holds failed locations only; a run has a few dozen.
+    """
+    bad = F.coalesce(error, F.lit("")) != ""
+    said = F.concat(F.coalesce(F.col(label).cast("string"), F.lit("")), F.lit(" ("), F.col(error), F.lit(")"))
+    failed = F.sort_array(F.collect_list(F.when(bad, F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], said.alias("said")))))
+    return df.groupBy(*run).agg(
+        F.count(F.lit(1)).alias("n_locations"), F.coalesce(F.sum(F.when(~bad, F.col(n_rows))), F.lit(0)).cast("long").alias("n_rows"),
+        F.count_if(~bad & (F.coalesce(n_rows, F.lit(0)) == 0)).alias("zero_result_count"), F.transform(failed, lambda x: x["said"]).alias("failed"),
+    )
+
+
 def last_stated(df: DataFrame, within: list[str], stated: str, page: str) -> DataFrame:
     """The stated count of the last page that has one."""
     return df.groupBy(*within).agg(F.max_by(stated, F.when(F.col(stated).isNotNull(), F.col(page))).alias("stated"))
@@ -187,9 +250,3 @@ def distinct_hrefs(df: DataFrame, href: str = "href") -> DataFrame:
 def first_n(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
-
-def has_details(df: DataFrame) -> bool:
-    """Whether any row says anything of the amenities; what a data-dependent layout asks before it is planned."""
-    if "elevator" not in df.columns:
-        return False
-    return bool(df.agg(F.bool_or(F.col("elevator").isNotNull())).collect()[0][0])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 SHEET = ["Starred", "Status", "Source", "Price (€)", "Bedrooms", "Bathrooms", "m²", "Area", "Address", "Elevator", "Furnished", "Balcony", "URL"]
 
 
@@ -48,22 +50,29 @@ def column_letter(width: int) -> str:
 
 
 def workbook_rows(df: DataFrame, details: bool | None = None, unknown: str = "Not mentioned") -> DataFrame:
-    """The workbook's columns; amenities only if the data has them (details None: if the columns are there). Older workbooks leave unknown amenities blank."""
-    details = "elevator" in df.columns if details is None else details
+    """The workbook's columns; amenities only if the data has them (details None: one pass asks it; write_workbook does without). Older workbooks leave unknown amenities blank."""
+    details = has_details(df) if details is None else details
     cols = [F.col("source").alias("Source"), price_label(F.col("price"), F.col("priceOnRequest")).alias("Price (€)"), F.col("rooms").alias("Rooms"), F.col("bathrooms").alias("Bathrooms"), F.col("sqm").alias("m²"), price_per_sqm(F.col("price"), F.col("sqm")).alias("€/m²"), F.col("address").alias("Address")]
     if details:
         cols += [yes_no(F.col(c), unknown).alias(c.capitalize()) for c in ("elevator", "balcony", "furnished")]
     return df.select(*cols, F.col("url").alias("URL"))
 
 
-def sheet_rows(df: DataFrame) -> DataFrame:
-    """The sheet's thirteen columns, all strings."""
+def write_workbook(df: DataFrame, unknown: str = "Not mentioned") -> DataFrame:
+    """The workbook's rows, of listings that are evaluated once: the pass that writes them into the shared folder also sees whether any says something of its amenities, and that decides the columns."""
+    present = F.bool_or(F.col("elevator").isNotNull()) if "elevator" in df.columns else F.lit(False)
+    rows, seen = written(df, "workbook", details=F.coalesce(F.max(present) if "elevator" not in df.columns else present, F.lit(False)))
+    return workbook_rows(rows, bool(seen["details"]), unknown)
+
+
+def sheet_rows(df: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The sheet's thirteen columns, all strings, and those in carry as they are."""
     c = F.col
     values = [
         or_blank(c("starred")), or_blank(c("status")), or_blank(c("source")), sheet_price(c("price"), c("priceOnRequest")), or_blank(c("bedrooms")), or_blank(c("bathrooms")),
         or_blank(c("sqm")), or_blank(c("normalizedArea.area")), or_blank(c("address")), yes_no(c("elevator"), ""), yes_no(c("furnished"), ""), yes_no(c("balcony"), ""), or_blank(c("url")),
     ]
-    return df.select(*[v.alias(n) for v, n in zip(values, SHEET, strict=True)])
+    return df.select(*[v.alias(n) for v, n in zip(values, SHEET, strict=True)], *(carry or []))
 
 
 def publish(listings: DataFrame, status: DataFrame, folder: str, fmt: str = "json", meta: DataFrame | None = None) -> None:
@@ -74,11 +83,13 @@ def publish(listings: DataFrame, status: DataFrame, folder: str, fmt: str = "jso
     status.write.mode("overwrite").format(fmt).save(f"{folder}/status")
 
 
-def sheet_table(df: DataFrame) -> DataFrame:
-    """The sheet's columns under names that a table can have."""
-    return sheet_rows(df).toDF(*[c.lower().replace(" (€)", "").replace("²", "2") for c in SHEET])
+def sheet_table(df: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The sheet's columns under names that a table can have, and those in carry."""
+    return sheet_rows(df, carry).toDF(*[c.lower().replace(" (€)", "").replace("²", "2") for c in SHEET], *(carry or []))
 
 
-def save_sheet(rows: DataFrame, name: str) -> None:
-    """Overwrites the table, or makes it."""
-    rows.toDF(*[c.lower().replace(" (€)", "").replace("²", "2") for c in rows.columns]).write.mode("overwrite").saveAsTable(name)
+def has_details(df: DataFrame) -> bool:
+    """Whether any row says anything of the amenities; what a data-dependent layout asks before it is planned."""
+    if "elevator" not in df.columns:
+        return False
+    return bool(df.agg(F.bool_or(F.col("elevator").isNotNull())).collect()[0][0])

@@ -169,7 +169,7 @@ def test_merge_of_a_folder(spark, tmp_path):
         "ParisRental-furnished": (1, None), "DanielFeau": (0, artifacts.MISSING), "Eiffel Housing": (0, artifacts.MISSING),
     }
     assert [r.source for r in status.orderBy("src_rank").collect()[:2]] == ["Barnes", "SeLoger"]
-    assert dataset_meta(published, "rent").collect()[0].totalListings == 4 and not L.has_details(frame(spark, [(None,)], "elevator boolean"))
+    assert dataset_meta(published, "rent").collect()[0].totalListings == 4 and not V.has_details(frame(spark, [(None,)], "elevator boolean"))
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="driver tables are not here")
@@ -180,7 +180,7 @@ def test_scan_cards_runs_over_all_cards(spark):
 
 
 def test_all_slugs_are_named(spark):
-    rows = {r.slug: r.name for r in registry.queries()["all_slug_names"](spark, "").collect()}
+    rows = {r.slug: r.name for r in dims.location_dim(spark).select("slug", X.slug_to_display(F.col("slug")).alias("name")).collect()}
     assert sorted(rows) == sorted(dims.LOCATION_SLUGS) and all(n.lower() == s and n[0].isupper() for s, n in rows.items())
 
 
@@ -203,23 +203,3 @@ def test_asked_columns_only_are_parsed(spark):
 
     rows = spark.createDataFrame([("T3, 60 m², 900 €/mois", 1)], "rawText string, price int")
     assert X.parse_listing(rows, columns=("price", "sqft")).collect() == [("T3, 60 m², 900 €/mois", 900, 646)]
-
-
-def test_sheets_are_synced_and_keep_their_stars(spark):
-    from roostwright.operators.combine import sync_sheets
-
-    schema = "url string, source string, price int, priceOnRequest boolean, bedrooms int, bathrooms int, sqm double, normalizedArea struct<area: string>, address string, elevator boolean, furnished boolean, balcony boolean"
-    rows = lambda *urls: spark.createDataFrame([(u, "Junot", 900, False, 1, None, 20.5, ("Puteaux",), "Puteaux", None, True, False) for u in urls], schema)
-    names = ("sync_rent", "sync_sale")
-    try:
-        assert sync_sheets(spark, rows("a", "b"), None, names) == ["sync_rent"] and not spark.catalog.tableExists("sync_sale")
-        starred = spark.table("sync_rent").withColumn("starred", F.when(F.col("url") == "a", "x").otherwise(F.col("starred")))
-        starred.write.mode("overwrite").saveAsTable("sync_starred")
-        spark.sql("DROP TABLE sync_rent")
-        spark.sql("ALTER TABLE sync_starred RENAME TO sync_rent")
-        assert sync_sheets(spark, rows("b", "c"), rows("s"), names) == ["sync_rent", "sync_sale"]
-        got = {r.url: (r.starred, r.status, r.price, r.furnished) for r in spark.table("sync_rent").collect()}
-        assert got == {"a": ("x", "No Longer Listed", "900", "Yes"), "b": ("", "Active", "900", "Yes"), "c": ("", "Active", "900", "Yes")}
-    finally:
-        for n in (*names, "sync_starred", "sync_rent__next"):
-            spark.sql(f"DROP TABLE IF EXISTS {n}")
