@@ -97,5 +97,5 @@ def arrondissement_dim(spark: SparkSession) -> DataFrame:
 def with_known(df: DataFrame, dim: DataFrame, on: str = "slug") -> DataFrame:
     """df with the dimension's columns; a slug that the dimension lacks fails the query. Dimensions here have at most a few dozen rows."""
     joined = df.join(F.broadcast(dim.withColumn("__known", F.lit(True))), on, "left")
-    checked = F.when(F.col("__known").isNull(), F.raise_error(F.concat(F.lit("unknown location: "), F.coalesce(F.col(on), F.lit("null"))))).otherwise(F.col(on))
+    checked = F.when(F.col("__known").isNull(), F.raise_error(F.concat(F.lit("unknown location: "), F.coalesce(F.col(on).cast("string"), F.lit("null")))).cast(dict(df.dtypes)[on])).otherwise(F.col(on))
     return joined.withColumn(on, checked).drop("__known")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -60,7 +62,7 @@ class _Page(HTMLParser):
         self.text, self.size = [], 0
         self.parent, self.span, self.open = [-1], [[0, 0]], [(0, "")]
         self.links: list[tuple[int, str]] = []
-        self.silent = 0
+        self.silent, self.depth = 0, Counter()  # of tags that are open
 
     def _add(self, s: str) -> None:
         self.text.append(s)
@@ -77,6 +79,7 @@ class _Page(HTMLParser):
             self.links.append((me, href))
         if tag not in VOID:
             self.open.append((me, tag))
+            self.depth[tag] += 1
             self.silent += tag in SILENT
 
     def handle_startendtag(self, tag, attrs):
@@ -85,11 +88,12 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag not in [t for _, t in self.open]:
+        if not self.depth[tag]:
             return
         while len(self.open) > 1:
             me, t = self.open.pop()
             self.span[me][1] = self.size
+            self.depth[t] -= 1
             self.silent -= t in SILENT
             if t == tag:
                 break
@@ -114,26 +118,40 @@ def anchors(html: str | None) -> list[str]:
     return [h for _, h in page.links]
 
 
+def visible(whole: str, start: int, end: int, most: int) -> str:
+    """The lines of a stretch of text, trimmed, without blank ones; no further than `most` characters need."""
+    out, size = [], 0
+    while start < end and size <= most:
+        stop = whole.find("\n", start, end)
+        stop = end if stop < 0 else stop
+        if line := whole[start:stop].strip(" \t\r"):
+            out.append(line)
+            size += len(line) + 1
+        start = stop + 1
+    return "\n".join(out)[:most]
+
+
 def cards(html: str | None, profile: Profile) -> list[tuple[str, str]]:
     """(url, rawText) of a page's cards: each wanted href once, with the text of the nearest ancestor that names a price."""
     page = _Page()
     page.feed(html or "")
     whole, out, seen = page.done(), [], set()
-    for me, href in page.links:
+    signs = [i for i, c in enumerate(whole) if c == "€"] if "€" in whole else []
+    for me, href in page.links if signs else ():
         if not profile.wants(href) or href in seen:
             continue
         seen.add(href)
-        at, text = me, ""
+        at = me
         for step in range(profile.climb):
             if not (profile.own_text_first and step == 0):
                 at = page.parent[at]
             if at < 0:
                 break
-            text = "\n".join(s for s in (" ".join(x.split(" ")).strip(" \t\r") for x in whole[slice(*page.span[at])].split("\n")) if s)
-            if "€" in text:
+            start, end = page.span[at]
+            i = bisect_left(signs, start)
+            if i < len(signs) and signs[i] < end:
+                out.append((href.split("?")[0] if profile.strip else href, visible(whole, start, end, profile.cap)))
                 break
-        if "€" in text:
-            out.append((href.split("?")[0] if profile.strip else href, text[: profile.cap]))
     return out
 
 
@@ -147,11 +165,13 @@ def scan_anchors(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     return pages.select(id_col, html_col).mapInPandas(run, f"{id_col} long, pos int, href string")
 
 
-def scan_cards(pages: DataFrame, profile: Profile, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """A row for each card: id_col, pos (from 0), url, rawText."""
+def scan_cards(pages: DataFrame, profile: Profile | dict[str, Profile], id_col: str = "page_id", html_col: str = "html", by: str = "profile") -> DataFrame:
+    """A row for each card: id_col, pos (from 0), url, rawText. With several profiles, each page is read by the one that its column `by` names; a name without one is an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(i, p, u, t) for i, html in zip(b[id_col], b[html_col], strict=True) for p, (u, t) in enumerate(cards(html, profile))], columns=[id_col, "pos", "url", "rawText"])
+            how = [profile] * len(b) if isinstance(profile, Profile) else [profile[name] for name in b[by]]
+            yield pd.DataFrame([(i, p, u, t) for i, html, h in zip(b[id_col], b[html_col], how, strict=True) for p, (u, t) in enumerate(cards(html, h))], columns=[id_col, "pos", "url", "rawText"])
 
-    return pages.select(id_col, html_col).mapInPandas(run, f"{id_col} long, pos int, url string, rawText string")
+    columns = [id_col, html_col] if isinstance(profile, Profile) else [id_col, html_col, by]
+    return pages.select(*columns).mapInPandas(run, f"{id_col} long, pos int, url string, rawText string")
