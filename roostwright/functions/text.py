@@ -115,16 +115,49 @@ def merge_feature(preferred: Column, fallback: Column) -> Column:
     return F.coalesce(preferred, fallback)
 
 
+_MARKS = r"[\u0300-\u036F]"
+
+
 def plain(s: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+    """s decomposed, without the marks U+0300 to U+036F."""
+    return "".join(c for c in unicodedata.normalize("NFD", s) if not 0x300 <= ord(c) <= 0x36F)
+
+
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """(characters that become one other, those others; characters that become several), but for Hangul syllables, which have a rule."""
+    one, several = {}, {}
+    for c in map(chr, (*range(0x80, 0x300), *range(0x370, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x10000), *range(0x10000, 0x20000), *range(0x2F800, 0x2FA20))):
+        p = plain(c)
+        if p != c:
+            (one if len(p) == 1 else several)[c] = p
+    return "".join(one), "".join(one.values()), several
+
 
+_FROM, _TO, _SEVERAL = _decomposed()
+_SYLLABLE, _RARE = r"[\uAC00-\uD7A3]", "[" + "".join(f"\\x{{{ord(c):X}}}" for c in _SEVERAL) + "]"
 
-_ACCENTED = "".join(chr(c) for c in range(0xC0, 0x180) if len(plain(chr(c))) == 1 and plain(chr(c)) != chr(c))
+
+def _letter(code: Column) -> Column:
+    """The character of a code point up to U+FFFF."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
+def _jamo(syllable: Column) -> Column:
+    """A Hangul syllable as its two or three letters, by the rule of their numbers."""
+    n = F.conv(F.hex(F.encode(syllable, "UTF-16BE")), 16, 10).cast("int") - 0xAC00
+    last = F.when(n % 28 > 0, _letter((n % 28 + 0x11A7).cast("long"))).otherwise("")
+    return F.concat(_letter(F.floor(n / 588) + 0x1100), _letter(F.floor(n % 588 / 28) + 0x1161), last)
 
 
 def strip_accents(text: Column) -> Column:
-    """Latin letters without their accents, and combining marks removed."""
-    return F.regexp_replace(F.translate(text, _ACCENTED, plain(_ACCENTED)), r"[\u0300-\u036F]", "")
+    """text decomposed, without the combining marks U+0300 to U+036F; other marks stay where they stand.
+
+    What becomes one character is translated; syllables and characters that become several, which few texts have, are taken letter by letter.
+    """
+    rare = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    by_letter = lambda c: F.when(c.rlike(_SYLLABLE), _jamo(c)).when(c.rlike(_RARE), F.element_at(rare, c)).otherwise(c)
+    spelt = F.when(text.rlike(_SYLLABLE) | text.rlike(_RARE), F.array_join(F.transform(F.split(text, ""), by_letter), "")).otherwise(text)
+    return F.regexp_replace(F.translate(spelt, _FROM, _TO), _MARKS, "")
 
 
 def arrondissement_label(n: Column) -> Column:

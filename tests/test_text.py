@@ -101,3 +101,18 @@ def test_rendered_prices_are_read_back(spark, rows):
     texts = [f"{p:,}".replace(",", sep) + " €" for p, sep in rows]
     got = [r.price for r in X.parse_listing(one_column(spark, texts)).collect()]
     assert got == [p for p, _ in rows]
+
+
+def test_every_character_of_the_plane_loses_its_accents(spark):
+    import unicodedata
+
+    from roostwright.functions import text as X
+
+    codes = [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x1D15E, 0x1D1C0), 0x2F800, 0x1F600, 0x110AB]
+    strip = lambda s: "".join(c for c in unicodedata.normalize("NFD", s) if not 0x300 <= ord(c) <= 0x36F)
+    rows = [(i, "".join(f"x{chr(c)}" for c in codes[i : i + 64])) for i in range(0, len(codes), 64)] + [(-1, ""), (-2, None), (-3, "Ế Ǎ 각 가 é")]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(4)
+    got = {r.id: r.p for r in df.select("id", X.strip_accents(F.col("t")).alias("p")).collect()}
+    wrong = [(i, t, got[i]) for i, t in rows if got[i] != (None if t is None else strip(t))]
+    assert not wrong, wrong[:2]
+    assert got[-3] == "E A " + unicodedata.normalize("NFD", "각 가 é")[:-1]
