@@ -14,7 +14,7 @@ from ..operators import present as V
 from ..operators.query import ListingQuery
 from ..sources import dims
 from ..sources.html import PROFILES, scan_anchors, scan_cards
-from .cards import SUBURBS, cards
+from .cards import SUBURBS, cards, pick
 from .flagship import flagship, located
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -311,20 +311,20 @@ def sheet_layout(spark, sf_dir):
 
 
 @register("""SELECT i::INTEGER AS arrondissement, 'paris-' || CASE WHEN i = 1 THEN '1er' ELSE i || 'eme' END || '-arrondissement-750' || lpad(i::VARCHAR, 2, '0') AS slug, '750' || lpad(i::VARCHAR, 2, '0') AS postal,
-  'ad09fr' || (25 + i) AS "geoCode", CASE WHEN i = 1 THEN 'Paris 1er' ELSE 'Paris ' || i || 'ème' END AS "displayName" FROM generate_series(1, 20) t(i)""")
+  'ad09fr' || (25 + i) AS "geoCode", CASE WHEN i = 1 THEN 'Paris 1er' ELSE 'Paris ' || i || 'ème' END AS "displayName", count(*) AS n_customers FROM (SELECT c_custkey % 20 + 1 AS i FROM customer) GROUP BY i""")
 def arrondissement_dim(spark, sf_dir):
-    return dims.arrondissement_dim(spark)
+    """The generated arrondissements, with the customers dealt to each."""
+    dealt = read(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 20 + 1).cast("int").alias("arrondissement")).agg(F.count(F.lit(1)).alias("n_customers"))
+    return dims.with_known(dealt, dims.arrondissement_dim(spark), "arrondissement").select("arrondissement", "slug", "postal", "geoCode", "displayName", "n_customers")
 
 
-@register(f"""SELECT s AS slug, array_to_string(list_transform(string_split(s, '-'), lambda w, i:
+@register(f"""SELECT p_partkey, s AS slug, array_to_string(list_transform(string_split(s, '-'), lambda w, i:
   CASE WHEN i > 1 AND w IN ('sur', 'en', 'la', 'le', 'les', 'de', 'des', 'du', 'et', 'd''') THEN w ELSE upper(w[1]) || w[2:] END), '-') AS name
-FROM (VALUES {", ".join(f"('{s}')" for s in dims.LOCATION_SLUGS)}) t(s)""")
+FROM (SELECT p_partkey, {dims.LOCATION_SLUGS}[p_partkey % {len(dims.LOCATION_SLUGS)} + 1] AS s FROM part)""")
 def all_slug_names(spark, sf_dir):
-    """Names of all slugs."""
-    return dims.location_dim(spark).select("slug", X.slug_to_display(F.col("slug")).alias("name"))
-
-
-QUERIES["slug_names"], SQL["slug_names"] = QUERIES["all_slug_names"], SQL["all_slug_names"]  # the former name, over all slugs too
+    """Parts dealt to all location slugs, by name."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", pick(dims.LOCATION_SLUGS, F.col("p_partkey")).alias("slug"))
+    return rows.select("p_partkey", "slug", X.slug_to_display(F.col("slug")).alias("name"))
 
 
 @register("SELECT n_nationkey, n_name, CASE WHEN n_nationkey = 0 THEN NULL ELSE round(100 * (n_nationkey // 2)::DOUBLE / n_nationkey, 1) END AS percent FROM nation")
@@ -356,11 +356,24 @@ def page_flags(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", L.blocked(status, F.col("html")).alias("blocked"), L.short_page(F.col("html")).alias("short"))
 
 
-@register("""SELECT d.i::INTEGER AS arrondissement, 'https://www.seloger.com/classified-search?distributionTypes=' || k.b || '&estateTypes=Apartment&locations=AD09FR' || (25 + d.i) || '&page=1' AS url
-FROM generate_series(1, 20) d(i), (VALUES ('Buy'), ('Rent')) k(b)""")
+@register("""SELECT o_orderkey, 'https://www.seloger.com/classified-search?distributionTypes=' || CASE WHEN o_orderkey % 2 = 0 THEN 'Buy' ELSE 'Rent' END || '&estateTypes=Apartment&locations=AD09FR' || (26 + o_custkey % 20) || '&page=' || (o_orderkey % 30 + 1) AS url FROM orders""")
 def page_urls(spark, sf_dir):
-    rows = dims.arrondissement_dim(spark).withColumn("kind", F.explode(F.array(F.lit("sale"), F.lit("rent"))))
-    return rows.select("arrondissement", X.page_url("SeLoger", F.col("kind"), geo=F.col("geoCode"), page=F.lit(1)).alias("url"))
+    """Orders as visits of result pages: their customer's arrondissement, search type and page make the address."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 20 + 1).cast("int").alias("arrondissement"), F.when(F.col("o_orderkey") % 2 == 0, "sale").otherwise("rent").alias("kind"), (F.col("o_orderkey") % 30 + 1).alias("page"))
+    rows = dims.with_known(rows, dims.arrondissement_dim(spark), "arrondissement")
+    return rows.select("o_orderkey", X.page_url("SeLoger", F.col("kind"), geo=F.col("geoCode"), page=F.col("page")).alias("url"))
+
+
+@register(BASE + """SELECT k AS p_partkey, CASE k % 5 WHEN 0 THEN 0 WHEN 1 THEN 25 WHEN 2 THEN 50 WHEN 3 THEN 75 ELSE 100 END AS match_score, k % 5 > 2 AS is_exact, CASE k % 5 WHEN 2 THEN 900 WHEN 3 THEN 900 WHEN 4 THEN 900 ELSE 0 END AS price,
+  CASE WHEN k % 5 > 1 THEN '900' ELSE '' END AS sheet, CASE WHEN k % 5 > 1 THEN '900' ELSE '—' END AS shown FROM c""")
+def match_scores(spark, sf_dir):
+    """Cards that say nothing, the street, also a price, also the rooms, also the surface; an unknown price is blank in the sheet and a dash on the page."""
+    said = ["", "12 rue de la Paix", "\n900 €/mois", "\nT3", "\n60 m²"]
+    k = F.col("p_partkey") % 5
+    text = F.concat(*[F.when(k >= i, s).otherwise("") for i, s in enumerate(said)])
+    rows = X.parse_listing(cards(spark, sf_dir).withColumn("rawText", text))
+    price, asked = F.col("price"), F.col("priceOnRequest")
+    return rows.select("p_partkey", F.col("matchScore").alias("match_score"), F.col("isExactListing").alias("is_exact"), "price", V.sheet_price(price, asked).alias("sheet"), V.ui_price(price, asked).alias("shown"))
 
 
 @register("""SELECT n_nationkey, CASE WHEN n_nationkey % 7 IN (1, 3) THEN true WHEN n_nationkey % 7 = 2 THEN false END AS furnished FROM nation""")
@@ -428,4 +441,7 @@ def meta_lines(spark, sf_dir):
   CASE WHEN furnished THEN 'Yes' WHEN NOT furnished THEN 'No' ELSE 'Not mentioned' END AS "Furnished", 'https://example.org/' || k || '?src=x' AS "URL" FROM c""")
 def workbook_layout(spark, sf_dir):
     rows = detailed(parsed(spark, sf_dir)).withColumns({c: F.col(f"f.{c}") for c in ("elevator", "balcony", "furnished")})
-    return V.workbook_rows(rows)
+    return V.write_workbook(rows)
+
+
+from . import workflows  # noqa: E402, F401  registers its queries here
