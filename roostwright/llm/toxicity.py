@@ -1,6 +1,6 @@
 """Toxicity (op 10): a linear classifier learnt from confirmed toxic texts and unlabelled ones.
 
-Features are runs of five bytes of the lower-cased text, punctuation and digits read as spaces. Runs that stand out in the positives are
+Features are runs of five and of seven bytes of the lower-cased text, punctuation and digits read as spaces. Runs that stand out in the positives are
 kept, and weights are learnt by non-negative positive-unlabelled learning: the risk of calling unlabelled text toxic is
 corrected by the class prior, and once the corrected part falls below zero its gradient is turned round.
 Training sees a bounded sample on the driver; scoring is one pass over the corpus without a shuffle.
@@ -20,28 +20,28 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import textnum as N
 
-RUN = 5
+RUNS = (5, 7)
 LETTERS = np.full(256, 0x20, np.uint8)
 LETTERS[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 LETTERS[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 LETTERS[0x80:] = np.arange(0x80, 0x100)
 
 
-def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(five bytes as one number, text) for each place; each text is read as if spaces stood around it."""
+def runs(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(`size` bytes as one number, text) for each place; each text is read as if spaces stood around it. Numbers of different sizes differ."""
     n = len(off) - 1
     length = np.diff(off)
     at = off[:-1] + 2 * np.arange(n) + 1  # where each text starts between its two spaces
     wide = np.full(len(data) + 2 * n, 0x20, np.uint8)
     wide[np.arange(len(data)) + np.repeat(2 * np.arange(n) + 1, length)] = LETTERS[data]
     text = np.repeat(np.arange(n), length + 2)
-    m = len(wide) - RUN + 1
+    m = len(wide) - size + 1
     if m <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    v = np.zeros(m, np.int64)
-    for j in range(RUN):
+    v = np.ones(m, np.int64) if size > RUNS[0] else np.zeros(m, np.int64)
+    for j in range(size):
         v = (v << 8) | wide[j : j + m]
-    ok = text[:m] == text[RUN - 1 :]
+    ok = text[:m] == text[size - 1 :]
     return v[ok], text[:m][ok]
 
 
@@ -63,9 +63,12 @@ class Model:
 
     def counts(self, data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, feature, times) of the features found."""
-        v, text = runs(data, off)
-        near = table[self.bucket(v)]
-        v, text = v[near], text[near]
+        found = []
+        for size in RUNS:
+            v, text = runs(data, off, size)
+            near = table[self.bucket(v)]
+            found.append((v[near], text[near]))
+        v, text = (np.concatenate(x) for x in zip(*found, strict=True))
         f = np.searchsorted(self.features, v).clip(0, max(0, len(self.features) - 1))
         hit = self.features[f] == v if len(self.features) else np.zeros(len(v), bool)
         pair, times = np.unique(text[hit] * max(1, len(self.features)) + f[hit], return_counts=True)
@@ -128,9 +131,9 @@ def sampled_runs(docs: DataFrame, labels: DataFrame, most_positive: int, most_un
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in N.slices(batches):
-            v, text = runs(data, off)
-            cuts = np.searchsorted(text, np.arange(len(off)))
-            each = [np.unique(v[a:b], return_counts=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            found = [runs(data, off, size) for size in RUNS]
+            cuts = [np.searchsorted(text, np.arange(len(off))) for _, text in found]
+            each = [np.unique(np.concatenate([v[c[i] : c[i + 1]] for (v, _), c in zip(found, cuts, strict=True)]), return_counts=True) for i in range(len(off) - 1)]
             size = np.array([len(x) for x, _ in each])
             lists = [N.list_array(np.concatenate(x), size) for x in zip(*each, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["toxic", "runs", "times"])
@@ -138,13 +141,24 @@ def sampled_runs(docs: DataFrame, labels: DataFrame, most_positive: int, most_un
     return C.durable(rows.mapInArrow(count, "toxic boolean, runs array<long>, times array<long>"), "toxicity-sample")
 
 
-def pick_features(sample: DataFrame, n_pos: int, n_unl: int, most: int = 3000) -> np.ndarray:
-    """Runs far more frequent, by texts, in the positives than in the unlabelled texts: at most `most`, those that stand out most."""
+def pick_features(sample: DataFrame, n_pos: int, n_unl: int, prior: float, most: int = 3000) -> np.ndarray:
+    """Runs far more frequent, by texts, in the positives than in the unlabelled texts: at most `most`, those that stand out most.
+
+    What stands out is told by the likelihood ratio of the positives that hold a run to those expected, which has to exceed what the best of so
+    many runs would reach by chance, and by its share of clean texts (the unlabelled ones less their toxic part, by the prior), which is a fifth
+    of its share of the positives at most. A normal approximation would let in rare runs that a few long positives share.
+    """
     n = sample.select("toxic", F.explode("runs").alias("run")).groupBy("run").agg(F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("u")).filter("p >= 3")
-    share, base = F.col("p") / n_pos, (F.col("u") + 0.5) / n_unl
-    z = (share - base) / F.sqrt(base * F.greatest(1 - base, F.lit(1e-9)) / n_pos)
-    good = n.select("run", z.alias("z"), (share > 2.5 * base).alias("apart")).filter("z > 5 and apart").orderBy(F.desc("z"), "run").limit(most)
-    return np.sort(good.select("run").toPandas()["run"].to_numpy(np.int64))
+    n, tried = C.counted(n, "toxicity-runs")
+    base = (F.col("u") + 0.5) / n_unl
+    expected = base * n_pos
+    ratio = 2 * (F.col("p") * F.log(F.col("p") / expected) - (F.col("p") - expected))
+    share = F.col("p") / n_pos
+    clean = (base - prior * share) / (1 - prior)
+    good = n.select("run", ratio.alias("ratio"), ((share > 2.5 * base) & (share > 5 * clean)).alias("apart")).filter((F.col("ratio") > 2 * np.log(max(tried, 20))) & F.col("apart"))
+    picked = np.sort(good.orderBy(F.desc("ratio"), "run").limit(most).select("run").toPandas()["run"].to_numpy(np.int64))
+    C.delete(n)
+    return picked
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = 2000, most_unlabelled: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -159,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
     none = Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     sample = sampled_runs(docs, labels, most_positive, most_unlabelled, id_col, text_col)
     n_pos, n_unl = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).collect()[0]
-    features = pick_features(sample, n_pos, n_unl) if n_pos and n_unl else none.features
+    features = pick_features(sample, n_pos, n_unl, prior) if n_pos and n_unl else none.features
     if not len(features):
         C.delete(sample)
         return none
@@ -190,12 +204,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
     Whole texts are read; a null one counts as empty, and empty texts get the score of a text without any feature.
     """
-    held = C.hold(docs, None if carry is None else list(carry), F.col(f"`{text_col}`").alias("__text"))
+    held, where = C.hold_text(docs, carry, text_col)
     schema = C.nullable(held.select("__row").schema).add("__score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
-        for rows, data, off in N.slices(batches, "__text"):
+        for rows, data, off in N.slices(batches, where):
             s = pa.array(model.score(data, off, table))
             yield pa.RecordBatch.from_arrays([rows.column(0), s], ["__row", "__score"])
 
