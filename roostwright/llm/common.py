@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -41,7 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-_made: list[list[str]] = []
+#: The folders made by each scratch that is open, innermost last; of this thread only, so that two pipelines of one driver don't take each other's.
+_made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 def counted(df: DataFrame, tag: str, compression: str = "snappy") -> tuple[DataFrame, int]:
@@ -56,8 +58,8 @@ def counted(df: DataFrame, tag: str, compression: str = "snappy") -> tuple[DataF
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     out = spark.read.schema(nullable(df.schema)).parquet(path)
     _paths[out] = path
-    if _made:
-        _made[-1].append(path)
+    if _made.get():
+        _made.get()[-1].append(path)
     return out, rows.get["n"]
 
 
@@ -81,7 +83,7 @@ def delete(*spent: DataFrame | None) -> None:
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables that `durable` writes inside are removed at the end, but for those passed through what it gives: with scratch(spark) as keep: out = keep(durable(...))."""
     mine: list[str] = []
-    _made.append(mine)
+    opened = _made.set((*_made.get(), mine))
 
     def keep(df: DataFrame) -> DataFrame:
         mine.remove(_paths[df])
@@ -90,7 +92,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _made.remove(mine)
+        _made.reset(opened)
         for path in mine:
             _remove(spark, path)
 
@@ -196,6 +198,14 @@ def hold(df: DataFrame, names: list[str] | None = None, *more: Column) -> DataFr
     return df.select(packed.alias("__row"), *more)
 
 
+def hold_text(df: DataFrame, names: tuple[str, ...] | None, text_col: str, *more: Column) -> tuple[DataFrame, str | tuple[str, str]]:
+    """(df held, where its text is for textnum.slices): inside the row where names have it, so that it isn't sent twice."""
+    names = df.columns if names is None else list(names)
+    if text_col in names:
+        return hold(df, names, *more), ("__row", text_col)
+    return hold(df, names, F.col(f"`{text_col}`").alias("__text"), *more), "__text"
+
+
 def field(name: str) -> Column:
     return F.col("__row").getField(name)
 

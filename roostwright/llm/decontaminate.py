@@ -201,14 +201,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float =
     """
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(pickle.dumps(i)) for i in benchmark_blocks(benchmark, k) if i.ids]
-    held = C.hold(docs, None if carry is None else list(carry), F.col(f"`{text_col}`").alias("__text"))
+    held, where = C.hold_text(docs, carry, text_col)
     if not blocks:
         return C.unhold(held, ("leaks",), F.array().cast(LEAK).alias("leaks"))
     schema = C.nullable(held.select("__row").schema).add("__leaks", LEAK)
-    return C.unhold(held.mapInArrow(_pass(blocks, least), schema), ("leaks",), F.col("__leaks").alias("leaks"))
+    return C.unhold(held.mapInArrow(_pass(blocks, least, where), schema), ("leaks",), F.col("__leaks").alias("leaks"))
 
 
-def _pass(blocks: list, least: float):
+def _pass(blocks: list, least: float, where: str | tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = [Search(pickle.loads(blocks[0].value))] if len(blocks) == 1 else None
 
@@ -222,7 +222,7 @@ def _pass(blocks: list, least: float):
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([mine.get(d, []) for d in range(len(first) - 1)], LEAK_ARROW)], ["__row", "__leaks"])
 
         part, size = [], 0
-        for rows, data, off in N.slices(batches, "__text"):
+        for rows, data, off in N.slices(batches, where):
             w = N.words(N.LOWER[data], off)
             part, size = [*part, (rows, w.hash, w.first)], size + len(data)
             if opened or size >= CHUNK:

@@ -162,14 +162,14 @@ def predict(docs: DataFrame, net: Net | None, text_col: str = "text", carry: tup
     """
     text = F.col(f"`{text_col}`")
     new = ("lang_pred", "score")
-    held = C.hold(docs, None if carry is None else list(carry), text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    held, where = C.hold_text(docs, carry, text_col, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
     if net is None:
         return C.unhold(held, new, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = C.nullable(held.select("__row").schema).add("__lang", "string").add("__score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
-        for rows, data, off in N.slices(batches, "__text", 1 << 20, max(1, (1 << 21) // len(net.langs))):
+        for rows, data, off in N.slices(batches, where, 1 << 20, max(1, (1 << 21) // len(net.langs))):
             n = len(off) - 1
             x, text, held = windows(data, off)
             total = np.zeros((n, len(net.langs)))
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, net: Net | None, text_col: str = "text", carry: tup
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)
-            flag = np.asarray(rows.column(2).to_numpy(zero_copy_only=False), bool)
+            flag = np.asarray(rows.column(rows.num_columns - 1).to_numpy(zero_copy_only=False), bool)
             lang = pa.array([net.langs[b] if f else "und" for b, f in zip(best, flag, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([rows.column(0), lang, pa.array(np.where(flag, p[np.arange(n), best], 0.0))], ["__row", "__lang", "__score"])
 

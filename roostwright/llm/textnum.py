@@ -52,17 +52,25 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20, most_rows: int = 1 << 31) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets from 0) of about `most` bytes of text and at most most_rows rows each; a longer text comes alone."""
+def slices(batches: Iterator[pa.RecordBatch], text: str | tuple[str, str] = "text", most: int = 1 << 20, most_rows: int = 1 << 31) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets from 0) of about `most` bytes of text and at most most_rows rows each; a longer text comes alone.
+
+    text is a column or (struct column, field). Once all is read, memory that isn't used any more goes back to the system: the worker may stand idle for long.
+    """
     for b in batches:
         if not b.num_rows:
             continue
-        data, off = column_bytes(b.column(b.schema.get_field_index(text)))
+        column = b.column(b.schema.get_field_index(text if isinstance(text, str) else text[0]))
+        if not isinstance(text, str):
+            column = pc.struct_field(column, [column.type.get_field_index(text[1])])
+        data, off = column_bytes(column)
         lo = 0
         while lo < b.num_rows:
             hi = min(lo + most_rows, max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1))
             yield b.slice(lo, hi - lo), data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
+    b = column = data = off = None
+    pa.default_memory_pool().release_unused()
 
 
 @dataclass

@@ -30,6 +30,30 @@ def test_tables_are_counted_and_removed(spark):
     assert [os.path.exists(p) for p in paths] == [False, True] and kept.count() == 4
 
 
+def test_two_threads_keep_their_own_scratch(spark):
+    from threading import Barrier, Thread
+
+    both, left = Barrier(2), {}
+
+    def work(n):
+        with C.scratch(spark) as keep:
+            gone, kept = C.durable(spark.range(n), "t"), C.durable(spark.range(n), "t")
+            paths = [C._paths[x].removeprefix("file:") for x in (gone, kept)]
+            both.wait()
+            if n == 1:
+                keep(kept)
+        if n == 1:
+            both.wait()
+        left[n] = [os.path.exists(p) for p in paths]
+        if n == 2:
+            both.wait()
+
+    threads = [Thread(target=work, args=(n,)) for n in (1, 2)]
+    [t.start() for t in threads]
+    [t.join(60) for t in threads]
+    assert left == {1: [False, True], 2: [False, False]}
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_hot_keys_join_as_others_do(spark, monkeypatch, how):
     rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 40}") for i in range(300)], "id long, key string")
