@@ -31,6 +31,16 @@ def test_branches_are_ranked_and_formatted(spark):
     assert chat.format_trees(nodes.limit(0)).count() == 0
 
 
+def test_of_rows_with_one_node_id_the_least_counts(spark):
+    rows = [(1, 1, None, "user", "b", 1.0), (1, 1, None, "user", "a", 0.0), (1, 1, 2, "assistant", "z", 9.0), (1, 2, 1, "user", "y", None), (1, 2, 1, "user", "y", None)]
+    back = chat.read_back(chat.format_trees(spark.createDataFrame(rows, NODES), n_paths=5)).collect()
+    # the assistant's row is the least; its parent is its own child, so the two are a cycle and in no tree
+    assert back == []
+    rows = [r for r in rows if r[3] == "user"]
+    back = chat.read_back(chat.format_trees(spark.createDataFrame(rows, NODES), n_paths=5)).collect()
+    assert [[(t.role, t.text) for t in x.turns] for x in back] == [[("user", "a"), ("user", "y")]]
+
+
 def test_long_chains_and_unicode_round_trip(spark):
     r = random.Random(1)
     rows = [(c, t, r.choice(["user", "assistant"]), "".join(r.choice("ab<|\\>é😀\n ") for _ in range(r.randint(0, 30)))) for c in range(5) for t in range((1, 2, 3, 37, 130)[c])]

@@ -253,6 +253,15 @@ def test_near_dedup_of_hot_groups_that_are_not_broadcast(spark, monkeypatch):
     assert got == near_truth(texts + third, 5, 80)
 
 
+def test_near_dedup_of_very_long_texts(spark):
+    r = random.Random(12)
+    w = [f"w{r.randrange(50_000)}" for _ in range(250_000)]
+    near = [*w[:1000], "new", *w[1001:]]
+    rows = [(5, " ".join(w)), (3, " ".join(near)), (4, " ".join(w[:150_000])), (1, "w1 w2")]
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][1:] for i in (5, 3, 4, 1)] == [(3, False), (3, True), (4, True), (1, True)] and got[1][0] == 1 and got[5][0] > 249_000
+
+
 def test_near_dedup_of_nothing_and_of_repeated_rows(spark):
     assert minhash.near_dedup(docs_of(spark, ["a"]).limit(0)).count() == 0
     twice = docs_of(spark, ["a b c d e f", None, "x y"]).unionByName(docs_of(spark, ["a b c d e f", None, "x y"]))

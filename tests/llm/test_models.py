@@ -279,3 +279,10 @@ def test_repeated_rows_and_very_long_texts(spark):
     assert got == [("1", 150_000, 1.0), ("2", 0, 1.0), ("2", 0, 1.0)]
     model = toxicity.Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     assert toxicity.score(docs, model).count() == 4
+
+
+def test_languages_that_tie_go_to_the_first(spark):
+    f32 = np.float32
+    net = language.Net(["a", "b"], np.zeros((256, language.EMBED), f32), [np.zeros((w * language.EMBED, language.FILTERS), f32) for w in language.WIDTHS], np.zeros((1 + language.FILTERS * 3, 2), f32))
+    docs = spark.createDataFrame([(1, "text", None, "s", 0), (2, "text " * 400, None, "s", 0)], SCHEMA)
+    assert {(r.lang_pred, round(r.score, 6)) for r in language.predict(docs, net).collect()} == {("a", 0.5)}
