@@ -20,20 +20,21 @@ def put(folder, **files):
         (folder / f"output-{name.replace('_', '-')}.json").write_text(body if isinstance(body, str) else json.dumps(body, indent=2))
 
 
-@pytest.mark.parametrize(
-    "body, error",
-    [
-        (json.dumps(GOOD)[:-12], A.NO_JSON), ("", A.NO_TEXT), ("  \n", A.NO_TEXT), ("<html>Gateway Timeout</html>", A.NO_JSON), (json.dumps(GOOD) + "}", A.NO_JSON), (json.dumps([GOOD]), A.NO_ENVELOPE),
-        ("[]", A.NO_ENVELOPE), ("null", A.NO_ENVELOPE), ('"x"', A.NO_ENVELOPE), ("{}", A.NO_LISTINGS), (json.dumps({"listings": {"url": "b"}}), A.NO_LISTINGS), (json.dumps({"listings": None, "error": ""}), A.NO_LISTINGS),
-        (json.dumps({"error": "timed out"}), "timed out"),
-    ],
-)
-def test_a_broken_part_is_an_error_row(spark, tmp_path, body, error):
-    put(tmp_path, main=MAIN, junot=body, seloger_puteaux_shard_0=body, eiffel_housing={"listings": []})
+BROKEN = [
+    (json.dumps(GOOD)[:-12], A.NO_JSON), ("", A.NO_TEXT), ("  \n", A.NO_TEXT), ("<html>Gateway Timeout</html>", A.NO_JSON), (json.dumps(GOOD) + "}", A.NO_JSON), (json.dumps([GOOD]), A.NO_ENVELOPE),
+    ("[]", A.NO_ENVELOPE), ("null", A.NO_ENVELOPE), ('"x"', A.NO_ENVELOPE), ("{}", A.NO_LISTINGS), (json.dumps({"listings": {"url": "b"}}), A.NO_LISTINGS), (json.dumps({"listings": None, "error": ""}), A.NO_LISTINGS),
+    (json.dumps({"error": "timed out"}), "timed out"),
+]
+
+
+def test_broken_parts_are_error_rows(spark, tmp_path):
+    """Each kind of damage, in a file of its own that its name labels, and in an agency's."""
+    put(tmp_path, main=MAIN, junot=BROKEN[0][0], eiffel_housing={"listings": []}, **{f"seloger_t{i}_shard_0": body for i, (body, _) in enumerate(BROKEN)})
     published, status = merge_folder(spark, str(tmp_path))
     assert [r.url for r in published.collect()] == ["a"]
     told = {r.source: (r.found, r.error) for r in status.collect()}
-    assert told == {"Barnes": (1, None), "Junot": (0, error), "SeLoger-Suburb-puteaux": (0, error), "Eiffel Housing": (0, None), "DanielFeau": (0, A.MISSING)}
+    agencies = {"Barnes": (1, None), "Junot": (0, A.NO_JSON), "Eiffel Housing": (0, None), "DanielFeau": (0, A.MISSING)}
+    assert told == agencies | {f"SeLoger-Suburb-t{i}": (0, error) for i, (_, error) in enumerate(BROKEN)}
 
 
 @pytest.mark.parametrize("body", [json.dumps(MAIN)[:-30], "", "[]", "<html>", "{}", json.dumps({"listings": []}), json.dumps({"sourceStatus": []})])
