@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import listings as L
 from ..operators import present as V
-from ..operators.combine import combine, merge_folder, sync_sheets
+from ..operators.combine import combine, dataset_meta, merge_folder, sync_sheets
 from ..operators.query import ListingQuery
 from ..operators.sheets import Sheets
 from ..session import new_folder, written
@@ -270,3 +270,28 @@ def asked_customers(spark, sf_dir):
     q = ListingQuery(min_price=ListingQuery.number("1000"), max_price=ListingQuery.number("")).toggle_area("0").toggle_area("1").toggle_area("3").toggle_area("1")
     rows = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("price"), F.struct((F.col("c_nationkey") % 4).cast("string").alias("area")).alias("normalizedArea"))
     return q.filter(rows).select("c_custkey", F.col("price").alias("min_price"))
+
+
+@register("""SELECT s AS source, found, NULL AS error, (SELECT count(*) FROM lineitem WHERE l_returnflag IN ('A', 'N')) AS rows FROM (
+  SELECT 'A' AS s, count(*) AS found FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT 'given before', count(*) FROM lineitem WHERE l_returnflag = 'N')""")
+def selected_sources(spark, sf_dir):
+    """Two sources, of which one is not asked for, and rows that another job gave with their own status: they come first."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    of = lambda flag: rows.filter(F.col("l_returnflag") == flag)
+    told = of("N").agg(F.count(F.lit(1)).alias("found")).select(F.lit("given before").alias("source"), "found", F.lit(None).cast("string").alias("error"))
+    every, status = combine(spark, {"A": lambda: of("A"), "R": lambda: of("R")}, skip=frozenset({"R"}), external=of("N"), external_status=told)
+    return status.withColumn("rows", F.lit(every.filter("src_order in (-1, 0)").count()))
+
+
+@register("""SELECT count(*) AS total, 'sale' AS search_type, count(*) AS n_listings, count(DISTINCT p_brand) AS n_status, sum(p_size)::BIGINT AS prices FROM part WHERE p_partkey % 9 <> 0""")
+def published_set(spark, sf_dir):
+    """A published set written and read back: its totals, listings and status."""
+    part = read(spark, sf_dir, "part")
+    listings = L.drop_room_shares(part.select(F.col("p_partkey").alias("url"), F.col("p_size").alias("price"), F.lit("Paris 5e").alias("address"), "p_brand", (F.col("p_partkey") % 9 == 0).alias("isRoomShare")))
+    status = listings.groupBy(F.col("p_brand").alias("source")).agg(F.count(F.lit(1)).alias("found")).withColumn("error", F.lit(None).cast("string"))
+    folder = new_folder(spark, "published")
+    V.publish(X.with_area(listings), status, folder, "parquet", dataset_meta(listings, "sale"))
+    back = lambda name: spark.read.parquet(f"{folder}/{name}")
+    n = back("listings").agg(F.count(F.lit(1)).alias("n_listings"), F.sum("price").alias("prices"))
+    n = n.withColumn("searchType", F.lit("sale")).join(back("status").agg(F.count(F.lit(1)).alias("n_status")).withColumn("searchType", F.lit("sale")), "searchType")
+    return back("meta").join(n, "searchType").select(F.col("totalListings").alias("total"), F.col("searchType").alias("search_type"), "n_listings", "n_status", "prices")
