@@ -130,15 +130,15 @@ def sampled_runs(docs: DataFrame, labels: DataFrame, most_positive: int, most_un
     rows = rows.join(F.broadcast(drawn), "id").select("toxic", "text").distinct()  # most_positive + most_unlabelled ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in N.slices(batches):
+        for part, data, off in N.slices(batches, most=1 << 18):  # a text has about two runs a byte, of 16 bytes with their times
             found = [runs(data, off, size) for size in RUNS]
             cuts = [np.searchsorted(text, np.arange(len(off))) for _, text in found]
             each = [np.unique(np.concatenate([v[c[i] : c[i + 1]] for (v, _), c in zip(found, cuts, strict=True)]), return_counts=True) for i in range(len(off) - 1)]
             size = np.array([len(x) for x, _ in each])
-            lists = [N.list_array(np.concatenate(x), size) for x in zip(*each, strict=True)]
+            lists = [N.list_array(np.concatenate(x).astype(kind), size) for x, kind in zip(zip(*each, strict=True), (np.int64, np.int32), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["toxic", "runs", "times"])
 
-    return C.durable(rows.mapInArrow(count, "toxic boolean, runs array<long>, times array<long>"), "toxicity-sample")
+    return C.durable(rows.mapInArrow(count, "toxic boolean, runs array<long>, times array<int>"), "toxicity-sample")
 
 
 def pick_features(sample: DataFrame, n_pos: int, n_unl: int, prior: float, most: int = 3000) -> np.ndarray:
