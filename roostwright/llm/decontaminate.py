@@ -4,7 +4,7 @@ A window of as many words as a benchmark item is alike to it if the weighted sim
 weighing as often as it stands there: shared weight over joint weight) is 0.8 or more. Windows in which fewer than
 0.8 of the places hold shingles of items of their size can't be, and are passed over by one running count; the others get a
 256-bit SimHash. Fingerprints of items within RADIUS bits share a 16-bit block up to RADIUS / 16 = 4 bits, so looking a
-window's blocks and their neighbours up to 4 bits away up among the items' blocks misses none within the radius; what is
+window's blocks and their neighbours up among the items' blocks and theirs, 4 bits away together, misses none within the radius; what is
 found is verified on the words themselves.
 
 One pass over the corpus, no shuffle, one Python worker for each task slot: it takes some MB of text at a time and goes through the
@@ -35,8 +35,10 @@ BITS, BLOCK, RADIUS = 256, 16, 72
 BLOCK_ITEMS, BLOCK_WORDS = 131_072, 4_000_000
 #: Bytes of text that a worker takes through the blocks at once, where there are several.
 CHUNK = 32 << 20
-#: All changes of a 16-bit value by the bits that a block may differ in.
-FLIPS = np.array([sum(1 << b for b in c) for n in range(RADIUS // (BITS // BLOCK) + 1) for c in combinations(range(BLOCK), n)], np.uint16)
+#: Entries for each of the 16 blocks that the items' neighbours may take in a worker's table, 4 bytes each: the more bits items come to meet a window by, the fewer it looks up.
+ENTRIES = 1_200_000
+#: By number of bits: all changes of a 16-bit value by so many or fewer.
+FLIPS = [np.array([sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(BLOCK), n)], np.uint16) for most in range(RADIUS // (BITS // BLOCK) + 1)]
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -102,21 +104,22 @@ class Index:
             out[k] = (s, np.append(first, len(flat)), size)
         return out
 
-    def near(self) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, items): 65,537 starts into items for each block, by the items' 16-bit values."""
+    def near(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, items, the changes that a window has to look up): 65,537 starts into items for each block, by 16-bit value; the values are the items' own and their neighbours by half of the bits or fewer, as many as ENTRIES hold."""
         if not self._near:
+            bits = next(b for b in (2, 1, 0) if not b or len(FLIPS[b]) * len(self.ids) <= ENTRIES)
             starts, parts = [], []
             for j in range(BITS // BLOCK):
-                values = self.prints[:, j]
-                parts.append(np.argsort(values, kind="stable").astype(np.int32))
+                values = (self.prints[:, j, None] ^ FLIPS[bits][None]).ravel()
+                parts.append(np.repeat(np.arange(len(self.ids), dtype=np.int32), len(FLIPS[bits]))[np.argsort(values, kind="stable")])
                 starts.append(np.append(0, np.cumsum(np.bincount(values, minlength=65536))) + j * len(values))
-            self._near += [np.concatenate(starts), np.concatenate(parts)]
+            self._near += [np.concatenate(starts), np.concatenate(parts), FLIPS[len(FLIPS) - 1 - bits]]
         return tuple(self._near)
 
     def search(self, window: np.ndarray) -> np.ndarray:
         """The items whose fingerprints are within RADIUS bits of a window's: one of their blocks is RADIUS // 16 bits apart at most."""
-        at, items = self.near()
-        values = ((window[:, None] ^ FLIPS[None]).astype(np.int64) + 65537 * np.arange(BITS // BLOCK)[:, None]).ravel()
+        at, items, flips = self.near()
+        values = ((window[:, None] ^ flips[None]).astype(np.int64) + 65537 * np.arange(BITS // BLOCK)[:, None]).ravel()
         first, n = at[values], at[values + 1] - at[values]
         met = np.zeros(len(self.ids), bool)
         met[items[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True

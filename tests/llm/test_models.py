@@ -159,7 +159,9 @@ def test_blocks_of_the_benchmark_add_up(spark, monkeypatch):
     assert {(x.doc_id, y.item_id) for x in decontaminate.find_leaks(docs, bench).collect() for y in x.leaks} == {(i, i) for i in range(12)}
 
 
-def test_hamming_index_misses_nothing_within_its_radius():
+@pytest.mark.parametrize("entries", [10**6, 200 * 17, 0])
+def test_hamming_index_misses_nothing_within_its_radius(monkeypatch, entries):
+    monkeypatch.setattr(decontaminate, "ENTRIES", entries)
     r = np.random.default_rng(2)
     prints = r.integers(0, 65536, (200, 16)).astype(np.uint16)
     index = decontaminate.Index(list(range(200)), np.full(200, 9), [np.zeros(1, np.uint64)] * 200, prints, 5)
