@@ -117,6 +117,34 @@ def test_anchor_scan_climbs_to_a_price():
     assert max(len(t) for _, t in got) == 500 and all("€" in t for _, t in got) and cards(None, PROFILES["Junot"]) == []
 
 
+def test_a_worker_holds_few_pages_as_strings():
+    """A batch of 20 MB of pages is read a slice at a time, whatever its size; ids stay exact beside missing ones."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from roostwright.sources.html import scan_anchors, scan_cards
+
+    class Table:  # what a worker runs
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+        mapInPandas = lambda self, run, schema: lambda batches: (pa.RecordBatch.from_pandas(x) for x in run(b.to_pandas() for b in batches))
+
+    text = "<p>9 €</p>" + "é" * 5000
+    ids = [None, *range(2**60, 2**60 + 2000), -1]
+    pages = [text * 200 + '<a href="/fiche-1?a">1</a><a href="/fiche-2">2</a>', *[f'{text}<a href="/fiche-{k}">x</a>' for k in range(2000)], None]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pages)], names=["page_id", "html"])
+    small = pa.RecordBatch.from_arrays([pa.array(ids[1:], pa.int64()), pa.array(pages[1:])], names=["page_id", "html"])
+    for scan in (lambda t: scan_cards(t, PROFILES["Perenium"]), scan_anchors):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in scan(Table())(iter([small]))) == 2000
+        assert tracemalloc.get_traced_memory()[1] < 8 * (1 << 20)
+        tracemalloc.stop()
+        got = [tuple(r.values())[:3] for b in scan(Table())(iter([batch, batch.slice(0, 0), batch.slice(2001)])) for r in b.to_pylist()]
+        strip = lambda u: u if scan is scan_anchors else u.split("?")[0]
+        assert got == [(None, 0, strip("/fiche-1?a")), (None, 1, "/fiche-2"), *[(2**60 + k, 0, f"/fiche-{k}") for k in range(2000)]]
+
+
 def test_artifacts(spark, tmp_path):
     import json
 
