@@ -133,8 +133,17 @@ def _decomposed() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(one.values()), several
 
 
+def _one_of(codes: list[int]) -> str:
+    """A character class of these ascending code points, halved again and again with each half behind its range: Java tries the members of a class one by one, for every character of a text."""
+    if len(codes) <= 4:
+        return "[" + "".join(f"\\x{{{c:X}}}" for c in codes) + "]"
+    halves = codes[: len(codes) // 2], codes[len(codes) // 2 :]
+    return "[" + "".join(f"[\\x{{{h[0]:X}}}-\\x{{{h[-1]:X}}}&&{_one_of(h)}]" for h in halves) + "]"
+
+
 _FROM, _TO, _SEVERAL = _decomposed()
-_SYLLABLE, _RARE = r"[\uAC00-\uD7A3]", "[" + "".join(f"\\x{{{ord(c):X}}}" for c in _SEVERAL) + "]"
+_SYLLABLE, _RARE = r"[\uAC00-\uD7A3]", _one_of(sorted(map(ord, _SEVERAL)))
+_BY_LETTER = f"[{_SYLLABLE}{_RARE}]"
 
 
 def _letter(code: Column) -> Column:
@@ -152,12 +161,12 @@ def _jamo(syllable: Column) -> Column:
 def strip_accents(text: Column) -> Column:
     """text decomposed, without the combining marks U+0300 to U+036F; other marks stay where they stand.
 
-    What becomes one character is translated; syllables and characters that become several, which few texts have, are taken letter by letter.
+    ASCII stays as it is. What becomes one character is translated; syllables and characters that become several, which few texts have, are taken letter by letter.
     """
     rare = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
     by_letter = lambda c: F.when(c.rlike(_SYLLABLE), _jamo(c)).when(c.rlike(_RARE), F.element_at(rare, c)).otherwise(c)
-    spelt = F.when(text.rlike(_SYLLABLE) | text.rlike(_RARE), F.array_join(F.transform(F.split(text, ""), by_letter), "")).otherwise(text)
-    return F.regexp_replace(F.translate(spelt, _FROM, _TO), _MARKS, "")
+    spelt = F.when(text.rlike(_BY_LETTER), F.array_join(F.transform(F.split(text, ""), by_letter), "")).otherwise(text)
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.regexp_replace(F.translate(spelt, _FROM, _TO), _MARKS, ""))
 
 
 def arrondissement_label(n: Column) -> Column:
